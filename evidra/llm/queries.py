@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import op03_media, op06_packing, op07_mixing, op08_counts, op09_urls
+from . import op03_media, op04_language, op06_packing, op07_mixing, op08_counts, op09_urls
 
 QUERIES = {
     "op3_telephony": op03_media.op3_telephony,
+    "op4_language_id": op04_language.op4_language_id,
     "op6_packing": op06_packing.op6_packing,
     "op7_mix_sources": op07_mixing.op7_mix_sources,
     "op8_token_counts": op08_counts.op8_token_counts,
