@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+MASK = (1 << 64) - 1
 #: An odd multiplier and its inverse modulo 2**64.
 P = 0x9E3779B97F4A7C15
 P_INV = pow(P, -1, 1 << 64)

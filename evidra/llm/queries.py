@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op02_neighbours, op03_media, op04_language, op06_packing, op07_mixing, op08_counts, op09_urls
+from . import op02_neighbours, op03_media, op04_language, op06_packing, op07_mixing, op08_counts, op09_urls, op10_dedup
 
 QUERIES = {
     "op2_neighbours": op02_neighbours.op2_neighbours,
@@ -12,5 +12,6 @@ QUERIES = {
     "op7_mix_sources": op07_mixing.op7_mix_sources,
     "op8_token_counts": op08_counts.op8_token_counts,
     "op9_url_filters": op09_urls.op9_url_filters,
+    "op10_near_duplicates": op10_dedup.op10_near_duplicates,
 }
 ORACLES = {"op9_url_filters": op09_urls.ORACLE}
