@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import op01_lm, op02_neighbours, op03_media, op04_language, op06_packing, op07_mixing, op08_counts, op09_urls, op10_dedup
+from . import op01_lm, op02_neighbours, op03_media, op04_language, op05_pii, op06_packing, op07_mixing, op08_counts, op09_urls, op10_dedup
 
 QUERIES = {
     "op1_lm_scoring": op01_lm.op1_lm_scoring,
     "op2_neighbours": op02_neighbours.op2_neighbours,
     "op3_telephony": op03_media.op3_telephony,
     "op4_language_id": op04_language.op4_language_id,
+    "op5_pii": op05_pii.op5_pii,
     "op6_packing": op06_packing.op6_packing,
     "op7_mix_sources": op07_mixing.op7_mix_sources,
     "op8_token_counts": op08_counts.op8_token_counts,
