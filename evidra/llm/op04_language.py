@@ -149,7 +149,8 @@ def fit(train: DataFrame, *, text: str = "text", lang: str = "lang", sample: int
     some: list = []
     for name in languages:
         some += rows.where(F.col("l") == name).orderBy(F.xxhash64("t")).limit(each).select(F.substring("t", 1, 20_000).alias("t"), "l").collect()
-    raw, has = model.raw([r["t"] for r in some])
+    found = [model.raw([r["t"] for r in some[i : i + 100]]) for i in range(0, len(some), 100)]
+    raw, has = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
     truth = code[np.searchsorted(languages, [r["l"] for r in some])]
     raw, truth = raw[has], truth[has]
     for b in range(code.shape[1] if len(raw) else 0):
