@@ -34,6 +34,8 @@ from pyspark.sql import Window
 from .common import cut
 
 BLOCK, EPSILON, SAMPLE, CHUNK, QUERIES = 16, 2.1, 20_000, 4096, 2048
+#: Vectors of the sample that give each query its first bound; vectors taken at a time; share of pairs below which pairs are looked at singly.
+SEEDS, STEP, SPARSE = 4096, 512, 0.05
 
 
 @dataclass
@@ -41,6 +43,8 @@ class Index:
     turn: np.ndarray  # (dims + 1 padded, dims + 1 padded) rotation
     centres: np.ndarray  # in rotated space
     norm2: float  # largest squared norm
+    seeds: np.ndarray | None = None  # rotated vectors of the sample, and their ids
+    seed_ids: np.ndarray | None = None
 
     def rotate(self, x: np.ndarray, query: bool) -> np.ndarray:
         """Rotated vectors with the added dimension, padded to whole blocks."""
@@ -50,6 +54,17 @@ class Index:
             wide[:, x.shape[1]] = np.sqrt(np.maximum(self.norm2 - (x * x).sum(axis=1), 0))
         return wide @ self.turn
 
+    def bounds(self, y: np.ndarray, ids: np.ndarray, order: np.ndarray, number: np.ndarray, k: int) -> np.ndarray:
+        """Squared distance within which a query has k vectors at least, by the seeds in its first lists; infinite with too few."""
+        if len(self.seeds) <= k:
+            return np.full(len(y), np.inf)
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(order.shape[1])[None], axis=1)
+        home = self.distances(self.seeds).argmin(axis=1)
+        d = (y * y).sum(axis=1)[:, None] + (self.seeds * self.seeds).sum(axis=1)[None] - 2 * y @ self.seeds.T
+        d[(ids[:, None] == self.seed_ids[None]) | (place[:, home] >= number[:, None])] = np.inf
+        return np.maximum(np.partition(d, k - 1, axis=1)[:, k - 1], 0) * (1 + 1e-9) + 1e-12
+
     def distances(self, y: np.ndarray) -> np.ndarray:
         return (self.centres * self.centres).sum(axis=1) - 2 * y @ self.centres.T
 
@@ -83,44 +98,49 @@ def enough_probes(index: Index, sample: np.ndarray, k: int, recall: float, queri
     return int(np.quantile(ranks, recall)) + 1 if ranks.size else 1
 
 
-def scan(vectors: np.ndarray, turned: np.ndarray, ids: np.ndarray, queries: np.ndarray, turned_q: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def scan(vectors: np.ndarray, turned: np.ndarray, ids: np.ndarray, queries: np.ndarray, turned_q: np.ndarray, query_ids: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, vector row, score) of what is left of one list's chunk: the k best of each query, ids ascending in the chunk."""
     n, size, nq = len(turned), turned.shape[1], len(turned_q)
-    bound = np.full(nq, np.inf)
+    bound = bound.copy()
     best_d = np.full((nq, k), np.inf)
     kept_q, kept_v = [], []
     slack = 1e-12 * float(max((turned * turned).sum(axis=1).max(), 1e-300))
-    blocks = size // BLOCK
-    columns = [np.ascontiguousarray(turned[:, BLOCK * b : BLOCK * (b + 1)]) for b in range(blocks)]
-    columns_q = [np.ascontiguousarray(turned_q[:, BLOCK * b : BLOCK * (b + 1)]) for b in range(blocks)]
-    at, step = 0, 4 * k
-    while at < n:
-        stop = min(n, at + step)
-        a, q = columns[0][at:stop], columns_q[0]
-        part = (q * q).sum(axis=1)[:, None] + (a * a).sum(axis=1)[None] - 2 * q @ a.T
-        ratio = (1 + EPSILON / np.sqrt(BLOCK)) ** 2
-        qi, vi = np.nonzero(part * (size / BLOCK) <= bound[:, None] * ratio + slack)
-        d = part[qi, vi]
-        for b in range(1, blocks):
-            diff = columns[b][at:stop][vi] - columns_q[b][qi]
+    blocks = [slice(b, b + BLOCK) for b in range(0, size, BLOCK)]
+
+    def far(done: int) -> float:
+        """Factor on the best distance above which a candidate of so many dimensions is abandoned."""
+        return (done / size) * (1 + EPSILON / np.sqrt(done)) ** 2 if done < size else 1.0
+
+    for at in range(0, n, STEP):
+        some = turned[at : at + STEP]
+        dense, b = np.zeros((nq, len(some))), 0
+        while b < len(blocks):  # all pairs of a column block at once, as long as many are left
+            x, q = some[:, blocks[b]], turned_q[:, blocks[b]]
+            dense += (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None] - 2 * q @ x.T
+            b += 1
+            near = dense <= (bound * far(BLOCK * b) + slack)[:, None]
+            if near.mean() < SPARSE:
+                break
+        qi, vi = np.nonzero(near)
+        d = dense[qi, vi]
+        while b < len(blocks):  # then only the pairs that are left
+            diff = some[:, blocks[b]][vi] - turned_q[:, blocks[b]][qi]
             d += np.einsum("ij,ij->i", diff, diff)
-            done = BLOCK * (b + 1)
-            ratio = (1 + EPSILON / np.sqrt(done)) ** 2 if done < size else 1.0
-            keep = d * (size / done) <= bound[qi] * ratio + slack
+            b += 1
+            keep = d <= bound[qi] * far(BLOCK * b) + slack
             qi, vi, d = qi[keep], vi[keep], d[keep]
         own = query_ids[qi] == ids[at + vi]
         qi, vi, d = qi[~own], vi[~own], d[~own]
         kept_q.append(qi)
         kept_v.append(vi + at)
         order = np.lexsort((d, qi))
-        qi, d = qi[order], d[order]
-        rank = np.arange(len(qi)) - np.searchsorted(qi, qi)
+        sorted_q = qi[order]
+        rank = np.arange(len(order)) - np.searchsorted(sorted_q, sorted_q)
         near = rank < k
         new = np.full((nq, k), np.inf)
-        new[qi[near], rank[near]] = d[near]
+        new[sorted_q[near], rank[near]] = d[order][near]
         best_d = np.partition(np.concatenate([best_d, new], axis=1), k - 1, axis=1)[:, :k]
-        bound = best_d[:, k - 1]
-        at, step = stop, step * 4
+        bound = np.minimum(bound, best_d.max(axis=1))
     qi, vi = np.concatenate(kept_q), np.concatenate(kept_v)
     score = np.empty(len(qi))
     for s in range(0, len(qi), 1 << 16):
@@ -148,12 +168,14 @@ def neighbours(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding",
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], schema)
-    sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()])
+    picked = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    sample = np.array([r["v"] for r in picked])
     lists = lists or int(np.clip(np.sqrt(n), 1, 4096))
     index = train(sample, norm2, lists)
+    index.seeds, index.seed_ids = index.rotate(sample[:SEEDS], False), np.array([r["id"] for r in picked[:SEEDS]])
     lists = len(index.centres)
     probes = probes or enough_probes(index, sample, k, recall)
-    shared = spark.sparkContext.broadcast(index)  # at most 4,096 centres and one rotation
+    shared = spark.sparkContext.broadcast(index)  # at most 4,096 centres, 4,096 seeds and one rotation
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,7 +194,7 @@ def neighbours(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding",
     enough = reserve or 50 * k
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             ids, x = batch.column("id").to_numpy(), np.array(batch.column("v").to_pylist())
             if not len(x):
                 continue
@@ -184,15 +206,16 @@ def neighbours(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding",
             found = order[row, np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)]
             row, found = row[sizes[found] > 0], found[sizes[found] > 0]
             raw, turned = [r.tobytes() for r in x], [r.tobytes() for r in y]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(found.astype(np.int32)), pa.array([raw[i] for i in row]), pa.array([turned[i] for i in row])], ["id", "list", "v", "t"])
+            bound = shared.value.bounds(y, ids, order, number, k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(found.astype(np.int32)), pa.array(bound[row]), pa.array([raw[i] for i in row]), pa.array([turned[i] for i in row])], ["id", "list", "bound", "v", "t"])
 
-    asked = rows.where(F.pmod("id", F.lit(every)) == 0).mapInArrow(probe, "id long, list int, v binary, t binary")
+    asked = rows.where(F.pmod("id", F.lit(every)) == 0).mapInArrow(probe, "id long, list int, bound double, v binary, t binary")
     asking = n // every * (least / lists) + 1
     blocks = np.maximum(1, np.ceil(asking * np.maximum(sizes / max(sizes.mean(), 1), 1) / QUERIES).astype(np.int64))
     known = spark.sparkContext.broadcast((chunks.tolist(), blocks.tolist()))  # two numbers a list
     parts = spark.createDataFrame(pa.table({"list": pa.array(range(lists), pa.int32()), "chunks": pa.array(known.value[0]), "blocks": pa.array(known.value[1])}))
     stored = placed.join(F.broadcast(parts), "list").select("list", F.pmod(F.xxhash64("id"), "chunks").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "v", "t")
-    wanted = asked.join(F.broadcast(parts), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("id"), "blocks").alias("block"), "id", "v", "t")
+    wanted = asked.join(F.broadcast(parts), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("id"), "blocks").alias("block"), "id", "bound", "v", "t")
 
     def search(have: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
         if not len(have) or not len(want):
@@ -200,7 +223,7 @@ def neighbours(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding",
         have = have.sort_values("id")
         ids, query_ids = have["id"].to_numpy(), want["id"].to_numpy()
         matrix = lambda c, kind: np.frombuffer(b"".join(c), kind).reshape(len(c), -1)
-        qi, vi, score = scan(matrix(have["v"], np.float64), matrix(have["t"], np.float64), ids, matrix(want["v"], np.float64), matrix(want["t"], np.float64), query_ids, k)
+        qi, vi, score = scan(matrix(have["v"], np.float64), matrix(have["t"], np.float64), ids, matrix(want["v"], np.float64), matrix(want["t"], np.float64), query_ids, want["bound"].to_numpy(), k)
         return pd.DataFrame({"query_id": query_ids[qi], "vec_id": ids[vi], "score": score})
 
     place = ["list", "chunk", "block"]
