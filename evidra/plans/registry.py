@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import views
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for module in (views,):
+    QUERIES |= module.QUERIES
+    ORACLES |= module.ORACLES
