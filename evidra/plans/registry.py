@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import views
+from . import analysis, views
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for module in (views,):
+for module in (views, analysis):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
