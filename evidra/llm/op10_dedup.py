@@ -10,11 +10,11 @@ component's first point. Components of two texts agree with the probability of t
 weighted Jaccard similarity, without bias.
 
 Signatures are cut into bands. Equal texts are one node. In each bucket of a band every node is
-first verified against the bucket's smallest node (exact similarity of the multisets); links are joined to
-components; where a bucket still holds several components, nodes are verified against a pivot of its
-own, and in the end every pair of nodes from different components that share a bucket is verified. Pairs within
-one component need no check, as they can't change the classes. So no link found by the bands is lost, and
-large groups of copies cost one comparison a node and band instead of all pairs.
+first verified against the bucket's pivot, the node that shares most with others (exact similarity of
+the multisets), and links are joined to components. Where a bucket still holds several components, all nodes outside
+its largest one are compared with all others: in small buckets as pairs, in larger ones in blocks of bounded size within
+a task, which puts out links only. Pairs within one component need no check, as they can't change the classes. So no link
+that the bands find is lost, and groups of copies cost one comparison a node and band.
 
 Edge cases: null counts as empty text; equal texts are always in one class; other texts without a
 word are alone; texts of one to four words are a single shingle; repeated rows each get a row; class_id is the
@@ -26,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import MASK, cut, documents, flat, mix, slices, word_hashes
 
 WORDS, SIMILARITY, BANDS, ROWS, BATCH = 5, 0.8, 24, 5, 2 << 20
+#: Buckets of more nodes are looked at in blocks of so many.
+SMALL, BLOCK = 16, 256
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -150,6 +153,55 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
+def unary(owner: np.ndarray, item: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and item of a multiset as a set: the second, third, ... time of an item are items of their own."""
+    level = np.arange(often.sum()) - np.repeat(np.cumsum(often) - often, often)
+    item = np.repeat(item, often)
+    return np.repeat(owner, often), np.where(level > 0, mix(item + level.astype(np.uint64) * _STEP[3]), item)
+
+
+def linked(left: pd.DataFrame, right: pd.DataFrame, least: float) -> list[tuple[bytes, bytes]]:
+    """Similar pairs (loose node, node of another component): one for each loose node and component. Exact, by products of 0/1 matrices."""
+    owner, item = unary(*shingles(*flat(pa.array([*left["text"], *right["text"]], pa.large_string()))))
+    n = len(left)
+    sizes = np.bincount(owner, minlength=n + len(right))
+    is_left = owner < n
+    columns = np.intersect1d(item[is_left], item[~is_left])
+    both = np.zeros((n, len(right)), np.float32)
+    at = np.searchsorted(columns, item)
+    at[at == len(columns)] = 0
+    has = columns[at] == item if len(columns) else np.zeros(len(item), bool)
+    owner, at = owner[has], at[has]
+    for start in range(0, len(columns), 4096):
+        some = (at >= start) & (at < start + 4096)
+        dense = np.zeros((n + len(right), min(4096, len(columns) - start)), np.float32)
+        dense[owner[some], at[some] - start] = 1
+        both += dense[:n] @ dense[n:].T
+    similar = both >= least * (sizes[:n, None] + sizes[None, n:] - both) - 1e-6
+    similar &= left["part"].to_numpy()[:, None] != right["part"].to_numpy()[None]
+    found = {}
+    for i, j in zip(*np.nonzero(similar), strict=True):
+        found.setdefault((i, right["part"].iloc[j]), (left["node"].iloc[i], right["node"].iloc[j]))
+    return list(found.values())
+
+
+def blocks(rows: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between components within large buckets: loose nodes against all nodes, in blocks of bounded size.
+
+    rows: bucket, node, part, main, every, loose, text. No pair leaves a task but those that are links."""
+    place = F.xxhash64("node", "bucket")
+    across, down = F.ceil(F.col("every") / BLOCK), F.ceil(F.col("loose") / BLOCK)
+    left = rows.where("part <> main").select("bucket", F.pmod(place, down).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), across - 1)).alias("j"), "node", "part", "text")
+    right = rows.select(F.col("bucket").alias("bucket"), F.explode(F.sequence(F.lit(0).cast("long"), down - 1)).alias("i"), F.pmod(place, across).alias("j"), *[F.col(c).alias(c) for c in ("node", "part", "text")])
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = linked(left, right, least) if len(left) and len(right) else []
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    key = ["bucket", "i", "j"]
+    return left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(run, "a binary, b binary").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label: the smallest node that links lead to (smallest labels pass along links, then jump)."""
     both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -170,33 +222,29 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: f
     nodes = cut(signs.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
     members = nodes.where("size(bands) > 0").select("node", F.explode("bands").alias("bucket"))
 
-    pivots = members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = cut(members.join(pivots, "bucket"))
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    together = cut(members.join(sizes, "bucket"))
+    # a node that shares large buckets stands in the middle of its group: the best pivot
+    middle = together.groupBy("node").agg(F.sum("n").alias("middle"))
+    ranked = together.drop("n").join(middle, "node")
+    pivots = ranked.groupBy("bucket").agg(F.max(F.struct("middle", "node")).alias("p")).select("bucket", F.col("p.node").alias("pivot"))
+    shared = cut(ranked.select("bucket", "node").join(pivots, "bucket"))
     stars = cut(shared.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
     needed = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node")
     texts = cut(_texts(docs, key, text, needed))
     links = cut(verified(stars, texts, least))
     labels = components(links)
 
-    # buckets in which several components are left: once with another pivot, then all pairs across components
-    def left(labels: DataFrame) -> DataFrame:
-        known = shared.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("part"))
-        open_ = known.groupBy("bucket").agg(F.min("part").alias("one"), F.max("part").alias("other"), F.min_by("node", F.xxhash64("bucket", "node")).alias("turn")).where("one <> other")
-        return known.join(open_.select("bucket", "turn"), "bucket")
-
-    rest = left(labels)
-    turn = rest.select("bucket", F.col("turn").alias("node")).distinct().join(labels, "node", "left").select("bucket", F.coalesce("label", "node").alias("turn_part"))
-    again = rest.join(turn, "bucket").where("part <> turn_part").select(F.least("node", "turn").alias("a"), F.greatest("node", "turn").alias("b")).distinct()
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    again = cut(again.join(tried, ["a", "b"], "left_anti"))
-    links = cut(links.unionByName(verified(again, texts, least)))
-    labels = components(links)
-
-    rest = cut(left(labels).drop("turn"))
-    other = rest.withColumnsRenamed({"node": "node_b", "part": "part_b"})
-    across = rest.join(other, "bucket").where("part < part_b").select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
-    across = across.join(tried.unionByName(again), ["a", "b"], "left_anti")
-    more = cut(verified(across, texts, least))
+    # buckets that still hold several components: every pair across them is looked at
+    known = shared.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("part"))
+    parts = known.groupBy("bucket", "part").agg(F.count("*").alias("n"))
+    open_ = parts.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("m"), F.sum("n").alias("every")).where(F.col("m.n") < F.col("every"))
+    about = open_.select("bucket", F.col("m.part").alias("main"), "every", (F.col("every") - F.col("m.n")).alias("loose"))
+    rest = cut(known.join(about, "bucket"))
+    small, large = rest.where(F.col("every") <= SMALL), rest.where(F.col("every") > SMALL)
+    other = small.select("bucket", F.col("node").alias("b"), F.col("part").alias("part_b"))
+    pairs = small.where("part <> main").join(other, "bucket").where("part <> part_b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    more = cut(verified(pairs, texts, least).unionByName(blocks(large.join(texts, "node"), least)))
     if more.limit(1).count():
         labels = components(links.unionByName(more))
 
