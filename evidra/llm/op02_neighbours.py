@@ -207,7 +207,7 @@ def neighbours(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding",
             row, found = row[sizes[found] > 0], found[sizes[found] > 0]
             raw, turned = [r.tobytes() for r in x], [r.tobytes() for r in y]
             bound = shared.value.bounds(y, ids, order, number, k)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(found.astype(np.int32)), pa.array(bound[row]), pa.array([raw[i] for i in row]), pa.array([turned[i] for i in row])], ["id", "list", "bound", "v", "t"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(found.astype(np.int32)), pa.array(bound[row]), pa.array([raw[i] for i in row], pa.binary()), pa.array([turned[i] for i in row], pa.binary())], ["id", "list", "bound", "v", "t"])
 
     asked = rows.where(F.pmod("id", F.lit(every)) == 0).mapInArrow(probe, "id long, list int, bound double, v binary, t binary")
     asking = n // every * (least / lists) + 1

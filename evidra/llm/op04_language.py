@@ -129,7 +129,7 @@ def fit(train: DataFrame, *, text: str = "text", lang: str = "lang", sample: int
                 sums[name] = sums.get(name, 0) + found
         for name, found in sums.items():
             at = np.flatnonzero(found)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at, pa.int32()), pa.array(found[at], pa.int64())], ["l", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(found[at], pa.int64())], ["l", "bucket", "n"])
 
     summed = rows.mapInArrow(count, "l string, bucket int, n long").groupBy("l", "bucket").agg(F.sum("n").alias("n"))
     found = summed.toArrow()
