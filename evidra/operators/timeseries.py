@@ -1,0 +1,153 @@
+"""Per-unit series: Whittaker smoothing, peaks, window features, difference-in-differences.
+
+Series are long rows; a group is one unit, whose days fit in memory, so smoothing runs in
+applyInPandas with Spark dealing out the units. The linear algebra is a banded elimination over all days at once.
+"""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Ridge of the smoother, peak height and prominence.
+RIDGE, HEIGHT, PROMINENCE = 1e-9, 0.45, 0.15
+
+
+def whittaker(y: np.ndarray, w: np.ndarray, lam: float) -> np.ndarray:
+    """z that minimises sum w (y - z)**2 + lam * sum (second differences of z)**2; five-diagonal elimination."""
+    n = len(y)
+    if n < 3:
+        return np.where(w > 0, y, np.nan).astype(float)
+    main = np.full(n, 6.0)
+    main[[0, -1]], main[[1, -2]] = 1.0, 5.0
+    off = np.full(n - 1, -4.0)
+    off[[0, -1]] = -2.0
+    if n == 3:
+        main[1], off[:] = 4.0, -2.0
+    d, e, f = w + lam * main + RIDGE, lam * off, np.full(n - 2, lam)
+    z = w * np.nan_to_num(y)
+    e, d = e.copy(), d.copy()
+    for i in range(n - 1):  # forward: clear the two entries below the diagonal
+        m = e[i] / d[i]
+        upper, far = e[i], f[i] if i < n - 2 else 0.0
+        d[i + 1] -= m * upper
+        z[i + 1] -= m * z[i]
+        if i < n - 2:
+            e[i + 1] -= m * far
+            k = far / d[i]
+            d[i + 2] -= k * far
+            z[i + 2] -= k * z[i]
+    out = np.empty(n)
+    out[-1] = z[-1] / d[-1]
+    out[-2] = (z[-2] - e[-1] * out[-1]) / d[-2]
+    for i in range(n - 3, -1, -1):
+        out[i] = (z[i] - e[i] * out[i + 1] - f[i] * out[i + 2]) / d[i]
+    return out
+
+
+def robust_whittaker(y: np.ndarray, w: np.ndarray, lam: float, passes: int = 3) -> np.ndarray:
+    """Smooths again with less weight for points far below the curve, as clouds are."""
+    use = w.astype(float).copy()
+    z = whittaker(y, use, lam)
+    for _ in range(passes):
+        rest = np.where(w > 0, y - z, np.nan)
+        scale = 1.4826 * np.nanmedian(np.abs(rest - np.nanmedian(rest)))
+        if not scale > 0:
+            break
+        u = np.clip(-rest / (4 * scale), 0, 1)
+        use = w * np.where(np.isnan(u), 0, (1 - u * u) ** 2)
+        z = whittaker(y, use, lam)
+    return z
+
+
+def peaks(z: np.ndarray, height: float = HEIGHT, prominence: float = PROMINENCE) -> list[int]:
+    """Places of local maxima (the middle of a flat top) high and prominent enough."""
+    out, i, n = [], 1, len(z)
+    while i < n - 1:
+        j = i
+        while j < n - 1 and z[j + 1] == z[i]:
+            j += 1
+        if z[i - 1] < z[i] and j < n - 1 and z[j + 1] < z[i]:
+            top, at = z[i], (i + j) // 2
+            higher = np.flatnonzero(z[:i] > top)
+            left = z[(higher[-1] + 1 if len(higher) else 0) : i + 1].min()
+            higher = np.flatnonzero(z[j + 1 :] > top)
+            right = z[j : j + 1 + (higher[0] if len(higher) else n)].min()
+            if top >= height and top - max(left, right) >= prominence:
+                out.append(at)
+        i = j + 1
+    return out
+
+
+def smooth_series(df: DataFrame, keys: Sequence[str], day: str, value: str, lam: float, robust: bool = True) -> DataFrame:
+    """keys, day, value (smoothed, every day from the first to the last); several values of a day are averaged, null and NaN don't count."""
+    kinds = dict(df.dtypes)
+    daily = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys, day).agg(F.avg(value).alias("_v"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pd.to_datetime(pdf[day])
+        days = pd.date_range(at.min(), at.max())
+        y = pd.Series(pdf["_v"].to_numpy(), at).reindex(days).to_numpy()
+        z = (robust_whittaker if robust else whittaker)(y, (~np.isnan(y)).astype(float), lam)
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(days) for k in keys}, day: days.date, value: z})
+
+    return daily.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{day} date", f"{value} double"]))
+
+
+def find_peaks(smoothed: DataFrame, keys: Sequence[str], day: str, value: str, height: float = HEIGHT, prominence: float = PROMINENCE) -> DataFrame:
+    """keys, day, value of each peak."""
+    kinds = dict(smoothed.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ordered = pdf.sort_values(day)
+        return ordered.iloc[peaks(ordered[value].to_numpy(float), height, prominence)][[*keys, day, value]]
+
+    return smoothed.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{day} {kinds[day]}", f"{value} double"]))
+
+
+def window_features(smoothed: DataFrame, keys: Sequence[str], day: str, value: str) -> DataFrame:
+    """keys, max, min, amplitude, mean, integral, peak day: built-in aggregates alone."""
+    return smoothed.groupBy(*keys).agg(
+        F.max(value).alias("max"), F.min(value).alias("min"), (F.max(value) - F.min(value)).alias("amplitude"), F.avg(value).alias("mean"), F.sum(value).alias("integral"), F.min_by(day, F.struct(-F.col(value), F.col(day))).alias("peak_day"),
+    )
+
+
+def difference(df: DataFrame, group: Sequence[str], unit: str, after: str, control: str, value: str) -> DataFrame:
+    """group, unit, did: each treated unit's change of mean from before to after, less the mean change of the controls."""
+    means = df.groupBy(*group, unit, control).agg(F.avg(F.when(F.col(after), F.col(value))).alias("post"), F.avg(F.when(~F.col(after), F.col(value))).alias("pre"), F.count_if(F.col(after)).alias("n_post"), F.count_if(~F.col(after)).alias("n_pre"))
+    change = means.withColumn("change", F.col("post") - F.col("pre"))
+    base = change.where(F.col(control)).groupBy(*group).agg(F.avg("change").alias("base"), F.count("change").alias("n_controls"))
+    return change.where(~F.col(control)).join(base, list(group), "left").select(*group, unit, (F.col("change") - F.col("base")).alias("did"), "n_pre", "n_post", "n_controls")
+
+
+def bootstrap_interval(df: DataFrame, group: Sequence[str], unit: str, after: str, control: str, value: str, times: int = 1000, seed: int = 7) -> DataFrame:
+    """group, did, ci_lo, ci_hi, n: mean difference of a group with a 95 % interval over resampled units.
+
+    What is gathered per group is one change a unit, not its rows; each group has a seed of its own."""
+    units = df.groupBy(*group, unit, control).agg((F.avg(F.when(F.col(after), F.col(value))) - F.avg(F.when(~F.col(after), F.col(value)))).alias("change")).where("change is not null")
+    kinds = dict(df.dtypes)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        ordered = pdf.sort_values(unit)
+        a, b = (ordered.loc[ordered[control] == c, "change"].to_numpy() for c in (False, True))
+        rng = np.random.default_rng([seed, zlib.crc32(repr(key).encode())])
+        if not len(a) or not len(b):
+            return pd.DataFrame({**{g: [k] for g, k in zip(group, key, strict=True)}, "did": [None], "ci_lo": [None], "ci_hi": [None], "n": [len(a)]})
+        drawn = np.array([rng.choice(a, len(a)).mean() - rng.choice(b, len(b)).mean() for _ in range(times)])
+        lo, hi = np.percentile(drawn, [2.5, 97.5])
+        return pd.DataFrame({**{g: [k] for g, k in zip(group, key, strict=True)}, "did": [a.mean() - b.mean()], "ci_lo": [lo], "ci_hi": [hi], "n": [len(a)]})
+
+    return units.groupBy(*group).applyInPandas(run, ", ".join([*(f"{g} {kinds[g]}" for g in group), "did double, ci_lo double, ci_hi double, n long"]))
+
+
+def grouped_pixels(pixels: DataFrame, footprint: DataFrame, values: Sequence[str], valid: str) -> DataFrame:
+    """parcel_uid, scene_id, n_total, n_px, valid_frac, low_support and medians of the valid pixels of each parcel (a pixel may belong to several)."""
+    joined = footprint.join(pixels, "px_idx")
+    medians = [F.percentile(F.when(F.col(valid), F.col(v)), F.lit(0.5)).alias(v) for v in values]
+    out = joined.groupBy("parcel_uid", "scene_id").agg(F.count("*").alias("n_total"), F.count_if(F.col(valid)).alias("n_px"), *medians)
+    return out.withColumns({"valid_frac": F.col("n_px") / F.col("n_total"), "low_support": F.col("n_px") < 10})

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import analysis, views
+from . import advanced, analysis, views
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for module in (views, analysis):
+for module in (views, analysis, advanced):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
