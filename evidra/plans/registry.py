@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import advanced, analysis, views
+from . import advanced, analysis, serving, views
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for module in (views, analysis, advanced):
+for module in (views, analysis, advanced, serving):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
