@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import documents, mix, remainder, slices
 from .pretokens import LETTER, classes
 
-BUCKET_BITS, BATCH = 16, 2 << 20
+BUCKET_BITS, BATCH = 16, 1 << 19
 #: At most so many labelled rows fit scale, shift and weight of the bits; all rows count in the n-grams.
 SAMPLE = 4000
 AMBIGUOUS = 0.5
@@ -169,16 +169,17 @@ def fit(train: DataFrame, *, text: str = "text", lang: str = "lang", sample: int
 
 def predict(df: DataFrame, model: Model, *, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carried columns with lang_pred, score and ambiguous."""
+    column = text if text in carry else "_text"
     shared = df.sparkSession.sparkContext.broadcast(model)  # at most 2**16 rows of one float a bit
     kinds = dict(df.select(*carry).dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "_text", BATCH):
-            name, score, unsure = shared.value.predict([x or "" for x in part.column("_text").to_pylist()])
+        for part in slices(batches, column, BATCH):
+            name, score, unsure = shared.value.predict([x or "" for x in part.column(column).to_pylist()])
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carry], pa.array(name, pa.string()), pa.array(score), pa.array(unsure)], [*carry, "lang_pred", "score", "ambiguous"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + ", lang_pred string, score double, ambiguous boolean"
-    return df.select(*carry, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return df.select(*carry, *([] if text in carry else [F.col(text).alias("_text")])).mapInArrow(run, schema)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
