@@ -97,7 +97,7 @@ def pieces(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, n
 class Known:
     """Values of pieces by hash: a table of fixed size, then a dictionary of at most `most` entries."""
 
-    def __init__(self, most: int = 400_000, bits: int = 20) -> None:
+    def __init__(self, most: int = 250_000, bits: int = 20) -> None:
         self.shift = np.uint64(64 - bits)
         self.keys = np.zeros(1 << bits, np.uint64)
         self.values = np.zeros(1 << bits, np.int64)
