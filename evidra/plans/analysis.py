@@ -221,7 +221,7 @@ def q27_text_quality(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(normalise.text_quality(F.col("text"), "A-Za-z0-9.,", KNOWN), 6).alias("quality"))
 
 
-@query("""with w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents),
+@query(r"""with w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents),
 c as (select doc_id, len(w) as n, len(list_filter(w, lambda x: x = 'from')) as a, len(list_filter(w, lambda x: x = 'this')) as b from w)
 select doc_id, round((a + b) / (1 + ln(cast(n as double) + 1)), 6) as score, cast((a > 0)::int + (b > 0)::int as integer) as hits from c where a + b > 0 order by score desc, doc_id limit 20""")
 def q28_fts_rank(spark, sf_dir):
@@ -234,7 +234,7 @@ def q29_exact_dups(spark, sf_dir):
     return search.duplicate_groups(files, "digest", "path").withColumnRenamed("primary", "primary_path")
 
 
-@query("""select conv_id, turn, regexp_replace(regexp_replace(text, '[0-9]{9,}', '[number]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+', '[mail]', 'g') as text from conversations""")
+@query(r"""select conv_id, turn, regexp_replace(regexp_replace(text, '[0-9]{9,}', '[number]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+', '[mail]', 'g') as text from conversations""")
 def q31_pii_mask(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", normalise.mask_mail(normalise.mask_numbers(F.col("text"))).alias("text"))
 
