@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidra.sources.checkpoints import cut
+
 
 def lines(words: DataFrame, page: list[str], line: list[str], text: str, left: str) -> DataFrame:
     """page, line: the words' text from left to right, the box around them and mean confidence."""
@@ -60,9 +62,9 @@ def greedy_pairs(scores: DataFrame, group: str, left: str, right: str, score: st
         order = [F.desc(score), F.col(left), F.col(right)]
         a = F.row_number().over(Window.partitionBy(group, left).orderBy(*order))
         b = F.row_number().over(Window.partitionBy(group, right).orderBy(*order))
-        hit = rest.withColumns({"_a": a, "_b": b}).where("_a = 1 and _b = 1").drop("_a", "_b")
+        hit = cut(rest.withColumns({"_a": a, "_b": b}).where("_a = 1 and _b = 1").drop("_a", "_b"))
         found = hit if found is None else found.unionByName(hit)
-        rest = rest.join(hit.select(group, left), [group, left], "left_anti").join(hit.select(group, right), [group, right], "left_anti")
+        rest = cut(rest.join(hit.select(group, left), [group, left], "left_anti").join(hit.select(group, right), [group, right], "left_anti"))
         if rest.limit(1).count() == 0:
             break
     return found

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidra.sources.checkpoints import cut
+
 
 def _cells(lo: Column, hi: Column, size: float) -> Column:
     return F.sequence(F.floor(lo / size), F.floor(hi / size))
@@ -46,9 +48,9 @@ def nearest(points: DataFrame, targets: DataFrame, radius: float, doublings: int
     rest, found = points, None
     w = Window.partitionBy("id").orderBy("distance", "target")
     for _ in range(doublings):
-        hit = within(rest, targets, radius).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+        hit = cut(within(rest, targets, radius).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r"))
         found = hit if found is None else found.unionByName(hit)
-        rest = rest.join(hit.select("id"), "id", "left_anti")
+        rest = cut(rest.join(hit.select("id"), "id", "left_anti"))
         radius *= 2
         if rest.limit(1).count() == 0:
             break
