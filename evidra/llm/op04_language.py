@@ -32,7 +32,7 @@ from .common import documents, mix, remainder, slices
 from .pretokens import LETTER, classes
 
 BUCKET_BITS, BATCH = 16, 1 << 19
-#: At most so many labelled rows fit scale, shift and weight of the bits; all rows count in the n-grams.
+#: At most so many labelled rows (of up to 20,000 characters, whole) fit scale, shift and weight of the bits; all rows count in the n-grams.
 SAMPLE = 4000
 AMBIGUOUS = 0.5
 
@@ -148,7 +148,7 @@ def fit(train: DataFrame, *, text: str = "text", lang: str = "lang", sample: int
     each = max(1, sample // len(languages))
     some: list = []
     for name in languages:
-        some += rows.where(F.col("l") == name).orderBy(F.xxhash64("t")).limit(each).select(F.substring("t", 1, 20_000).alias("t"), "l").collect()
+        some += rows.where((F.col("l") == name) & (F.length("t") <= 20_000)).orderBy(F.xxhash64("t")).limit(each).collect()
     found = [model.raw([r["t"] for r in some[i : i + 100]]) for i in range(0, len(some), 100)]
     raw, has = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
     truth = code[np.searchsorted(languages, [r["l"] for r in some])]
