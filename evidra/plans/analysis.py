@@ -26,11 +26,11 @@ def query(sql: str | None = None):
 
 @query("""with m as (select p_brand, median(l_extendedprice / l_quantity) as med from lineitem join part on l_partkey = p_partkey where l_linenumber % 2 = 0 group by 1),
 s as (select p_brand, any_value(med) as med, greatest(1.4826 * median(abs(l_extendedprice / l_quantity - med)), 1.0) as scale from lineitem join part on l_partkey = p_partkey join m using (p_brand) where l_linenumber % 2 = 0 group by 1)
-select l_orderkey, l_linenumber, p_brand, round((l_extendedprice / l_quantity - med) / scale, 4) as z from lineitem join part on l_partkey = p_partkey left join s using (p_brand) where l_linenumber % 2 = 1""")
+select l_orderkey, l_linenumber, p_brand, round((l_extendedprice / l_quantity - med) / scale, 4) + 0.0::double as z from lineitem join part on l_partkey = p_partkey left join s using (p_brand) where l_linenumber % 2 = 1""")
 def q12_mad_zscore(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "p_brand", (F.col("l_extendedprice") / F.col("l_quantity")).alias("rate"))
     z = stats.robust_z(rows.where("l_linenumber % 2 = 1"), rows.where("l_linenumber % 2 = 0"), ["p_brand"], "rate", 1.0)
-    return z.select("l_orderkey", "l_linenumber", "p_brand", F.round("z", 4).alias("z"))
+    return z.select("l_orderkey", "l_linenumber", "p_brand", (F.round("z", 4) + F.lit(0.0)).alias("z"))
 
 
 @query("""with c as (select c_nationkey, c_acctbal from customer where c_mktsegment = 'BUILDING')

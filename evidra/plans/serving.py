@@ -78,11 +78,11 @@ def q97_affected_keys(spark, sf_dir):
 
 
 @query("""with u as (select distinct user_id from events), p as (select distinct event_type from events), c as (select event_type, user_id, count(e.user_id) as n from u cross join p left join events e using (user_id, event_type) group by 1, 2)
-select event_type, quantile_cont(n, 0.1) as p10, quantile_cont(n, 0.5) as p50, quantile_cont(n, 0.9) as p90, count(*) as units from c group by 1""")
+select event_type, round(quantile_cont(n, 0.1), 4) as p10, round(quantile_cont(n, 0.5), 4) as p50, round(quantile_cont(n, 0.9), 4) as p90, count(*) as units from c group by 1""")
 def q98_coverage(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     found = refresh.coverage(events.select("user_id"), events.select("event_type"), events, "user_id", "event_type")
-    return found
+    return found.withColumns({c: F.round(c, 4) for c in ("p10", "p50", "p90")})
 
 
 @query("""select o_orderkey, unnest(['o_orderstatus', 'o_totalprice', 'o_orderpriority']) as fact, unnest([null, o_totalprice, null]) as value_num, unnest([o_orderstatus, null, o_orderpriority]) as value_text from orders""")
