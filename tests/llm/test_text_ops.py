@@ -60,6 +60,11 @@ def test_filter_has_no_false_negatives():
     assert (made.levels(rng.integers(0, 2**63, 3000).astype(np.uint64)) > 0).mean() < 0.05
 
 
+def test_filter_is_the_same_in_parts(docs):
+    whole, parted = (op01_lm.build_filter(docs, "text", 90_000, 1 << 20, group) for group in (1 << 22, 1000))
+    assert whole.bytes_.any() and (whole.bytes_ == parted.bytes_).all()
+
+
 def test_model_helps_on_held_out_text(spark):
     rng = np.random.default_rng(1)
     follow = {w: rng.integers(0, 300, 3) for w in range(300)}
