@@ -147,8 +147,10 @@ def fit(train: DataFrame, *, text: str = "text", lang: str = "lang", sample: int
     model = Model(languages, code, table, np.ones(code.shape[1]), np.zeros(code.shape[1]), np.ones(code.shape[1]))
     each = max(1, sample // len(languages))
     some: list = []
-    for name in languages:
-        some += rows.where((F.col("l") == name) & (F.length("t") <= 20_000)).orderBy(F.xxhash64("t")).limit(each).collect()
+    sizes = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
+    for name in languages:  # by a threshold on the text's hash, so no task sends more than its share
+        share = int(np.ceil(min(1.0, each / sizes[name]) * (1 << 30)))
+        some += rows.where((F.col("l") == name) & (F.length("t") <= 20_000) & (F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < share)).limit(each).collect()
     found = [model.raw([r["t"] for r in some[i : i + 100]]) for i in range(0, len(some), 100)]
     raw, has = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
     truth = code[np.searchsorted(languages, [r["l"] for r in some])]
