@@ -168,7 +168,9 @@ def neighbours(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding",
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], schema)
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    # by a threshold on the id's hash, so no task sends more than its share
+    picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(np.ceil(min(1.0, SAMPLE / n) * (1 << 30)))).limit(SAMPLE).collect()
+    picked = [picked[i] for i in np.random.default_rng(3).permutation(len(picked))] if len(picked) > 1 else rows.limit(SAMPLE).collect()
     sample = np.array([r["v"] for r in picked])
     lists = lists or int(np.clip(np.sqrt(n), 1, 4096))
     index = train(sample, norm2, lists)
