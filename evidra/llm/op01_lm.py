@@ -2,23 +2,24 @@
 
 Counts of words and word pairs are quantised on a logarithmic scale, q = 1 + floor(log2 c), and an
 n-gram is put into a Bloom filter once for every level up to its q. Looking it up probes level
-after level until one is missing, so the filter alone gives every quantised count. It is built in
-segments (an n-gram's hash names its segment), each from the merged counts of one hash range, and is
-broadcast; its size is set by the number of training tokens and has an upper bound, above which
-only the rate of false positives rises.
+after level until one is missing. The filter is a set of segments (an n-gram's hash names its segment)
+of about a million training tokens and 8 bits a token each, so it grows with the corpus and its rate of false
+positives does not. No segment is broadcast: the distinct n-grams of about 2 MB of text go to their
+segments together with their training counts; the task of a segment merges the counts, sets the bits, answers
+with level and exact count, and the answers meet their text again by the number of its batch.
 
 Score. The model is P(w | h) = P1(w) * r(q(h), q(w), q(hw)): the smoothed unigram probability times
 the ratio of how often that class of probe results is seen for real neighbours and for words
 drawn independently, given the first two. So the probabilities sum to one over the vocabulary in each class,
 false positives and quantisation are weighed as they occur, and unseen pairs get what is
-left. The ratios are fitted on a bounded sample of training documents (a tenth, `dev` at most), whose pairs are kept out of the filter.
+left. Real neighbours are those of training documents, each looked up with its own text's counts left out (where that lowers the
+level, false positives are drawn at the segment's rate). Independent draws are summed exactly: every distinct pair weighs
+count(h) * count(w) / n, and what is left over falls on pairs without a count.
 
-P1 needs exact counts of all training words. Frequent words (at most `head` of them) are
-broadcast; the others are met by an ordinary join on the word's hash, so nothing that grows
-with the vocabulary goes through the driver. A text's rare words are counted per text before.
+P1 needs exact counts of words, which come with the answers.
 
 Words and ends: as the base score is defined, A-Z lower-cased, parted by ASCII white space, then one end.
-64-bit hashes stand for words.
+64-bit hashes stand for words; within a segment their upper 48 bits.
 
 Edge cases: null and empty text score their end alone; no training document: counts are 0, N is 0 and the base is
 log10(0.5 / 0.5) = 0 a token; repeated rows are scored each; null ids belong to training; other columns are not read.
@@ -27,11 +28,12 @@ log10(0.5 / 0.5) = 0 a token; repeated rows are scored each; null ids belong to
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,9 +42,10 @@ from .common import cut, documents, flat, mix, remainder, slices, word_hashes
 BATCH = 1 << 20
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 LEVELS = 24
-#: Bounds: bytes of the filter, words whose counts are broadcast, documents that fit the ratios.
-MAX_FILTER, HEAD, DEV = 24 << 20, 1 << 18, 1500
+#: Documents that fit the ratios.
+DEV = 1500
 HASHES = 3
+CLASSES = 13
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,33 +112,16 @@ class Filter:
         return out
 
 
-@dataclass
-class Model:
-    filter: Filter
-    ratio: np.ndarray = field(default_factory=lambda: np.zeros((13, 13, 13)))
-
-    def cell(self, before: np.ndarray, word: np.ndarray, q: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Classes of (history, word, pair) by probing; two levels to a class."""
-        names, back = np.unique(np.concatenate([before, word]), return_inverse=True)
-        known = (self.filter.levels(names).astype(np.int64) + 1) // 2
-        return known[back[: len(before)]], known[back[len(before) :]], (self.filter.levels(pair(before, word)).astype(np.int64) + 1) // 2
-
-    def gain(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log10 of P(word | before) / P1(word)."""
-        return self.ratio[self.cell(before, word)]
-
-    def fit(self, before: np.ndarray, word: np.ndarray) -> None:
-        """Ratios from real pairs and from the same histories with words drawn from the same text at large."""
-        seen = np.zeros_like(self.ratio)
-        drawn = np.zeros_like(self.ratio)
-        rng = np.random.default_rng(11)
-        np.add.at(seen, self.cell(before, word), 1)
-        for _ in range(2):
-            np.add.at(drawn, self.cell(before, word[rng.permutation(len(word))]), 0.5)
-        for table in (seen, drawn):
-            table += 0.5 * (seen + drawn) / np.maximum((seen + drawn).sum(axis=2, keepdims=True), 1) * 8 + 1e-9
-            table /= table.sum(axis=2, keepdims=True)
-        self.ratio = np.log10(seen / drawn)
+def kinds(q: np.ndarray) -> np.ndarray:
+    """Classes of probe results; two levels to a class."""
+    return (q.astype(np.int64) + 1) // 2
+
+
+def ratios(seen: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+    """log10 of P(word | before) / P1(word) in each class of (history, word, pair)."""
+    prior = 0.5 * (seen + drawn) / np.maximum((seen + drawn).sum(axis=2, keepdims=True), 1) * 8 + 1e-9
+    seen, drawn = seen + prior, drawn + prior
+    return np.log10(seen / seen.sum(axis=2, keepdims=True)) - np.log10(drawn / drawn.sum(axis=2, keepdims=True))
 
 
 def merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -210,82 +196,181 @@ def build_filter(train: DataFrame, text: str, n_tokens: int, max_bytes: int, gro
     return Filter(out)
 
 
-def score(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "text", max_filter: int = MAX_FILTER, head: int = HEAD, dev: int = DEV) -> DataFrame:
+def shape(n_tokens: int) -> tuple[int, int]:
+    """Number of segments and bytes of each: a byte a training token at every size."""
+    number = max(8, n_tokens >> 20)
+    return number, max(64, -(-n_tokens // number))
+
+
+@dataclass
+class Batch:
+    """The distinct n-grams of some texts, by segment, and where each token's word, history and pair stand among them."""
+
+    part: pa.RecordBatch
+    number: int
+
+    def __post_init__(self) -> None:
+        word, before, self.n_tokens = tokens(self.part.column("text"))
+        keys, at = np.unique(np.concatenate([word, pair(before, word), np.array([START])]), return_inverse=True)
+        of = (keys % np.uint64(self.number)).astype(np.int64)
+        order = np.argsort(of, kind="stable")
+        self.keys, self.segment = keys[order], of[order]
+        to = np.empty(len(order), np.int64)
+        to[order] = np.arange(len(order))
+        at, t = to[at], len(word)
+        self.word, self.pair, self.start = at[:t], at[t : 2 * t], at[2 * t]
+        self.before = np.concatenate([[self.start], self.word[:-1]])
+        self.before[np.cumsum(self.n_tokens) - self.n_tokens] = self.start
+        self.owner = np.repeat(np.arange(self.part.num_rows), self.n_tokens)
+        self.train = ~np.array(self.part.column("held_out").to_pylist(), bool)
+
+    def counts(self) -> np.ndarray:
+        """Count of each n-gram in the training texts; the start's is their number."""
+        of = self.train[self.owner]
+        out = np.bincount(self.word[of], minlength=len(self.keys)) + np.bincount(self.pair[of], minlength=len(self.keys))
+        out[self.start] += self.train.sum()
+        return out
+
+    def own(self, at: np.ndarray) -> np.ndarray:
+        """How often the n-gram of each token occurs in the token's own text."""
+        _, back, times = np.unique(self.owner * len(self.keys) + at, return_inverse=True, return_counts=True)
+        return times[back]
+
+
+def packed(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """batch, part: about 2 MB of text in each, as a compressed Arrow stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 2 * BATCH):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.select(columns).schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(part.select(columns))
+            yield pa.RecordBatch.from_arrays([part.column("row").slice(0, 1), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch", "part"])
+
+    return cut(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, "batch long, part binary"))
+
+
+def unpacked(part: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(part).read_next_batch()
+
+
+def answers(batches: DataFrame, n_tokens: int) -> DataFrame:
+    """batch, segment, levels, totals, false: what the segment says of each n-gram a batch has sent, in the order of its keys."""
+    number, width = shape(n_tokens)
+
+    def send(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in found:
+            for batch, part in zip(some.column("batch").to_pylist(), some.column("part"), strict=True):
+                b = Batch(unpacked(part.as_buffer()), number)
+                short = b.keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]
+                counts = np.minimum(b.counts(), (1 << 32) - 1).astype("<u4")
+                at = np.flatnonzero(np.concatenate([[True], b.segment[1:] != b.segment[:-1]]))
+                ends = np.append(at[1:], len(b.segment))
+                blobs = [pa.array([x[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()) for x in (short, counts)]
+                yield pa.RecordBatch.from_arrays([pa.array(b.segment[at]), pa.array(np.full(len(at), batch)), *blobs], ["segment", "batch", "keys", "counts"])
+
+    def fill(group: pa.Table) -> pa.Table:
+        short = [np.frombuffer(k.as_buffer(), np.uint8).reshape(-1, 6) for k in group.column("keys")]
+        ends = np.cumsum([len(k) for k in short])
+        keys = np.zeros((ends[-1], 8), np.uint8)
+        np.concatenate(short, out=keys[:, :6])
+        keys, back = np.unique(keys.view("<u8").ravel(), return_inverse=True)
+        times = np.concatenate([np.frombuffer(c.as_buffer(), "<u4") for c in group.column("counts")])
+        totals = np.zeros(len(keys), np.int64)
+        np.add.at(totals, back, times.astype(np.int64))
+        held = Filter(segment(keys[totals > 0], totals[totals > 0], width * 8)[None])
+        levels = held.levels(keys)
+        false = float(np.unpackbits(held.bytes_).mean()) ** HASHES
+        blobs = [[x[back[i:j]].tobytes() for i, j in zip(ends - [len(k) for k in short], ends, strict=True)] for x in (levels, totals.astype("<i8"))]
+        return pa.table({"batch": group.column("batch"), "segment": group.column("segment"), "levels": pa.array(blobs[0], pa.binary()), "totals": pa.array(blobs[1], pa.binary()), "false": np.full(len(ends), false)})
+
+    sent = batches.mapInArrow(send, "segment long, batch long, keys binary, counts binary")
+    return sent.groupBy("segment").applyInArrow(fill, "batch long, segment long, levels binary, totals binary, false double")
+
+
+def score(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "text", dev: int = DEV) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learns from rows that aren't held out."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), held_out.alias("held_out"))
     train = rows.where(~F.col("held_out")).select("doc_id", "text")
-    totals = cut(word_totals(train, "text"))
-    n, v = totals.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-
-    # the least count at which at most `head` words are frequent
-    sizes = sorted(((r["c"], r["n"]) for r in totals.groupBy(F.least("c", F.lit(4096)).alias("c")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    least, many = 1 << 62, 0
-    for c, some in sizes:
-        if many + some > head:
-            break
-        least, many = c, many + some
-    frequent = totals.where(F.col("c") >= least).toArrow()
-    order = np.argsort(frequent.column("h").to_numpy().view(np.uint64))
-    head_h = frequent.column("h").to_numpy().view(np.uint64)[order]
-    head_c = frequent.column("c").to_numpy()[order]
-
-    # ratios are fitted on the training documents that come first by hash, whose pairs the filter doesn't hold
+    n, v = word_totals(train, "text").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+
+    # ratios are fitted on the training documents that come first by hash
     dev = min(dev, train.count() // 10)
     order_by = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
-    short = F.coalesce(F.length("text"), F.lit(0)) <= 100_000  # so the sample is bounded in bytes; its texts are whole
+    short = F.coalesce(F.length("text"), F.lit(0)) <= 100_000
     last = train.where(short).select(order_by.alias("o")).orderBy("o").limit(dev).agg(F.max("o")).first()[0] if dev else None
-    chosen = F.lit(False) if last is None else short & (order_by <= last)
-    kept = train.where(~chosen)
-    model = Model(build_filter(kept, "text", int(n), max_filter))
-    if last is not None:
-        some = train.where(chosen).select("text").limit(dev).toArrow()
-        word, before, _ = tokens(some.column("text").combine_chunks())
-        model.fit(before, word)
-    shared = spark.sparkContext.broadcast((model, head_h, head_c))  # at most max_filter bytes, and 16 for each of `head` words
-    floor, whole = 0.5, float(n) + 0.5 * (v + 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, head_h, head_c = shared.value
-        for part in slices(batches, "text", BATCH):
-            word, before, number = tokens(part.column("text"))
-            owner = np.repeat(np.arange(part.num_rows), number)
-            gain = np.bincount(owner, model.gain(before, word), part.num_rows)
-            names, back = np.unique(word, return_inverse=True)
-            at = np.minimum(np.searchsorted(head_h, names), max(len(head_h) - 1, 0))
-            is_head = head_h[at] == names if len(head_h) else np.zeros(len(names), bool)
-            value = np.where(is_head, np.log10(((head_c[at] if len(head_c) else 0) + floor) / whole), 0.0)
-            base = np.bincount(owner, value[back], part.num_rows)
-            known = np.bincount(owner, is_head[back], part.num_rows).astype(np.int64)
-            rest = ~is_head[back]
-            each, times = np.unique(owner[rest].astype(np.uint64) << np.uint64(32) | back[rest].astype(np.uint64), return_counts=True)
-            tail_row, tail_h = (each >> np.uint64(32)).astype(np.int64), names[(each & np.uint64(0xFFFFFFFF)).astype(np.int64)].view(np.int64)
-            m, t = part.num_rows, len(tail_row)
-            ids = part.column("row").to_numpy()
-
-            def wide(column: pa.Array, t: int = t) -> pa.Array:
-                return pa.concat_arrays([column, pa.nulls(t, column.type)])
-
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([ids, ids[tail_row]])), pa.array(np.concatenate([mix(ids.astype(np.uint64)).view(np.int64), tail_h])), pa.array(np.concatenate([np.zeros(m, np.int64), times])),
-                    wide(part.column("doc_id")), wide(part.column("held_out")), wide(pa.array(number)), wide(pa.array(known)), wide(pa.array(base)), wide(pa.array(gain)),
-                ],
-                ["row", "h", "times", "doc_id", "held_out", "n_tokens", "known", "base", "gain"],
-            )
-
-    kind = dict(rows.dtypes)["doc_id"]
-    numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    parts = numbered.mapInArrow(run, f"row long, h long, times long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, gain double")
-    rare = totals.where(F.col("c") < least)
-    met = parts.join(rare, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    term = F.col("times") * F.log10((F.col("c") + floor) / F.lit(whole))
-    summed = met.groupBy("row").agg(
-        F.first("doc_id", True).alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        (F.max("known") + F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0))).alias("n_known"),
-        (F.max("base") + F.sum(term)).alias("base_score"), F.max("gain").alias("gain"),
-    )
-    return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("gain")).alias("score"))
+    rows = rows.withColumn("fits", F.lit(False) if last is None else ~F.col("held_out") & short & (order_by <= last))
+
+    batches = packed(rows, ["doc_id", "text", "held_out", "fits"])
+    number, _ = shape(int(n))
+    floor, whole, size = 0.5, float(n) + 0.5 * (v + 1), CLASSES**3
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        b = Batch(unpacked(left.column("part")[0].as_buffer()), number)
+        part, right = b.part, right.sort_by("segment")
+        q, total = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in right.column(name)]) for name, kind in (("levels", np.int8), ("totals", "<i8")))
+        sent = np.array([len(x.as_buffer()) for x in right.column("levels")])
+        false = np.repeat(np.clip(right.column("false").to_numpy(), 1e-12, 0.999), sent)
+        kind = kinds(q)
+        cell = ((kind[b.before] * CLASSES + kind[b.word]) * CLASSES + kind[b.pair]).astype("<u2")
+        known = np.bincount(b.owner, total[b.word] > 0, part.num_rows).astype(np.int64)
+        base = np.bincount(b.owner, np.log10((total + floor) / whole)[b.word], part.num_rows)
+
+        # seen: neighbours of the fitting texts, each without its own text's counts
+        fits = np.array(part.column("fits").to_pylist(), bool)[b.owner]
+        extra = np.floor(np.log((mix(b.keys ^ np.uint64(0x2545F4914F6CDD1D)).astype(np.float64) + 1) / 2.0**64) / np.log(false)).astype(np.int64)
+
+        def without(at: np.ndarray, own: np.ndarray) -> np.ndarray:
+            left_over = level(np.maximum(total[at] - own, 0))
+            return kinds(np.where(left_over < level(total[at]), np.minimum(left_over + extra[at], LEVELS), q[at]))
+
+        own_word, own_pair = b.own(b.word), b.own(b.pair)
+        own_before = np.concatenate([[1], own_word[:-1]])
+        own_before[b.before == b.start] = 1
+        k = [without(at, own)[fits] for at, own in ((b.before, own_before), (b.word, own_word), (b.pair, own_pair))]
+        seen = np.bincount((k[0] * CLASSES + k[1]) * CLASSES + k[2], minlength=size)
+
+        # drawn: every distinct pair of the training texts once, so each of its occurrences weighs one by its count
+        of = b.train[b.owner]
+        weight = total[b.before[of]].astype(float) * total[b.word[of]] / (max(float(n), 1) * np.maximum(total[b.pair[of]], 1))
+        drawn = np.bincount(cell[of], weight, size)
+        table = np.concatenate([seen, drawn, np.bincount(kind[b.before[of]], minlength=CLASSES), np.bincount(kind[b.word[of]], minlength=CLASSES), [false.mean(), 1]])
+        stops = np.cumsum(b.n_tokens)
+        cells = pa.array([cell[i:j].tobytes() for i, j in zip(stops - b.n_tokens, stops, strict=True)], pa.binary())
+        one = lambda x: pa.concat_arrays([x, pa.nulls(1, x.type)])
+        columns = [part.column("doc_id"), part.column("held_out"), pa.array(b.n_tokens.astype(np.int64)), pa.array(known), pa.array(base), cells]
+        tables = pa.concat_arrays([pa.nulls(part.num_rows, pa.binary()), pa.array([table.astype("<f8").tobytes()], pa.binary())])
+        return pa.table([*map(one, columns), tables], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "cells", "table"])
+
+    doc_kind = dict(rows.dtypes)["doc_id"]
+    schema = f"doc_id {doc_kind}, held_out boolean, n_tokens long, n_known long, base_score double, cells binary, table binary"
+    met = cut(batches.groupBy("batch").cogroup(answers(batches, int(n)).groupBy("batch")).applyInArrow(meet, schema))
+
+    def summed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = 0.0
+        for some in found:
+            for x in some.column("table"):
+                out = out + np.frombuffer(x.as_buffer(), "<f8")
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at] if len(at) else np.zeros(0))], ["i", "x"])
+
+    table = np.zeros(2 * size + 2 * CLASSES + 2)
+    for r in met.where(F.col("table").isNotNull()).select("table").mapInArrow(summed, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():  # 4,422 rows at most
+        table[r["i"]] = r["x"]
+    seen, drawn = table[:size].reshape([CLASSES] * 3), table[size : 2 * size].reshape([CLASSES] * 3)
+    before, word = table[2 * size : -2].reshape(2, CLASSES)
+    rest = np.maximum(before[:, None] * word / max(float(n), 1) - drawn.sum(axis=2), 0)
+    rate = table[-2] / max(table[-1], 1)
+    ratio = ratios(seen, drawn + rest[:, :, None] * np.bincount(kinds(np.arange(LEVELS + 1)), rate ** np.arange(LEVELS + 1) * (1 - rate), CLASSES)).ravel()
+
+    def gained(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in found:
+            gain = [ratio[np.frombuffer(x.as_buffer(), "<u2")].sum() for x in some.column("cells")]
+            yield pa.RecordBatch.from_arrays([*[some.column(c) for c in names], pc.add(some.column("base_score"), pa.array(gain, pa.float64()))], [*names, "score"])
+
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score"]
+    out = met.where(F.col("table").isNull()).select(*names, "cells").mapInArrow(gained, f"doc_id {doc_kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -281,3 +281,37 @@ def test_dedup_stage_keeps_one_of_each(docs, spark):
     kept = op10_dedup.stage_dedup(spark, docs, "").collect()
     assert Counter(r["doc_id"] for r in kept)[2] == 0 and Counter(r["doc_id"] for r in kept)[1] == 1 and sum(r["doc_id"] is None for r in kept) == 1
     assert kept[0].asDict().keys() == docs.first().asDict().keys()
+
+
+def bigrams(rows: int, seed: int = 1) -> list[tuple[int, str]]:
+    rng = np.random.default_rng(seed)
+    follow = {w: rng.integers(0, 300, 3) for w in range(300)}
+    out = []
+    for i in range(rows):
+        w, text = int(rng.integers(300)), []
+        for _ in range(60):
+            text.append(f"w{w}")
+            w = int(follow[w][rng.integers(3)])
+        out.append((i, " ".join(text)))
+    return out
+
+
+def test_filter_grows_with_the_corpus(spark):
+    for n in (10**6, 10**8, 4 * 10**9):
+        number, width = op01_lm.shape(n)
+        assert number * width >= n and width < 1 << 22
+    df = spark.createDataFrame([(i, t, False) for i, t in bigrams(400)], "doc_id long, text string, held_out boolean").repartition(3)
+    sent = op01_lm.packed(df, ["doc_id", "text", "held_out"])
+    counts = Counter()
+    for _, t in read(df):
+        word, before, _ = op01_lm.tokens(pa.array([t]))
+        counts.update(word.tolist() + op01_lm.pair(before, word).tolist() + [int(op01_lm.START)])
+    number, _ = op01_lm.shape(24_400)
+    parts = {r["batch"]: op01_lm.Batch(op01_lm.unpacked(r["part"]), number) for r in sent.collect()}
+    same = []
+    for r in op01_lm.answers(sent, 24_400).collect():
+        keys = parts[r["batch"]].keys[parts[r["batch"]].segment == r["segment"]]
+        true = np.array([counts[k] for k in keys.tolist()])
+        assert np.frombuffer(r["totals"], "<i8").tolist() == true.tolist() and r["false"] < 0.05
+        same += (np.frombuffer(r["levels"], np.int8) == op01_lm.level(true)).tolist()
+    assert np.mean(same) > 0.95
