@@ -4,7 +4,7 @@ Counts of words and word pairs are quantised on a logarithmic scale, q = 1 + flo
 n-gram is put into a Bloom filter once for every level up to its q. Looking it up probes level
 after level until one is missing. The filter is a set of segments (an n-gram's hash names its segment)
 of about a million training tokens and 8 bits a token each, so it grows with the corpus and its rate of false
-positives does not. No segment is broadcast: the distinct n-grams of about 2 MB of text go to their
+positives does not. No segment is broadcast: the distinct n-grams of about 4 MB of text go to their
 segments together with their training counts; the task of a segment merges the counts, sets the bits, answers
 with level and exact count, and the answers meet their text again by the number of its batch.
 
@@ -33,17 +33,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, flat, mix, remainder, slices, word_hashes
+from .common import cut, documents, flat, mix, remainder, slices, word_hashes, words
 
 BATCH = 1 << 20
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 LEVELS = 24
-#: Documents that fit the ratios.
-DEV = 1500
 HASHES = 3
 CLASSES = 13
 
@@ -134,29 +131,6 @@ def merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[new], np.add.reduceat(counts, new)
 
 
-def word_totals(train: DataFrame, text: str) -> DataFrame:
-    """h (hash), c: exact count of every training token; summed in each task, then by hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def out() -> pa.RecordBatch:
-            keys, counts = merged(held)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["h", "c"])
-
-        for part in slices(batches, text, BATCH):
-            held.append(np.unique(tokens(part.column(text))[0], return_counts=True))
-            if len(held) > 1:
-                held[:] = [merged(held)]
-            if len(held[0][0]) > 1 << 18:
-                yield out()
-        if held:
-            yield out()
-
-    return train.select(text).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-
-
 def build_filter(train: DataFrame, text: str, n_tokens: int, max_bytes: int, group: int = 4 << 20) -> Filter:
     """Counts words and pairs of train by hash range and sets the filter's segments.
 
@@ -238,12 +212,12 @@ class Batch:
 
 
 def packed(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """batch, part: about 2 MB of text in each, as a compressed Arrow stream."""
+    """batch, part: about 4 MB of text in each, as a compressed Arrow stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 2 * BATCH):
+        for part in slices(batches, "text", 4 * BATCH):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, part.select(columns).schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, part.select(columns).schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 9))) as out:
                 out.write_batch(part.select(columns))
             yield pa.RecordBatch.from_arrays([part.column("row").slice(0, 1), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch", "part"])
 
@@ -254,70 +228,83 @@ def unpacked(part: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(part).read_next_batch()
 
 
+def shortened(x: np.ndarray) -> bytes:
+    """Non-negative numbers, a byte each; those from 255 on follow in eight."""
+    return np.minimum(x, 255).astype(np.uint8).tobytes() + x[x >= 255].astype("<i8").tobytes()
+
+
+def restored(blob: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(blob, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(blob, "<i8", offset=n) if len(blob) > n else 0
+    return out
+
+
 def answers(batches: DataFrame, n_tokens: int) -> DataFrame:
-    """batch, segment, levels, totals, false: what the segment says of each n-gram a batch has sent, in the order of its keys."""
+    """batch, segment, totals, above (levels above that of the total, a byte each), false (rate of false positives): what the segment says of each n-gram a batch has sent, in the order of its keys."""
     number, width = shape(n_tokens)
 
     def send(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in found:
             for batch, part in zip(some.column("batch").to_pylist(), some.column("part"), strict=True):
                 b = Batch(unpacked(part.as_buffer()), number)
-                short = b.keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]
-                counts = np.minimum(b.counts(), (1 << 32) - 1).astype("<u4")
+                short, counts = b.keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:], b.counts()
                 at = np.flatnonzero(np.concatenate([[True], b.segment[1:] != b.segment[:-1]]))
                 ends = np.append(at[1:], len(b.segment))
-                blobs = [pa.array([x[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()) for x in (short, counts)]
+                # byte by byte, as the upper bytes of sorted keys compress
+                blobs = [pa.array([f(x[i:j]) for i, j in zip(at, ends, strict=True)], pa.binary()) for f, x in ((lambda k: k.T.tobytes(), short), (shortened, counts))]
                 yield pa.RecordBatch.from_arrays([pa.array(b.segment[at]), pa.array(np.full(len(at), batch)), *blobs], ["segment", "batch", "keys", "counts"])
 
     def fill(group: pa.Table) -> pa.Table:
-        short = [np.frombuffer(k.as_buffer(), np.uint8).reshape(-1, 6) for k in group.column("keys")]
+        short = [np.frombuffer(k.as_buffer(), np.uint8).reshape(6, -1).T for k in group.column("keys")]
         ends = np.cumsum([len(k) for k in short])
         keys = np.zeros((ends[-1], 8), np.uint8)
         np.concatenate(short, out=keys[:, :6])
         keys, back = np.unique(keys.view("<u8").ravel(), return_inverse=True)
-        times = np.concatenate([np.frombuffer(c.as_buffer(), "<u4") for c in group.column("counts")])
+        times = np.concatenate([restored(c.as_buffer(), len(k)) for c, k in zip(group.column("counts"), short, strict=True)])
         totals = np.zeros(len(keys), np.int64)
-        np.add.at(totals, back, times.astype(np.int64))
+        np.add.at(totals, back, times)
         held = Filter(segment(keys[totals > 0], totals[totals > 0], width * 8)[None])
-        levels = held.levels(keys)
+        above = (held.levels(keys) - level(totals)).astype(np.uint8)
         false = float(np.unpackbits(held.bytes_).mean()) ** HASHES
-        blobs = [[x[back[i:j]].tobytes() for i, j in zip(ends - [len(k) for k in short], ends, strict=True)] for x in (levels, totals.astype("<i8"))]
-        return pa.table({"batch": group.column("batch"), "segment": group.column("segment"), "levels": pa.array(blobs[0], pa.binary()), "totals": pa.array(blobs[1], pa.binary()), "false": np.full(len(ends), false)})
+        spans = list(zip(ends - [len(k) for k in short], ends, strict=True))
+        blobs = [pa.array([f(x[back[i:j]]) for i, j in spans], pa.binary()) for f, x in ((shortened, totals), (bytes, above))]
+        return pa.table([group.column("batch"), group.column("segment"), *blobs, pa.array(np.full(len(ends), false))], ["batch", "segment", "totals", "above", "false"])
 
     sent = batches.mapInArrow(send, "segment long, batch long, keys binary, counts binary")
-    return sent.groupBy("segment").applyInArrow(fill, "batch long, segment long, levels binary, totals binary, false double")
+    return sent.groupBy("segment").applyInArrow(fill, "batch long, segment long, totals binary, above binary, false double")
+
 
+def score(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "text", dev: int | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learns from all rows that aren't held out.
 
-def score(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "text", dev: int = DEV) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learns from rows that aren't held out."""
+    dev is accepted from callers that bounded the fit, and not used."""
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), held_out.alias("held_out"))
-    train = rows.where(~F.col("held_out")).select("doc_id", "text")
-    n, v = word_totals(train, "text").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    batches = packed(rows, ["doc_id", "text", "held_out"])
 
-    # ratios are fitted on the training documents that come first by hash
-    dev = min(dev, train.count() // 10)
-    order_by = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
-    short = F.coalesce(F.length("text"), F.lit(0)) <= 100_000
-    last = train.where(short).select(order_by.alias("o")).orderBy("o").limit(dev).agg(F.max("o")).first()[0] if dev else None
-    rows = rows.withColumn("fits", F.lit(False) if last is None else ~F.col("held_out") & short & (order_by <= last))
+    def sizes(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in found:
+            parts = [unpacked(x.as_buffer()) for x in some.column("part")]
+            held = [np.array(part.column("held_out").to_pylist(), bool) for part in parts]
+            yield pa.RecordBatch.from_arrays([pa.array([int((words(*flat(part.column("text")))[2] + 1)[~h].sum()) for part, h in zip(parts, held, strict=True)], pa.int64())], ["n"])
 
-    batches = packed(rows, ["doc_id", "text", "held_out", "fits"])
+    n = batches.mapInArrow(sizes, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     number, _ = shape(int(n))
-    floor, whole, size = 0.5, float(n) + 0.5 * (v + 1), CLASSES**3
+    floor, size = 0.5, CLASSES**3
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         b = Batch(unpacked(left.column("part")[0].as_buffer()), number)
         part, right = b.part, right.sort_by("segment")
-        q, total = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in right.column(name)]) for name, kind in (("levels", np.int8), ("totals", "<i8")))
-        sent = np.array([len(x.as_buffer()) for x in right.column("levels")])
+        sent = [len(x.as_buffer()) for x in right.column("above")]
+        total = np.concatenate([restored(x.as_buffer(), k) for x, k in zip(right.column("totals"), sent, strict=True)])
+        q = level(total) + np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in right.column("above")])
         false = np.repeat(np.clip(right.column("false").to_numpy(), 1e-12, 0.999), sent)
         kind = kinds(q)
         cell = ((kind[b.before] * CLASSES + kind[b.word]) * CLASSES + kind[b.pair]).astype("<u2")
         known = np.bincount(b.owner, total[b.word] > 0, part.num_rows).astype(np.int64)
-        base = np.bincount(b.owner, np.log10((total + floor) / whole)[b.word], part.num_rows)
+        base = np.bincount(b.owner, np.log10(total + floor)[b.word], part.num_rows)
 
-        # seen: neighbours of the fitting texts, each without its own text's counts
-        fits = np.array(part.column("fits").to_pylist(), bool)[b.owner]
+        # seen: neighbours of the training texts, each without its own text's counts
+        of = b.train[b.owner]
         extra = np.floor(np.log((mix(b.keys ^ np.uint64(0x2545F4914F6CDD1D)).astype(np.float64) + 1) / 2.0**64) / np.log(false)).astype(np.int64)
 
         def without(at: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -327,14 +314,13 @@ def score(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "text",
         own_word, own_pair = b.own(b.word), b.own(b.pair)
         own_before = np.concatenate([[1], own_word[:-1]])
         own_before[b.before == b.start] = 1
-        k = [without(at, own)[fits] for at, own in ((b.before, own_before), (b.word, own_word), (b.pair, own_pair))]
+        k = [without(at, own)[of] for at, own in ((b.before, own_before), (b.word, own_word), (b.pair, own_pair))]
         seen = np.bincount((k[0] * CLASSES + k[1]) * CLASSES + k[2], minlength=size)
 
         # drawn: every distinct pair of the training texts once, so each of its occurrences weighs one by its count
-        of = b.train[b.owner]
         weight = total[b.before[of]].astype(float) * total[b.word[of]] / (max(float(n), 1) * np.maximum(total[b.pair[of]], 1))
         drawn = np.bincount(cell[of], weight, size)
-        table = np.concatenate([seen, drawn, np.bincount(kind[b.before[of]], minlength=CLASSES), np.bincount(kind[b.word[of]], minlength=CLASSES), [false.mean(), 1]])
+        table = np.concatenate([seen, drawn, np.bincount(kind[b.before[of]], minlength=CLASSES), np.bincount(kind[b.word[of]], minlength=CLASSES), [(1 / total[b.word[of]]).sum(), false.mean(), 1]])
         stops = np.cumsum(b.n_tokens)
         cells = pa.array([cell[i:j].tobytes() for i, j in zip(stops - b.n_tokens, stops, strict=True)], pa.binary())
         one = lambda x: pa.concat_arrays([x, pa.nulls(1, x.type)])
@@ -354,19 +340,21 @@ def score(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "text",
         at = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at] if len(at) else np.zeros(0))], ["i", "x"])
 
-    table = np.zeros(2 * size + 2 * CLASSES + 2)
-    for r in met.where(F.col("table").isNotNull()).select("table").mapInArrow(summed, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():  # 4,422 rows at most
+    table = np.zeros(2 * size + 2 * CLASSES + 3)
+    for r in met.where(F.col("table").isNotNull()).select("table").mapInArrow(summed, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():  # 4,423 rows at most
         table[r["i"]] = r["x"]
     seen, drawn = table[:size].reshape([CLASSES] * 3), table[size : 2 * size].reshape([CLASSES] * 3)
-    before, word = table[2 * size : -2].reshape(2, CLASSES)
+    before, word = table[2 * size : -3].reshape(2, CLASSES)
     rest = np.maximum(before[:, None] * word / max(float(n), 1) - drawn.sum(axis=2), 0)
     rate = table[-2] / max(table[-1], 1)
+    whole = float(n) + 0.5 * (round(table[-3]) + 1)  # each occurrence of a word adds one by its count, so distinct words are counted
     ratio = ratios(seen, drawn + rest[:, :, None] * np.bincount(kinds(np.arange(LEVELS + 1)), rate ** np.arange(LEVELS + 1) * (1 - rate), CLASSES)).ravel()
 
     def gained(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in found:
             gain = [ratio[np.frombuffer(x.as_buffer(), "<u2")].sum() for x in some.column("cells")]
-            yield pa.RecordBatch.from_arrays([*[some.column(c) for c in names], pc.add(some.column("base_score"), pa.array(gain, pa.float64()))], [*names, "score"])
+            base = some.column("base_score").to_numpy() - some.column("n_tokens").to_numpy() * np.log10(whole)
+            yield pa.RecordBatch.from_arrays([*[some.column(c) for c in names[:-1]], pa.array(base), pa.array(base + np.array(gain))], [*names, "score"])
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score"]
     out = met.where(F.col("table").isNull()).select(*names, "cells").mapInArrow(gained, f"doc_id {doc_kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")

@@ -312,6 +312,16 @@ def test_filter_grows_with_the_corpus(spark):
     for r in op01_lm.answers(sent, 24_400).collect():
         keys = parts[r["batch"]].keys[parts[r["batch"]].segment == r["segment"]]
         true = np.array([counts[k] for k in keys.tolist()])
-        assert np.frombuffer(r["totals"], "<i8").tolist() == true.tolist() and r["false"] < 0.05
-        same += (np.frombuffer(r["levels"], np.int8) == op01_lm.level(true)).tolist()
+        assert op01_lm.restored(r["totals"], len(keys)).tolist() == true.tolist() and r["false"] < 0.05
+        same += (np.frombuffer(r["above"], np.uint8) == 0).tolist()
     assert np.mean(same) > 0.95
+
+
+def test_every_training_text_informs_the_ratios(spark):
+    df = spark.createDataFrame([(i, t, i % 2 == 1) for i, t in bigrams(16)], "doc_id long, text string, h boolean")
+    for rows in (df, df.selectExpr("doc_id", "concat(text, repeat(concat(' ', text), 400)) text", "h")):  # 8 documents; texts of over 100,000 characters
+        found = op01_lm.score(rows, rows["h"]).where("held_out").selectExpr("sum(base_score) b", "sum(score) s").first()
+        assert found["s"] > found["b"] + 1
+    copies = df.selectExpr("doc_id", "'a b c d e f' text", "h")
+    found = op01_lm.score(copies, copies["h"]).where("held_out").selectExpr("sum(base_score) b", "sum(score) s").first()
+    assert found["s"] > found["b"] + 1
