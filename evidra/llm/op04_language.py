@@ -25,14 +25,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, mix, remainder, slices
 from .pretokens import LETTER, classes
 
 BUCKET_BITS, BATCH = 16, 1 << 19
-#: At most so many labelled rows (of up to 20,000 characters, whole) fit scale, shift and weight of the bits; all rows count in the n-grams.
+#: At most so many labelled rows (whole, and one of each language at least) fit scale, shift and weight of the bits; all rows count in the n-grams.
 SAMPLE = 4000
 AMBIGUOUS = 0.5
 
@@ -114,9 +114,38 @@ class Model:
         return [self.languages[w] if h else "und" for w, h in zip(win, has, strict=True)], np.where(has, score, 0.0), unsure | ~has
 
 
-def fit(train: DataFrame, *, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
+def calibration(rows: DataFrame, model: Model, each: int) -> list:
+    """l, raw (margins of the bits) of the `each` first rows of every language by a hash of id and text, of those with a letter.
+
+    A histogram of the hash by eighths of an octave gives each language's bound, so every language has its rows at any size
+    and about a tenth too many are looked at. Margins are computed in tasks; no text leaves them."""
+    place = F.xxhash64("k", "t").bitwiseAND((1 << 60) - 1)
+    with_letter = rows.where(F.col("t").rlike(r"\p{L}")).withColumn("o", place).withColumn("octave", F.floor(8 * F.log2(F.col("o") + 1)).cast("int"))
+    sizes: dict[str, list[tuple[int, int]]] = {}
+    for r in with_letter.groupBy("l", "octave").count().collect():  # 481 rows a language at most
+        sizes.setdefault(r["l"], []).append((r["octave"], r["count"]))
+    bounds = []
+    for name, found in sizes.items():
+        octaves, counts = zip(*sorted(found), strict=True)
+        bounds.append((name, octaves[min(int(np.searchsorted(np.cumsum(counts), each)), len(octaves) - 1)]))
+    if not bounds:
+        return []
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "t", BATCH):
+            raw, has = shared.value.raw(part.column("t").to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column("l"), part.column("o"), pa.array([x.astype("<f8").tobytes() for x in raw], pa.binary()), pa.array(has)], ["l", "o", "raw", "has"])
+
+    bound = F.broadcast(rows.sparkSession.createDataFrame(bounds, "l string, last int"))  # one row a language
+    margins = with_letter.join(bound, "l").where(F.col("octave") <= F.col("last")).select("l", "o", "t").mapInArrow(run, "l string, o long, raw binary, has boolean").where("has")
+    first = Window.partitionBy("l").orderBy("o", "raw")
+    return margins.withColumn("i", F.row_number().over(first)).where(F.col("i") <= each).select("l", "raw").orderBy("l", "raw").collect()
+
+
+def fit(train: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Model:
     """Learns from every row of train with text and language."""
-    rows = train.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"))
+    rows = train.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.col(key).alias("k"))
     size = 1 << BUCKET_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +160,7 @@ def fit(train: DataFrame, *, text: str = "text", lang: str = "lang", sample: int
             at = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(found[at], pa.int64())], ["l", "bucket", "n"])
 
-    summed = rows.mapInArrow(count, "l string, bucket int, n long").groupBy("l", "bucket").agg(F.sum("n").alias("n"))
+    summed = rows.select("t", "l").mapInArrow(count, "l string, bucket int, n long").groupBy("l", "bucket").agg(F.sum("n").alias("n"))
     found = summed.toArrow()
     languages = sorted(set(found.column("l").to_pylist()))
     code = codewords(len(languages)) if languages else np.zeros((0, 0), np.int8)
@@ -146,17 +175,14 @@ def fit(train: DataFrame, *, text: str = "text", lang: str = "lang", sample: int
         table[:, b] = np.log(one.mean(axis=0)) - (np.log(other.mean(axis=0)) if len(other) else 0)
     model = Model(languages, code, table, np.ones(code.shape[1]), np.zeros(code.shape[1]), np.ones(code.shape[1]))
     each = max(1, sample // len(languages))
-    some: list = []
-    sizes = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
-    for name in languages:  # by a threshold on the text's hash, so no task sends more than its share
-        share = int(np.ceil(min(1.0, each / sizes[name]) * (1 << 30)))
-        some += rows.where((F.col("l") == name) & (F.length("t") <= 20_000) & (F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < share)).limit(each).collect()
-    found = [model.raw([r["t"] for r in some[i : i + 100]]) for i in range(0, len(some), 100)]
-    raw, has = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-    truth = code[np.searchsorted(languages, [r["l"] for r in some])]
-    raw, truth = raw[has], truth[has]
+    some = calibration(rows, model, each)
+    raw = np.array([np.frombuffer(r["raw"], "<f8") for r in some]).reshape(len(some), code.shape[1])
+    truth = code[np.searchsorted(languages, [r["l"] for r in some])] if some else np.zeros((0, code.shape[1]))
     for b in range(code.shape[1] if len(raw) else 0):
         x, y = raw[:, b], (truth[:, b] > 0).astype(float)
+        if len(languages) > 1 and y.min() == y.max():  # other languages of the bit have no text with a letter
+            model.weight[b] = 0.5
+            continue
         unit = max(float(x.std()), 1e-9)
         a, c = 1.0, 0.0
         w = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))

@@ -325,3 +325,16 @@ def test_every_training_text_informs_the_ratios(spark):
     copies = df.selectExpr("doc_id", "'a b c d e f' text", "h")
     found = op01_lm.score(copies, copies["h"]).where("held_out").selectExpr("sum(base_score) b", "sum(score) s").first()
     assert found["s"] > found["b"] + 1
+
+
+@pytest.mark.parametrize("both", [True, False])
+def test_languages_of_long_texts_or_copies_are_calibrated(spark, both):
+    en, de = "the quick brown fox jumps over the lazy dog near the river bank ", "der schnelle braune fuchs springt ueber den faulen hund am ufer des flusses "
+    rows = [(i, (en if i % 2 else de + "und noch ein wort ") * (400 if both or i % 2 == 0 else 1), "en" if i % 2 else "de") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = op04_language.fit(df)
+    assert {(r["lang"], r["lang_pred"]) for r in op04_language.predict(df, model, carry=("doc_id", "lang")).collect()} == {("en", "en"), ("de", "de")}
+    copies = spark.createDataFrame([(i, [en, de][i % 2], ["en", "de"][i % 2]) for i in range(400)], "doc_id long, text string, lang string")
+    for text in ("text", "concat(text, doc_id)"):
+        model = op04_language.fit(copies.selectExpr("doc_id", f"{text} text", "lang"), sample=8)
+        assert {(r["lang"], r["lang_pred"]) for r in op04_language.predict(copies, model, carry=("doc_id", "lang")).collect()} == {("en", "en"), ("de", "de")}
