@@ -5,8 +5,8 @@ text. A term (a word of four letters or more) discloses an entity if seeing the
 what seeing the entity would: its pointwise mutual information with the entity, estimated from
 co-occurrence over all documents, is measured against the entity's own information content,
 log2(n t,e * n / (n t * n e)) / log2(n / n e). From `remove` on the term is removed, from `generalise`
-on it is replaced by its category. Co-occurring means standing within `window` words on the entity's line;
-n t counts the documents that hold the term anywhere. A pair needs `support` distinct texts.
+on it is replaced by its category. Co-occurring means standing anywhere in the same text, and
+the term is masked wherever it stands in a text of that entity. A pair needs `support` distinct texts.
 
 Only DataFrame functions are used. The spans of a kind come from the matches and the pieces
 between them, whose lengths add up to positions (code points). The patterns carry look-behinds and possessive
@@ -91,32 +91,60 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kind(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def terms(docs: DataFrame, hits: DataFrame, *, text: str = "text", window: int = 12, support: int = 3, generalise: float = 0.75, remove: float = 0.9) -> DataFrame:
+def free_words(text: Column, spans: Column) -> Column:
+    """Hashes of the distinct words that no span overlaps: a span leaves a blank, and a mark where its edge is a letter."""
+    mark = "\u01c2\u01c2span\u01c2\u01c2"
+
+    def step(a: Column, s: Column) -> Column:
+        inside = F.substring(text, s["start"] + 1, s["end"] - s["start"])
+        first, last = (F.when(inside.rlike(edge), F.lit(mark)).otherwise(F.lit("")) for edge in (r"^\p{L}", r"\p{L}$"))
+        new = F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), first, F.lit(" "), last).alias("out"))
+        beyond = F.struct(s["end"].alias("at"), F.concat(a["out"], last).alias("out"))
+        return F.when(s["start"] >= a["at"], new).when(s["end"] > a["at"], beyond).otherwise(a)
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    blanked = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    found = F.filter(F.regexp_extract_all(blanked, F.lit(WORD), F.lit(0)), lambda w: ~F.contains(w, F.lit(mark)))
+    return F.array_distinct(F.transform(found, lambda w: F.xxhash64(F.lower(w))))
+
+
+def flagged_spans(text: Column, spans: Column, flagged: Column) -> Column:
+    """Spans of the words whose hash is a key of flagged (to what becomes of them) and that no span overlaps."""
+    found, between = F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.split(text, WORD, -1)
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        start = a["at"] + x["gap"]
+        end = start + x["size"]
+        span = F.struct(start.alias("start"), F.lit(4).alias("kind"), end.alias("end"), x["action"].alias("value"))
+        out = F.when(x["action"].isNull() | F.exists(spans, lambda s: (s["start"] < end) & (s["end"] > start)), a["out"]).otherwise(F.array_append(a["out"], span))
+        return F.struct(end.alias("at"), out.alias("out"))
+
+    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda v, g: F.struct(F.length(g).alias("gap"), F.length(v).alias("size"), F.try_element_at(flagged, F.xxhash64(F.lower(v))).alias("action")))
+    return F.aggregate(pairs, empty, step, lambda a: a["out"])
+
+
+def terms(docs: DataFrame, hits: DataFrame, *, text: str = "text", support: int = 3, generalise: float = 0.75, remove: float = 0.9) -> DataFrame:
     """node, extra: spans of disclosing terms in each text with an entity; value says what becomes of them.
 
     hits: node, text, spans of every document with an entity."""
     held = cut(hits.groupBy("node").agg(F.count("*").alias("copies"), F.first("text").alias("text"), F.first("spans").alias("spans")))
     entity = F.concat(F.col("s.kind").cast("string"), F.lit(":"), F.when(F.col("s.kind").isin(2, 3), F.regexp_replace("s.value", "[^0-9]", "")).otherwise(F.lower("s.value")))
-    before = F.split(F.substring_index(F.substring(F.col("text"), F.lit(1), F.col("s.start")), "\n", -1), " ")
-    after = F.split(F.substring_index(F.substring(F.col("text"), F.col("s.end") + 1, F.length("text")), "\n", 1), " ")
-    left = F.array_join(F.slice(before, F.greatest(F.size(before) - window, F.lit(1)), F.lit(window + 1)), " ")
-    right = F.array_join(F.slice(after, F.lit(1), F.lit(window + 1)), " ")
-    around = held.select("node", "copies", "spans", F.explode("spans").alias("s"), "text").select("node", "copies", "spans", entity.alias("entity"), (F.col("s.start") - F.length(left)).alias("at"), F.concat(left, "s.value", right).alias("context"))
-    words = around.select("node", "copies", "spans", "entity", "at", F.explode(positions(F.col("context"), WORD)).alias("w"))
-    placed = words.select("node", "copies", "spans", "entity", (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"), F.xxhash64(F.lower("w.value")).alias("term"))
-    free = placed.where(~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))).drop("spans")
-    free = cut(free)
-
-    pairs = free.select("node", "copies", "entity", "term").distinct().groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= support)
-    entities = around.select("node", "copies", "entity").distinct().groupBy("entity").agg(F.sum("copies").alias("n_e"))
+    owns = held.select("node", "copies", F.explode("spans").alias("s")).select("node", "copies", entity.alias("entity")).distinct()
+    entities = owns.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts")
+    owns = cut(owns.join(entities, "entity"))  # a pair can't stand in more texts than its entity
+
+    of_node = owns.groupBy("node", "copies").agg(F.collect_list(F.struct("entity", "n_e")).alias("entities"))
+    words = of_node.join(held.select("node", "text", "spans"), "node").select("copies", "entities", F.explode(free_words(F.col("text"), F.col("spans"))).alias("term"))
+    pairs = words.select("copies", "term", F.explode("entities").alias("e")).groupBy("e.entity", "e.n_e", "term").agg(F.sum("copies").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= support)
     counted = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)))).alias("term"))
     counted = counted.groupBy("term").agg(F.count("*").alias("n_t"))
     n = docs.count()
-    told = pairs.join(entities, "entity").join(counted, "term").withColumn("share", F.log2(F.col("n_te") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e"))) / F.log2(F.lit(float(n)) / F.col("n_e")))
+    told = pairs.join(counted, "term").withColumn("share", F.log2(F.col("n_te") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e"))) / F.log2(F.lit(float(n)) / F.col("n_e")))
     told = cut(told.where((F.col("n_e") < n) & (F.col("share") >= generalise)).select("entity", "term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action")))
-    found = free.join(told, ["entity", "term"]).groupBy("node", "start", "end").agg(F.max("action").alias("action"))
-    span = F.struct("start", F.lit(4).alias("kind"), "end", F.col("action").alias("value"))
-    return found.groupBy("node").agg(F.array_sort(F.collect_list(span)).cast(SPAN).alias("extra"))
+    flagged = owns.join(told, "entity").groupBy("node", "term").agg(F.max("action").alias("action"))
+    flagged = flagged.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("flagged"))
+    return held.join(flagged, "node").select("node", flagged_spans(F.col("text"), F.col("spans"), F.col("flagged")).alias("extra")).where(F.size("extra") > 0)
 
 
 def node(text: Column) -> Column:

@@ -338,3 +338,13 @@ def test_languages_of_long_texts_or_copies_are_calibrated(spark, both):
     for text in ("text", "concat(text, doc_id)"):
         model = op04_language.fit(copies.selectExpr("doc_id", f"{text} text", "lang"), sample=8)
         assert {(r["lang"], r["lang_pred"]) for r in op04_language.predict(copies, model, carry=("doc_id", "lang")).collect()} == {("en", "en"), ("de", "de")}
+
+
+def test_terms_far_from_the_entity_are_found(spark):
+    filler = " ".join(f"filler{i}" for i in range(20)).replace("1", "x")
+    rows = [(i, f"Contact:\nx@y.zz\n{filler} Zebrowski {'and so on' * i}") for i in range(4)] + [(i, f"plain words {filler} number {i}") for i in range(4, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in op05_pii.find(df).collect():
+        text = dict(rows)[r["doc_id"]]
+        at = [s.split(":")[1:] for s in r["spans"].split(",") if s.startswith("term")]
+        assert ("Zebrowski" in {text[int(a) : int(b)] for a, b in at}) == (r["doc_id"] < 4)
