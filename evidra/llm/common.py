@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +24,42 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and goes on from there.
 
-    The folder is spark.checkpoint.dir; only where that is unset (tests, one machine) a
-    temporary one is made."""
+    The folder is spark.checkpoint.dir. Where that is unset, a local master (tests) gets a
+    temporary one; on a cluster it is an error, as a machine's own folder goes with the machine."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return df.checkpoint()
 
 
+#: A key with more than one in so many rows is hot; so there are never more hot keys than this.
+HOT = 1000
+
+
+def hot_keys(counts: DataFrame, on: Sequence[str], n: str = "n", share: int = HOT) -> DataFrame:
+    """_key (hash), _parts of the keys that hold more than 1/share of all rows: fewer than `share` rows of two numbers.
+
+    counts: one row a key with its number of rows n. A part holds about 1/share of the rows."""
+    total = counts.agg(F.coalesce(F.sum(n), F.lit(0)).cast("double")).first()[0]
+    hot = counts.where(F.col(n) * F.lit(float(share)) > F.greatest(F.lit(total), F.lit(float(share))))
+    parts = F.least(F.ceil(F.col(n) * share / F.lit(max(total, 1.0))), F.lit(share)).cast("int")
+    return hot.groupBy(F.xxhash64(*on).alias("_key")).agg(F.max(parts).alias("_parts"))
+
+
+def spread_join(many: DataFrame, one: DataFrame, on: Sequence[str], hot: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """many joined with one (a row a key) where a key's rows in many are split into its parts, so no task gets a hot key whole.
+
+    by: columns of many that tell a key's rows apart. Only the hot keys' numbers are broadcast; of `one`, the rows of hot keys are repeated."""
+    few = F.broadcast(hot)
+    parts = F.coalesce("_parts", F.lit(1))
+    left = many.withColumn("_key", F.xxhash64(*on)).join(few, "_key", "left").withColumn("_part", F.pmod(F.xxhash64(*by), parts).cast("int")).drop("_key", "_parts")
+    right = one.withColumn("_key", F.xxhash64(*on)).join(few, "_key", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_key", "_parts")
+    return left.join(right, [*on, "_part"], how).drop("_part")
+
+
 def remainder(doc_id: str, n: int):
     """crc32 of doc_id as text, modulo n; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(n).cast("long"))
