@@ -7,7 +7,9 @@ one step of every block at a time. The 8 kHz PCM is resampled to 16 kHz (every s
 a four-tap midpoint (-1, 9, 9, -1)/16 goes between) and is stored as 16-bit PCM in a chunk of
 the same file, so a reader has both the payload without loss and samples to train on.
 
-All work is map-only, over batches bounded in bytes; a document is read whole.
+All work is map-only, over batches bounded in bytes; a document is read whole. A RIFF file holds
+less than 4 GiB, which ADPCM reaches at a text of about 590 MB: such a text is stored as mu-law or A-law (the
+codec is still taken from the checksum), which hold twice as much, more than a string column does.
 
 Edge cases: null and empty text give 576 bytes of padding. Blocks whose header names a step
 above 88 use 88. Texts that are equal have equal values, as the codec is taken from the payload's
@@ -29,6 +31,8 @@ from .common import documents, flat, slices
 
 UNIT, RATE, BLOCK, BATCH = 576, 8000, 36, 2 << 20
 CODECS = ("mulaw", "alaw", "adpcm")
+#: Payload bytes from which ADPCM's samples would not fit a RIFF file.
+ADPCM_MOST = 1 << 29
 #: WAVE format tags.
 TAGS = {"mulaw": 7, "alaw": 6, "adpcm": 17}
 #: Fixed values of IMA ADPCM: step sizes, and the change of the step index by code.
@@ -133,7 +137,7 @@ def stored(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[bytes, int]]:
     rows = np.repeat(to[:-1] - offsets[:-1], sizes)
     every[np.arange(len(raw)) + rows] = raw
     payloads = [every[a:b].tobytes() for a, b in zip(to[:-1], to[1:], strict=True)]
-    codecs = [CODECS[zlib.crc32(p) % 3] for p in payloads]
+    codecs = [CODECS[zlib.crc32(p) % (3 if len(p) < ADPCM_MOST else 2)] for p in payloads]
     is_adpcm = np.array([c == "adpcm" for c in codecs])
     blocks = every[np.repeat(is_adpcm, padded)]
     samples = decode("adpcm", blocks)

@@ -49,7 +49,7 @@ class Identifiers:
         self.used = 0
 
     def _make(self, new: list[str]) -> list[int]:
-        """Puts the pieces' identifiers at the end of the arena; gives place * 2**24 + number."""
+        """Puts the pieces' identifiers at the end of the arena; gives place * 2**32 + number."""
         out = []
         for k in range(0, len(new), 4096):
             some = [e.ids for e in self.library.encode_batch(new[k : k + 4096], add_special_tokens=False)]
@@ -58,7 +58,7 @@ class Identifiers:
                 self.arena = np.concatenate([self.arena, np.zeros(max(len(self.arena), len(flat)), self.dtype)])
             self.arena[self.used : self.used + len(flat)] = flat
             for ids in some:
-                out.append(self.used << 24 | len(ids))
+                out.append(self.used << 32 | len(ids))
                 self.used += len(ids)
         return out
 
@@ -71,7 +71,7 @@ class Identifiers:
         split, counts = parts(["" if k in whole_texts else t for k, t in enumerate(texts)])
         whole, starts, ends, hashes, each = pieces(split)
         values = self.known.find(whole, starts, ends, hashes, self._make)
-        place, number = values >> 24, values & ((1 << 24) - 1)
+        place, number = values >> 32, values & ((1 << 32) - 1)
         sums = np.concatenate([[0], np.cumsum(number)])
         ids = self.arena[np.repeat(place - sums[:-1], number) + np.arange(sums[-1])]
         at = sums[np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(counts)])]].tolist()
