@@ -348,3 +348,81 @@ def test_terms_far_from_the_entity_are_found(spark):
         text = dict(rows)[r["doc_id"]]
         at = [s.split(":")[1:] for s in r["spans"].split(",") if s.startswith("term")]
         assert ("Zebrowski" in {text[int(a) : int(b)] for a, b in at}) == (r["doc_id"] < 4)
+
+
+def test_a_text_of_twenty_thousand_addresses(spark):
+    import time
+
+    text = " ".join(f"10.{i % 250}.{i // 250 % 250}.{i % 199}" for i in range(20_000))
+    df = spark.createDataFrame([(j, f"{text} line {j} hostnamea") for j in range(3)] + [(9, None), (10, "plain words")], "doc_id long, text string").selectExpr("*", "'x' row", "'y' spans", "1L n_chars")
+    began = time.time()
+    out = {r["doc_id"]: r for r in op05_pii.find(df).collect()}
+    assert time.time() - began < 60 and [out[j]["n_ip"] for j in (0, 1, 2, 9, 10)] == [20_000] * 3 + [0, 0]
+    clean = op05_pii.stage_pii(spark, df, "").where("doc_id = 1").first()
+    assert clean["text"].startswith("[IP] [IP] ") and clean["text"].count("[IP]") == 20_000 and "10." not in clean["text"] and clean["n_chars"] == len(clean["text"]) and clean["row"] == "x"
+
+
+def plain_terms(rows, support=3, generalise=0.75):
+    """Flagged (doc_id, term) by counting every pair of term and entity."""
+    held, n_t, n_e, n_te, texts = {}, Counter(), Counter(), Counter(), defaultdict(set)
+    for i, t in rows:
+        spans = plain_spans(t)
+        every = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\W\d_]{4,}", t)]
+        n_t.update({w for _, _, w in every})
+        entities = {t[a:b].lower() if k < 2 else re.sub("[^0-9]", "", t[a:b]) for a, k, b in spans}
+        held[i] = entities, {w for a, b, w in every if not any(s < b and e > a for s, _, e in spans)}
+        n_e.update(entities)
+        for e in entities:
+            texts[e].add(t)
+            for w in held[i][1]:
+                n_te[e, w] += 1
+                texts[e, w].add(t)
+    n = len(rows)
+    share = lambda e, w: np.log2(n_te[e, w] * n / (n_t[w] * n_e[e])) / np.log2(n / n_e[e])
+    return {(i, w) for i, (es, ws) in held.items() for e in es for w in ws if len(texts[e]) >= support and len(texts[e, w]) >= support and n_e[e] < n and share(e, w) >= generalise}
+
+
+def test_terms_match_plain_counts(spark):
+    rng = np.random.default_rng(12)
+    letters = "abcdefghij"
+    vocabulary = ["".join(rng.choice(list(letters), 5)) for _ in range(60)]
+    entities = ["a@b.cc", "z.y@x.org", "10.1.2.3", "+1 555 010 9999", "4111 1111 1111 1111"]
+    rows = []
+    for i in range(240):
+        k = int(rng.integers(0, 12))
+        some = list(rng.choice(vocabulary[:40] if k > 4 else vocabulary[8 * k : 8 * k + 20], 8))
+        if k < 5:
+            some.insert(int(rng.integers(0, 8)), entities[k])
+        if i % 17 == 0:
+            some.append(entities[i % 5])
+        rows.append((i, " ".join(some) + (" " + "q" * (i % 5) if i % 3 else "")))
+    rows += rows[:20]
+    df = spark.createDataFrame([(j, t) for j, (_, t) in enumerate(rows)], "doc_id long, text string")
+    want = plain_terms(list(enumerate(t for _, t in rows)))
+    got = set()
+    for r in op05_pii.find(df).collect():
+        text = rows[r["doc_id"]][1]
+        got |= {(r["doc_id"], text[int(a) : int(b)].lower()) for kind, a, b in (s.split(":") for s in r["spans"].split(",") if s) if kind == "term"}
+    assert got == want and len(want) > 20
+
+
+def test_decoding_matches_a_plain_decoder(docs):
+    """Loss-weighted decoding, bit by bit and language by language."""
+    model = op04_language.fit(docs)
+    texts = [t for _, t in read(docs)]
+    names, scores, _ = model.predict(texts)
+    for t, name, score in zip(texts, names, scores):
+        lowered = "".join(c if c.isalpha() else " " for c in f" {t.lower()} ")
+        grams = [lowered[i : i + n] for n in (1, 2, 3) for i in range(len(lowered) - n + 1)]
+        grams = [g for g in grams if (len(g) == 1 and g != " ") or (len(g) == 2 and g.strip()) or (len(g) == 3 and g[1] != " ")]
+        if not any(c.isalpha() for c in t):
+            assert (name, score) == ("und", 0)
+            continue
+        bucket, owner, _ = op04_language.grams([t])
+        assert len(bucket) == len(grams)
+        raw = [np.mean([float(model.table[b, bit]) for b in bucket]) for bit in range(model.code.shape[1])]
+        loss = []
+        for word in model.code:
+            margins = [min(4, max(-4, r * a + c)) for r, a, c in zip(raw, model.scale, model.shift)]
+            loss.append(sum(w * np.exp(-m * int(bit)) for w, m, bit in zip(model.weight, margins, word)))
+        assert model.languages[int(np.argmin(loss))] == name and abs(score - 1 / sum(np.exp(min(loss) - x) for x in loss)) < 1e-6
