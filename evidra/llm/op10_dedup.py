@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MASK, cut, documents, flat, mix, slices, word_hashes
+from .common import MASK, cut, documents, flat, hot_keys, mix, slices, spread_join, word_hashes
 
 WORDS, SIMILARITY, BANDS, ROWS, BATCH = 5, 0.8, 24, 5, 2 << 20
 #: Buckets of more nodes are looked at in blocks of so many.
@@ -149,7 +149,10 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             yield part.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     t = texts.select("node", "text")
-    joined = pairs.join(t.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(t.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
+    joined = pairs
+    for one, other in (("a", "b"), ("b", "a")):  # a pivot may have a third of all pairs
+        hot = hot_keys(pairs.groupBy(one).agg(F.count("*").alias("n")), [one])
+        joined = spread_join(joined, t.withColumnsRenamed({"node": one, "text": f"text_{one}"}), [one], hot, [other])
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
@@ -203,14 +206,19 @@ def blocks(rows: DataFrame, least: float) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, label: the smallest node that links lead to (smallest labels pass along links, then jump)."""
+    """node, label: the smallest node that links lead to (smallest labels pass along links, then jump).
+
+    A pivot with very many links, and the label of a giant class, are joined in parts."""
     both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    hubs = cut(hot_keys(both.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n")), ["node"]))
+    ends = both.withColumnRenamed("b", "node")
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("m"))
-        passed = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
+        near = spread_join(ends, labels, ["node"], hubs, ["a"]).groupBy("a").agg(F.min("label").alias("m"))
+        passed = cut(labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label")))
         over = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = cut(passed.join(over, "label", "left").select("node", "old", F.least("label", "next").alias("label")))
+        giants = hot_keys(passed.groupBy("label").agg(F.count("*").alias("n")), ["label"])
+        new = cut(spread_join(passed, over, ["label"], giants, ["node"], "left").select("node", "old", F.least("label", "next").alias("label")))
         if new.where("label <> old").limit(1).count() == 0:
             return labels
         labels = new.select("node", "label")
@@ -222,13 +230,14 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: f
     nodes = cut(signs.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
     members = nodes.where("size(bands) > 0").select("node", F.explode("bands").alias("bucket"))
 
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    together = cut(members.join(sizes, "bucket"))
+    sizes = cut(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    full = cut(hot_keys(sizes, ["bucket"]))  # buckets of so many nodes that they are joined in parts
+    together = cut(spread_join(members, sizes, ["bucket"], full, ["node"]))
     # a node that shares large buckets stands in the middle of its group: the best pivot
     middle = together.groupBy("node").agg(F.sum("n").alias("middle"))
     ranked = together.drop("n").join(middle, "node")
     pivots = ranked.groupBy("bucket").agg(F.max(F.struct("middle", "node")).alias("p")).select("bucket", F.col("p.node").alias("pivot"))
-    shared = cut(ranked.select("bucket", "node").join(pivots, "bucket"))
+    shared = cut(spread_join(ranked.select("bucket", "node"), pivots, ["bucket"], full, ["node"]))
     stars = cut(shared.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
     needed = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node")
     texts = cut(_texts(docs, key, text, needed))
@@ -240,7 +249,7 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: f
     parts = known.groupBy("bucket", "part").agg(F.count("*").alias("n"))
     open_ = parts.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("m"), F.sum("n").alias("every")).where(F.col("m.n") < F.col("every"))
     about = open_.select("bucket", F.col("m.part").alias("main"), "every", (F.col("every") - F.col("m.n")).alias("loose"))
-    rest = cut(known.join(about, "bucket"))
+    rest = cut(spread_join(known, about, ["bucket"], full, ["node"]))
     small, large = rest.where(F.col("every") <= SMALL), rest.where(F.col("every") > SMALL)
     other = small.select("bucket", F.col("node").alias("b"), F.col("part").alias("part_b"))
     pairs = small.where("part <> main").join(other, "bucket").where("part <> part_b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
@@ -248,12 +257,15 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: f
     if more.limit(1).count():
         labels = components(links.unionByName(more))
 
-    named = nodes.join(labels, "node", "left").select("node", "doc_id", "copies", F.coalesce("label", "node").alias("label"))
+    named = cut(nodes.join(labels, "node", "left").select("node", "doc_id", "copies", F.coalesce("label", "node").alias("label")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first")
-    classes = named.groupBy("label").agg(first, F.sum("copies").alias("class_size"))
-    by_node = named.select("node", "label").join(classes, "label").select("node", F.col("first.doc_id").alias("class_id"), (F.col("node") == F.col("first.node")).alias("head"), "class_size")
+    classes = cut(named.groupBy("label").agg(first, F.sum("copies").alias("class_size"), F.count("*").alias("n")))
+    giants = hot_keys(classes, ["label"])
+    by_node = spread_join(named.select("node", "label", "copies"), classes, ["label"], giants, ["node"])
+    by_node = cut(by_node.select("node", "copies", F.col("first.doc_id").alias("class_id"), (F.col("node") == F.col("first.node")).alias("head"), "class_size"))
     kept = F.col("head") & F.col("doc_id").eqNullSafe(F.col("class_id"))
-    return signs.select("node", "doc_id").join(by_node, "node").select("doc_id", "node", "class_id", "class_size", kept.alias("kept"))
+    rows_ = spread_join(signs.select("node", "doc_id"), by_node.drop("copies"), ["node"], hot_keys(by_node, ["node"], "copies"), ["doc_id"])
+    return rows_.select("doc_id", "node", "class_id", "class_size", kept.alias("kept"))
 
 
 def _texts(docs: DataFrame, key: str, text: str, needed: DataFrame) -> DataFrame:
@@ -269,8 +281,9 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: one document of every class, that with the smallest id (once, if its row is repeated)."""
-    kept = groups(docs).where("kept").select(F.col("node").alias("_n"), F.col("doc_id").alias("_d")).distinct()
+    kept = groups(docs).where("kept").groupBy(F.col("node"), F.col("doc_id").alias("_d")).agg(F.max("class_size").alias("n"))
+    kept = cut(kept)
     row = F.struct(*[F.col(c) for c in docs.columns])
     rows = with_node(docs.withColumn("_row", row), "doc_id", "text", "_row").drop("text")
-    same = (F.col("node") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("_d"))
-    return rows.join(kept, same).groupBy("node", "doc_id").agg(F.min("_row").alias("_row")).select("_row.*")
+    rows = spread_join(rows, kept, ["node"], hot_keys(kept, ["node"]), ["doc_id"]).where(F.col("doc_id").eqNullSafe(F.col("_d")))
+    return rows.groupBy("node", "doc_id").agg(F.min("_row").alias("_row")).select("_row.*")
