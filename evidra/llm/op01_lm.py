@@ -8,15 +8,17 @@ positives does not. No segment is broadcast: the distinct n-grams of about 4 MB
 segments together with their training counts; the task of a segment merges the counts, sets the bits, answers
 with level and exact count, and the answers meet their text again by the number of its batch.
 
-Score. The model is P(w | h) = P1(w) * r(q(h), q(w), q(hw)): the smoothed unigram probability times
-the ratio of how often that class of probe results is seen for real neighbours and for words
-drawn independently, given the first two. So the probabilities sum to one over the vocabulary in each class,
-false positives and quantisation are weighed as they occur, and unseen pairs get what is
+Score. P(w | h) = P1(q(w)) * r(q(h), q(w), q(hw)), made of probe results q alone. P1(q) is the smoothed unigram probability
+of a word of level q: the mean count of the distinct training words that probe to that level, plus 0.5, over the base score's
+denominator, and 0.5 over it for a word that no level holds; so it sums to one over the vocabulary. r is how often that class of probe results is
+seen for real neighbours against words drawn independently, given the first two; so it leaves that sum as it is on average over
+the histories of a class, false positives and quantisation are weighed as they occur, and unseen pairs get what is
 left. Real neighbours are those of training documents, each looked up with its own text's counts left out (where that lowers the
 level, false positives are drawn at the segment's rate). Independent draws are summed exactly: every distinct pair weighs
-count(h) * count(w) / n, and what is left over falls on pairs without a count.
+count(h) * count(w) / n, and what is left over falls on pairs without a count. Levels 0 to 3 are classes of their own, so
+a pair that occurs twice is told from one that occurs once.
 
-P1 needs exact counts of words, which come with the answers.
+The base score alone needs exact counts of words, which come with the answers.
 
 Words and ends: as the base score is defined, A-Z lower-cased, parted by ASCII white space, then one end.
 64-bit hashes stand for words; within a segment their upper 48 bits.
@@ -31,7 +33,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ BATCH = 1 << 20
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 LEVELS = 24
 HASHES = 3
-CLASSES = 13
+CLASSES = 15
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,66 +111,24 @@ class Filter:
 
 
 def kinds(q: np.ndarray) -> np.ndarray:
-    """Classes of probe results; two levels to a class."""
-    return (q.astype(np.int64) + 1) // 2
+    """Classes of probe results: levels 0 to 3, then two levels to a class."""
+    q = q.astype(np.int64)
+    return np.where(q < 4, q, (q + 4) // 2)
 
 
 def ratios(seen: np.ndarray, drawn: np.ndarray) -> np.ndarray:
-    """log10 of P(word | before) / P1(word) in each class of (history, word, pair)."""
+    """log10 of P(word | before) / P1(word) in each class of (history, word, pair).
+
+    Two priors of eight counts each: the classes one lower (as a text's own counts are left out of seen, a class may never
+    be met there that a whole count falls in), and the mean of both sides, which draws the ratio to one."""
+    lower = np.zeros_like(seen)
+    lower[1:, 1:, 1:] = seen[:-1, :-1, :-1]
+    seen = seen + 8 * lower / np.maximum(lower.sum(axis=2, keepdims=True), 1)
     prior = 0.5 * (seen + drawn) / np.maximum((seen + drawn).sum(axis=2, keepdims=True), 1) * 8 + 1e-9
     seen, drawn = seen + prior, drawn + prior
     return np.log10(seen / seen.sum(axis=2, keepdims=True)) - np.log10(drawn / drawn.sum(axis=2, keepdims=True))
 
 
-def merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-    if not len(keys):
-        return keys, counts
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[new], np.add.reduceat(counts, new)
-
-
-def build_filter(train: DataFrame, text: str, n_tokens: int, max_bytes: int, group: int = 4 << 20) -> Filter:
-    """Counts words and pairs of train by hash range and sets the filter's segments.
-
-    A range is a segment, or a part of one when a segment would hold more than about `group` tokens: so
-    no task holds more; the parts' bits are then joined by segment."""
-    number = int(np.clip(n_tokens >> 20, 8, 4096))
-    width = int(np.clip(-(-n_tokens // number), 64, max_bytes // number))  # bytes of a segment: 8 bits a token at most
-    parts = max(1, -(-n_tokens // (number * group)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text, 2 * BATCH):
-            word, before, _ = tokens(part.column(text))
-            keys, counts = merged([np.unique(word, return_counts=True), np.unique(pair(before, word), return_counts=True), (np.array([START], np.uint64), np.array([part.num_rows]))])
-            of = (keys % np.uint64(number)).astype(np.int64) * parts + (mix(keys) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(of, kind="stable")
-            keys, counts = keys[order], np.minimum(counts[order], (1 << 32) - 1).astype("<u4")
-            places_, at = np.unique(of[order], return_index=True)
-            at = np.append(at, len(of))
-            blobs = [[x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)] for x in (keys, counts)]
-            yield pa.RecordBatch.from_arrays([pa.array(places_, pa.int64()), *[pa.array(b, pa.binary()) for b in blobs]], ["place", "keys", "counts"])
-
-    def fill(group: pd.DataFrame) -> pd.DataFrame:
-        found = [(np.frombuffer(k, np.uint64), np.frombuffer(c, "<u4").astype(np.int64)) for k, c in zip(group["keys"], group["counts"], strict=True)]
-        return pd.DataFrame({"segment": group["place"].iloc[:1] // parts, "bits": [segment(*merged(found), width * 8).tobytes()]})
-
-    def join(group: pd.DataFrame) -> pd.DataFrame:
-        bits = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in group["bits"]])
-        return pd.DataFrame({"segment": group["segment"].iloc[:1], "bits": [bits.tobytes()]})
-
-    schema = "segment long, bits binary"
-    filled = train.select(text).mapInArrow(run, "place long, keys binary, counts binary").groupBy("place").applyInPandas(fill, schema)
-    if parts > 1:
-        filled = filled.groupBy("segment").applyInPandas(join, schema)
-    out = np.zeros((number, width), np.uint8)
-    for row in filled.toLocalIterator():
-        out[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
-    return Filter(out)
-
-
 def shape(n_tokens: int) -> tuple[int, int]:
     """Number of segments and bytes of each: a byte a training token at every size."""
     number = max(8, n_tokens >> 20)
@@ -299,7 +258,7 @@ def score(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "text",
         q = level(total) + np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in right.column("above")])
         false = np.repeat(np.clip(right.column("false").to_numpy(), 1e-12, 0.999), sent)
         kind = kinds(q)
-        cell = ((kind[b.before] * CLASSES + kind[b.word]) * CLASSES + kind[b.pair]).astype("<u2")
+        cell = ((kind[b.before] * (LEVELS + 1) + q[b.word]) * CLASSES + kind[b.pair]).astype("<u2")
         known = np.bincount(b.owner, total[b.word] > 0, part.num_rows).astype(np.int64)
         base = np.bincount(b.owner, np.log10(total + floor)[b.word], part.num_rows)
 
@@ -319,8 +278,10 @@ def score(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "text",
 
         # drawn: every distinct pair of the training texts once, so each of its occurrences weighs one by its count
         weight = total[b.before[of]].astype(float) * total[b.word[of]] / (max(float(n), 1) * np.maximum(total[b.pair[of]], 1))
-        drawn = np.bincount(cell[of], weight, size)
-        table = np.concatenate([seen, drawn, np.bincount(kind[b.before[of]], minlength=CLASSES), np.bincount(kind[b.word[of]], minlength=CLASSES), [(1 / total[b.word[of]]).sum(), false.mean(), 1]])
+        drawn = np.bincount(((kind[b.before] * CLASSES + kind[b.word]) * CLASSES + kind[b.pair])[of], weight, size)
+        # each occurrence of a word adds one by its count, so distinct words are counted
+        mass, distinct = np.bincount(q[b.word[of]], minlength=LEVELS + 1), np.bincount(q[b.word[of]], 1 / total[b.word[of]], LEVELS + 1)
+        table = np.concatenate([seen, drawn, np.bincount(kind[b.before[of]], minlength=CLASSES), np.bincount(kind[b.word[of]], minlength=CLASSES), mass, distinct, [false.mean(), 1]])
         stops = np.cumsum(b.n_tokens)
         cells = pa.array([cell[i:j].tobytes() for i, j in zip(stops - b.n_tokens, stops, strict=True)], pa.binary())
         one = lambda x: pa.concat_arrays([x, pa.nulls(1, x.type)])
@@ -340,21 +301,23 @@ def score(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "text",
         at = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at] if len(at) else np.zeros(0))], ["i", "x"])
 
-    table = np.zeros(2 * size + 2 * CLASSES + 3)
-    for r in met.where(F.col("table").isNotNull()).select("table").mapInArrow(summed, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():  # 4,423 rows at most
+    table = np.zeros(2 * size + 2 * CLASSES + 2 * (LEVELS + 1) + 2)
+    for r in met.where(F.col("table").isNotNull()).select("table").mapInArrow(summed, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():  # a row a class
         table[r["i"]] = r["x"]
-    seen, drawn = table[:size].reshape([CLASSES] * 3), table[size : 2 * size].reshape([CLASSES] * 3)
-    before, word = table[2 * size : -3].reshape(2, CLASSES)
+    seen, drawn, before, word, mass, distinct, false = np.split(table, np.cumsum([size, size, CLASSES, CLASSES, LEVELS + 1, LEVELS + 1]))
+    seen, drawn = seen.reshape([CLASSES] * 3), drawn.reshape([CLASSES] * 3)
     rest = np.maximum(before[:, None] * word / max(float(n), 1) - drawn.sum(axis=2), 0)
-    rate = table[-2] / max(table[-1], 1)
-    whole = float(n) + 0.5 * (round(table[-3]) + 1)  # each occurrence of a word adds one by its count, so distinct words are counted
-    ratio = ratios(seen, drawn + rest[:, :, None] * np.bincount(kinds(np.arange(LEVELS + 1)), rate ** np.arange(LEVELS + 1) * (1 - rate), CLASSES)).ravel()
+    rate, every = false[0] / max(false[1], 1), np.arange(LEVELS + 1)
+    whole = float(n) + 0.5 * (round(distinct.sum()) + 1)
+    ratio = ratios(seen, drawn + rest[:, :, None] * np.bincount(kinds(every), rate**every * (1 - rate), CLASSES))
+    mean = np.where(distinct > 0, mass / np.maximum(distinct, 1e-9), 1.5 * 2.0 ** (every - 1)) * (every > 0)
+    logs = (ratio[:, kinds(every)] + np.log10((mean + floor) / whole)[None, :, None]).ravel()
 
     def gained(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in found:
-            gain = [ratio[np.frombuffer(x.as_buffer(), "<u2")].sum() for x in some.column("cells")]
+            scores = [logs[np.frombuffer(x.as_buffer(), "<u2")].sum() for x in some.column("cells")]
             base = some.column("base_score").to_numpy() - some.column("n_tokens").to_numpy() * np.log10(whole)
-            yield pa.RecordBatch.from_arrays([*[some.column(c) for c in names[:-1]], pa.array(base), pa.array(base + np.array(gain))], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*[some.column(c) for c in names[:-1]], pa.array(base), pa.array(np.array(scores, float))], [*names, "score"])
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score"]
     out = met.where(F.col("table").isNull()).select(*names, "cells").mapInArrow(gained, f"doc_id {doc_kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")

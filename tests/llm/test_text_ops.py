@@ -60,11 +60,6 @@ def test_filter_has_no_false_negatives():
     assert (made.levels(rng.integers(0, 2**63, 3000).astype(np.uint64)) > 0).mean() < 0.05
 
 
-def test_filter_is_the_same_in_parts(docs):
-    whole, parted = (op01_lm.build_filter(docs, "text", 90_000, 1 << 20, group) for group in (1 << 22, 1000))
-    assert whole.bytes_.any() and (whole.bytes_ == parted.bytes_).all()
-
-
 def test_model_helps_on_held_out_text(spark):
     rng = np.random.default_rng(1)
     follow = {w: rng.integers(0, 300, 3) for w in range(300)}
@@ -426,3 +421,63 @@ def test_decoding_matches_a_plain_decoder(docs):
             margins = [min(4, max(-4, r * a + c)) for r, a, c in zip(raw, model.scale, model.shift)]
             loss.append(sum(w * np.exp(-m * int(bit)) for w, m, bit in zip(model.weight, margins, word)))
         assert model.languages[int(np.argmin(loss))] == name and abs(score - 1 / sum(np.exp(min(loss) - x) for x in loss)) < 1e-6
+
+
+def plain_scores(rows):
+    """(doc_id -> score) with exact counts in dictionaries in place of the filter; rows: (doc_id, text, held_out)."""
+    start = "\0start"
+    split = {i: re.findall("[^\x20\x09-\x0d]+", t.translate(ASCII_LOWER)) + ["\0end"] for i, t, _ in rows}
+    train = [i for i, _, h in rows if not h]
+    pairs = lambda ws: list(zip([start, *ws[:-1]], ws))
+    count, both = Counter(), Counter()
+    for i in train:
+        count.update([start, *split[i]])
+        both.update(pairs(split[i]))
+    n = sum(c for w, c in count.items() if w != start)
+    level = lambda c: c.bit_length()
+    kind = lambda q: q if q < 4 else (q + 4) // 2
+    size = op01_lm.CLASSES
+    seen, drawn = np.zeros((size,) * 3), np.zeros((size,) * 3)
+    for i in train:
+        own, own_both = Counter([start, *split[i]]), Counter(pairs(split[i]))
+        for h, w in pairs(split[i]):
+            seen[kind(level(count[h] - own[h])), kind(level(count[w] - own[w])), kind(level(both[h, w] - own_both[h, w]))] += 1
+    of = lambda w: kind(level(count[w]))
+    for (h, w), c in both.items():
+        drawn[of(h), of(w), kind(level(c))] += count[h] * count[w] / n
+    histories, words = np.zeros(size), np.zeros(size)
+    for w, c in count.items():
+        if w != "\0end":
+            histories[of(w)] += c
+        if w != start:
+            words[of(w)] += c
+    drawn[:, :, 0] += np.maximum(np.outer(histories, words) / n - drawn.sum(axis=2), 0)
+    ratio = op01_lm.ratios(seen, drawn)
+    held = defaultdict(list)
+    for w, c in count.items():
+        if w != start:
+            held[level(c)].append(c)
+    whole = n + 0.5 * (len(count) - 1 + 1)
+    one = lambda q: ((np.mean(held[q]) if held[q] else 1.5 * 2 ** (q - 1) if q else 0) + 0.5) / whole
+    return {i: sum(log10(one(level(count[w]))) + ratio[of(h), of(w), kind(level(both[h, w]))] for h, w in pairs(ws)) for i, ws in split.items()}
+
+
+def test_scores_match_a_model_of_plain_sets(spark, monkeypatch):
+    """With a filter so wide that nothing is held by mistake, scores are those of exact sets of n-grams."""
+    rows = [(i, t + (" extra end" * (i % 4)), i % 5 == 1) for i, t in bigrams(60)]
+    rows += [(100 + i, rows[i][1], False) for i in range(10)] + [(200, "", False), (201, "never seen words", True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h boolean").repartition(3)
+    tight = {r["doc_id"]: r["score"] for r in op01_lm.score(df, df["h"]).collect()}
+    monkeypatch.setattr(op01_lm, "shape", lambda n: (8, 1 << 17))
+    got = {r["doc_id"]: r["score"] for r in op01_lm.score(df, df["h"]).collect()}
+    want = plain_scores(rows)
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 * max(1, abs(want[i])) for i in got)
+    assert np.mean([abs(tight[i] - want[i]) / max(1, len(dict((r[0], r[1]) for r in rows)[i].split())) for i in got]) < 0.1
+
+
+def test_texts_that_occur_twice_score_apart(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 3000, 80)) for _ in range(800)]
+    df = spark.createDataFrame([(i, t, False) for i, t in enumerate(texts + texts[:100])], "doc_id long, text string, h boolean")
+    found = {r["doc_id"]: r["score"] / r["n_tokens"] for r in op01_lm.score(df, df["h"]).collect()}
+    assert np.mean([found[i] for i in range(100)]) > np.mean([found[i] for i in range(100, 800)]) + 0.2
