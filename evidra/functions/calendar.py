@@ -5,25 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: First month of each season; the agricultural year begins with the first of them.
-SEASONS = {"kharif": 6, "rabi": 10, "summer": 2}
+#: Months of each season; the agricultural year begins with the first of them. Dry months.
+SEASONS = {"kharif": (6, 7, 8, 9), "rabi": (10, 11, 12, 1, 2), "summer": (3, 4, 5)}
+DRY = (3, 4, 5, 6, 7, 8, 9)
 
 
 def ag_year(day: Column) -> Column:
     """The year in which the agricultural year of a day began (June)."""
-    return F.when(F.month(day) >= SEASONS["kharif"], F.year(day)).otherwise(F.year(day) - 1)
+    return F.year(F.add_months(day, 1 - SEASONS["kharif"][0]))
 
 
 def season(day: Column) -> Column:
-    """kharif: June to September, rabi: October to January, summer: February to May."""
+    """kharif: June to September, rabi: October to February, summer: March to May."""
     month = F.month(day)
-    return F.when(month.between(6, 9), "kharif").when((month >= 10) | (month == 1), "rabi").otherwise("summer")
+    return F.coalesce(*[F.when(month.isin(*months), F.lit(name)) for name, months in SEASONS.items()])
+
+
+def season_window(year: Column, name: Column) -> Column:
+    """struct(start, end): first and last day of a season, or of the whole agricultural year for any other name."""
+    month = lambda y, m: F.make_date(y, F.lit(m), F.lit(1))
+    first = F.when(name == "rabi", month(year, 10)).when(name == "summer", month(year + 1, 3)).otherwise(month(year, 6))
+    last = F.when(name == "kharif", month(year, 9)).when(name == "rabi", month(year + 1, 2)).otherwise(month(year + 1, 5))
+    return F.struct(first.alias("start"), F.last_day(last).alias("end"))
 
 
 def season_end(year: Column, name: Column) -> Column:
     """Last day of a season."""
-    end = F.when(name == "kharif", F.make_date(year, F.lit(9), F.lit(30))).when(name == "rabi", F.make_date(year + 1, F.lit(1), F.lit(31)))
-    return end.otherwise(F.make_date(year + 1, F.lit(5), F.lit(31)))
+    return season_window(year, name)["end"]
 
 
 def overlap_days(a: Column, b: Column, start: Column, end: Column) -> Column:
@@ -32,8 +40,10 @@ def overlap_days(a: Column, b: Column, start: Column, end: Column) -> Column:
 
 
 def event_windows(notice: Column, award: Column, possession: Column, today: Column) -> Column:
-    """array of (name, start, end): the year before the notice, pending, after award, after possession; ends are exclusive."""
+    """Dates out of order are an error. array of (name, start, end): the year before the notice, pending, after award, after possession; ends are exclusive."""
     one = lambda name, a, b: F.struct(F.lit(name).alias("name"), a.alias("start"), b.alias("end"))
+    wrong = (award < notice) | (possession < award) | (possession < notice)
+    notice = F.when(F.coalesce(wrong, F.lit(False)), F.raise_error(F.lit("event dates are out of order")).cast("date")).otherwise(notice)
     return F.array(one("pre", F.add_months(notice, -12), notice), one("pending", notice, award), one("post_award", award, possession), one("post_possession", possession, F.date_add(today, 1)))
 
 

@@ -123,11 +123,14 @@ def ocr_variants(token: Column, swaps: int = 2) -> Column:
 
 def text_quality(text: Column, good: str, known: Sequence[str]) -> Column:
     """0.6 times the share of good characters and 0.4 times that of known words; 0 for blank text."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s", "")
-    fine = F.length(F.regexp_replace(bare, f"[^{good}]", "")) / F.length(bare)
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z]+"), lambda w: w != "")
-    share = F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: w.isin(*known))) / F.size(words)).otherwise(0.0)
-    return F.when(F.length(bare) > 0, 0.6 * fine + 0.4 * share).otherwise(0.0)
+    whole = F.coalesce(text, F.lit(""))
+    low = F.lower(whole)
+    bare = F.length(F.regexp_replace(whole, r"\s+", ""))
+    fine = F.length(F.regexp_replace(whole, rf"[^{good}]+", "")) / bare
+    words = F.regexp_count(low, F.lit("[a-z]+"))
+    hits = F.regexp_count(low, F.lit(rf"(?<![a-z])(?:{'|'.join(known)})(?![a-z])"))
+    share = F.when(words > 0, hits / words).otherwise(0.0)
+    return F.when(bare > 0, 0.6 * fine + 0.4 * share).otherwise(0.0)
 
 
 def character_error(reference: Column, read: Column) -> Column:

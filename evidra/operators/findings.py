@@ -7,15 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidra.functions.calendar import ag_year
+
 
 def severity(value: Column, high: float, medium: float) -> Column:
     return F.when(value >= high, "high").when(value >= medium, "medium").otherwise("low")
 
 
-def extent_mismatch(claims: DataFrame, *, unit: str, area: str, extent: str, document: str, order: str) -> DataFrame:
+def extent_mismatch(claims: DataFrame, *, unit: str, area: str, extent: str, document: str, order: str, score: Column | None = None) -> DataFrame:
     """The claim closest to a unit's area, of single rows and of sums per document (rows first on a tie); those over 5 % off.
 
-    A ratio over 10 or under 0.1 is a reading error."""
+    A ratio over 10 or under 0.1 is a reading error. score: how surely a claim is linked to its unit (1 if not known)."""
+    claims = claims.where(F.col(extent).isNotNull() & (F.col(extent) != 0))
+    sure = claims.groupBy(unit).agg(F.min(F.coalesce(score if score is not None else F.lit(1.0), F.lit(1.0))).alias("_score"))
     rows = claims.select(unit, area, F.col(extent).alias("claimed"), F.lit(0).alias("kind"), F.col(order).alias("ord"))
     sums = claims.groupBy(unit, area, document).agg(F.sum(extent).alias("claimed"), F.count("*").alias("n"), F.min(order).alias("ord")).where("n > 1")
     options = rows.unionByName(sums.select(unit, area, "claimed", F.lit(1).alias("kind"), "ord"))
@@ -23,8 +27,12 @@ def extent_mismatch(claims: DataFrame, *, unit: str, area: str, extent: str, doc
     off, share = F.col("b.claimed") - F.col(area), F.abs(F.col("b.claimed") - F.col(area)) / F.col(area)
     ratio = F.col("b.claimed") / F.col(area)
     out = best.where((F.col(area) > 0) & (share > 0.05))
-    sev = F.when((F.abs(off) >= 1) | (share >= 0.5), "high").when(F.abs(off) >= 0.2, "medium").otherwise("low")
-    return out.select(unit, F.col("b.claimed").alias("claimed"), off.alias("off"), F.when(F.col("b.kind") == 1, "doc_sum").otherwise("row").alias("basis"), F.when((ratio > 10) | (ratio < 0.1), "extraction_error").otherwise("mismatch").alias("category"), sev.alias("severity"))
+    error = (ratio > 10) | (ratio < 0.1)
+    sev = F.when(error, "low").when((F.abs(off) >= 1) | (share >= 0.5), "high").when(F.abs(off) >= 0.2, "medium").otherwise("low")
+    return out.join(sure, unit).select(
+        unit, F.col("b.claimed").alias("claimed"), off.alias("off"), F.when(F.col("b.kind") == 1, "doc_sum").otherwise("row").alias("basis"), F.when(error, "extraction_error").otherwise("mismatch").alias("category"),
+        sev.alias("severity"), F.when(error, 0.8).otherwise(F.round(0.85 * F.col("_score"), 3)).alias("confidence"), F.lit("parcel").alias("evidence_level"),
+    )
 
 
 def modal_rate(rows: DataFrame, keys: Sequence[str], paid: Column, size: Column, unit: float = 1000.0, least: int = 3, part: float = 0.5) -> DataFrame:
@@ -36,27 +44,58 @@ def modal_rate(rows: DataFrame, keys: Sequence[str], paid: Column, size: Column,
     return support.where(F.col("support") >= F.greatest(F.lit(float(least)), F.col("rows") * part)).select(*keys, "rate", "support", "rows")
 
 
-def compensation_mismatch(rows: DataFrame, rates: DataFrame, keys: Sequence[str], paid: str, size: str) -> DataFrame:
-    """Rows whose payment differs from size times rate by more than 1 and half a percent of the rate."""
+def compensation_mismatch(rows: DataFrame, rates: DataFrame, keys: Sequence[str], paid: str, size: str, unit: str | None = None) -> DataFrame:
+    """Rows whose payment differs from size times rate by more than 1 and half a percent of the rate.
+
+    unit: column of the parcel that a row is linked to; rows without one are evidence of the block only."""
     due = F.col(size) * F.col("rate")
-    joined = rows.join(rates.select(*keys, "rate"), list(keys)).withColumn("diff", F.col(paid) - due)
+    joined = rows.where((F.col(size) != 0) & (F.col(paid) != 0)).join(rates.select(*keys, "rate"), list(keys)).withColumn("diff", F.col(paid) - due)
     off = joined.where(F.abs("diff") > 1 + 0.005 * F.col("rate"))
     error = (F.col(paid) > 10 * due) | (F.col(paid) * 10 < due)
-    return off.withColumns({"category": F.when(error, "extraction_error").otherwise("mismatch"), "severity": severity(F.abs("diff"), 1e5, 1e4)})
+    linked = F.col(unit).isNotNull() if unit else F.lit(True)
+    return off.withColumns({
+        "category": F.when(error, "extraction_error").otherwise("mismatch"), "severity": F.when(error, "low").otherwise(severity(F.abs("diff"), 1e5, 1e4)),
+        "confidence": F.when(error, 0.8).when(linked, 0.7).otherwise(0.55), "evidence_level": F.when(linked, "parcel").otherwise("block"),
+    })
+
+
+def version_conflict(sources: DataFrame, *, place: str, value: str, kind: str, document: str, page: str, sanction: str = "GO", tolerance: float = 0.01, least: int = 5, near: float = 0.05) -> DataFrame:
+    """place, values, low, high, spread, sanctioned, severity, confidence: totals of a place that differ between the pages that list many places.
+
+    A page counts if at least `least` of its totals are within 5 % of the place's sanctioned total."""
+    first = F.struct(document, page, value)
+    go = sources.where(F.col(kind) == sanction).groupBy(place).agg(F.min_by(value, first).alias("_go"))
+    known = sources.join(go, place, "left").withColumn("_near", F.coalesce(F.abs(F.col(value) - F.col("_go")) <= near * F.col("_go"), F.lit(False)))
+    pages = known.groupBy(document, page).agg(F.count_if("_near").alias("_n")).where(F.col("_n") >= least)
+    kept = known.join(pages.select(document, page), [document, page], "left_semi").withColumn("_v", F.round(value, 4))
+    grouped = kept.groupBy(place).agg(F.array_sort(F.collect_set("_v")).alias("values"), F.min("_v").alias("low"), F.max("_v").alias("high"), F.min_by(F.when(F.col(kind) == sanction, F.col(value)), F.when(F.col(kind) == sanction, first)).alias("sanctioned"))
+    spread = F.round(F.col("high") - F.col("low"), 4)
+    found = grouped.where((F.col("high") - F.col("low") > tolerance) & (F.size("values") > 1)).withColumn("spread", spread)
+    return found.withColumns({"severity": F.when(F.col("spread") >= 1, "high").otherwise("medium"), "confidence": F.lit(0.8), "evidence_level": F.lit("village")})
 
 
-def version_conflict(claims: DataFrame, keys: Sequence[str], value: str, document: str, tolerance: float) -> DataFrame:
-    """keys, versions, low, high, spread: values of one thing that differ between documents."""
-    grouped = claims.groupBy(*keys).agg(F.count_distinct(document).alias("documents"), F.min(value).alias("low"), F.max(value).alias("high"), F.array_sort(F.collect_set(F.round(value, 2))).alias("versions"))
-    return grouped.withColumn("spread", F.col("high") - F.col("low")).where((F.col("documents") > 1) & (F.col("spread") > tolerance))
+#: Fixed value: mean days of a month.
+MONTH = 30.44
 
 
-def idle_bank(units: DataFrame, activity: DataFrame, *, unit: str, group: str, since: str, day: str, size: str, as_of: Column, days: int) -> DataFrame:
-    """group, units, size, oldest, severity: units held for so many days without activity since."""
-    last = activity.groupBy(unit).agg(F.max(day).alias("_last"))
-    idle = units.join(last, unit, "left").where((F.datediff(as_of, F.col(since)) >= days) & (F.col("_last").isNull() | (F.col("_last") < F.date_sub(as_of, days))))
-    summed = idle.groupBy(group).agg(F.count("*").alias("units"), F.round(F.sum(size), 2).alias("size"), F.min(since).alias("oldest"))
-    return summed.withColumn("severity", severity(F.col("size"), 20, 5))
+def idle_bank(units: DataFrame, cleared: DataFrame, *, unit: str, group: Sequence[str], since: str, size: str, level: str, as_of: Column, months: float = 6, distances: Sequence[str] = ()) -> DataFrame:
+    """group, idle_ha, n_parcels, oldest, months_since_oldest, evidence_level, severity, confidence, least of each distance in km.
+
+    Units held for so many months that are not in `cleared` (unit: seen built or cleared since)."""
+    held = units.where(F.datediff(as_of, F.col(since)) >= months * MONTH).join(cleared.select(unit).distinct(), unit, "left_anti")
+    by_parcel = F.bool_or(F.col(level) == "parcel")
+    found = held.groupBy(*group).agg(
+        F.round(F.sum(F.coalesce(size, F.lit(0.0))), 4).alias("idle_ha"), F.count("*").alias("n_parcels"), F.min(since).alias("oldest"), F.when(by_parcel, "parcel").otherwise("block").alias("evidence_level"),
+        *[F.round(F.min(d) / 1000, 3).alias(d) for d in distances],
+    )
+    return found.withColumns({"months_since_oldest": F.round(F.datediff(as_of, "oldest") / MONTH, 1), "severity": severity(F.col("idle_ha"), 20, 5), "confidence": F.when(F.col("evidence_level") == "parcel", 0.75).otherwise(0.6)})
+
+
+def fmb_quality(overlaps: DataFrame, outside: DataFrame) -> DataFrame:
+    """issue, uid, other, ha, severity, confidence of overlaps (uid_a, uid_b, overlap_ha; from 0.001 ha) and of what lies outside (uid, outside_ha)."""
+    a = overlaps.where("overlap_ha >= 0.001").select(F.lit("OVERLAP").alias("issue"), F.col("uid_a").alias("uid"), F.col("uid_b").alias("other"), F.col("overlap_ha").alias("ha"), F.lit(0.95).alias("confidence"))
+    b = outside.select(F.lit("OUTSIDE_SURVEY").alias("issue"), "uid", F.lit(None).cast(dict(overlaps.dtypes)["uid_b"]).alias("other"), F.col("outside_ha").alias("ha"), F.lit(0.9).alias("confidence"))
+    return a.unionByName(b).withColumn("severity", severity(F.col("ha"), 0.25, 0.05))
 
 
 def self_checks(rows: DataFrame, key: str, checks: dict[str, Column]) -> DataFrame:
@@ -86,23 +125,36 @@ def possession(links: DataFrame, unit: str, day: str, kind: str) -> DataFrame:
     return links.groupBy(unit).agg(F.min(day).alias("possession_date"), F.when(F.bool_or(F.col(kind) != "block"), "parcel").otherwise("block").alias("level"))
 
 
-def post_possession(units: DataFrame) -> DataFrame:
-    """Findings from two difference-in-differences (vigour, plough: struct did, ci_lo, ci_hi, farmland_like_p): a drop, a farmed lead, or both."""
+def post_possession(units: DataFrame, farmland_like: float = 0.7) -> DataFrame:
+    """Findings from two difference-in-differences (vigour, plough: struct did, ci_lo, ci_hi, farmland_like_p): a drop, a farmed lead, or both.
+
+    Units whose possession is shown neither for the parcel nor its block are left out. Farmland-likeness is that of the plough row, or
+    where it has none (or 0) that of the vigour row."""
     base = F.when(F.col("possession_level") == "parcel", 0.7).otherwise(0.5)
-    drop = F.when(F.col("vigour.ci_hi") < 0, F.struct(F.lit("drop").alias("finding"), F.lit("medium").alias("severity"), base.alias("confidence")))
-    lead = F.when((F.col("plough.ci_lo") > 0) & (F.col("plough.farmland_like_p") >= 0.7), F.struct(F.lit("farmed_lead").alias("finding"), F.lit("low").alias("severity"), (base - 0.15).alias("confidence")))
-    return units.select("parcel_uid", F.explode(F.array_compact(F.array(drop, lead))).alias("f")).select("parcel_uid", "f.*")
-
-
-def classification_conflict(units: DataFrame) -> DataFrame:
-    """Records against the seasons of the three years before the notice: DRY with two irrigated years or more, WET with none, PORAMBOKE with two crop seasons."""
-    year = F.year("notice")
-    rows = units.select("parcel_uid", "classification", F.explode("seasons").alias("s"), year.alias("year")).where((F.col("s.ag_year") >= F.col("year") - 3) & (F.col("s.ag_year") < F.col("year")))
-    irrigated = F.count_distinct(F.when(F.col("s.state") == "irrigated", F.col("s.ag_year")))
-    crops = F.count_if(F.col("s.state").isin("irrigated", "rainfed"))
-    counted = rows.groupBy("parcel_uid", "classification").agg(irrigated.alias("irrigated_years"), crops.alias("crop_seasons"), F.count_distinct("s.ag_year").alias("years"))
-    rule = F.when((F.col("classification") == "DRY") & (F.col("irrigated_years") >= 2), "dry_but_irrigated").when((F.col("classification") == "WET") & (F.col("irrigated_years") == 0), "wet_but_never").when((F.col("classification") == "PORAMBOKE") & (F.col("crop_seasons") >= 2), "poramboke_cropped")
-    return counted.withColumn("finding", rule).where("finding is not null")
+    like = F.coalesce(F.nullif("plough.farmland_like_p", F.lit(0.0)), F.nullif("vigour.farmland_like_p", F.lit(0.0)), F.lit(0.0))
+    one = lambda name, sev, p: F.struct(F.lit(name).alias("finding"), F.lit(sev).alias("severity"), F.round(p, 3).alias("confidence"))
+    drop = F.when(F.col("vigour.ci_hi") < 0, one("drop", "medium", base))
+    lead = F.when((F.col("plough.ci_lo") > 0) & (like >= farmland_like), one("farmed_lead", "low", base - 0.15))
+    shown = units.where(F.col("possession_level").isin("parcel", "block"))
+    return shown.select("parcel_uid", F.col("possession_level").alias("evidence_level"), F.explode(F.array_compact(F.array(drop, lead))).alias("f")).select("parcel_uid", "evidence_level", "f.*")
+
+
+def classification_conflict(units: DataFrame, years: int = 3, need: int = 2) -> DataFrame:
+    """Records against the seasons (array of ag_year, season, state) of the agricultural years before the notice's: DRY with irrigated_multi in two
+    years or more, WET with none (also without any season), PORAMBOKE with a crop in two seasons."""
+    year = ag_year(F.col("notice"))
+    inside = F.filter("seasons", lambda s: (s["ag_year"] >= year - years) & (s["ag_year"] < year))
+    multi = F.array_sort(F.array_distinct(F.transform(F.filter(inside, lambda s: s["state"] == "irrigated_multi"), lambda s: s["ag_year"])))
+    crops = F.size(F.array_distinct(F.transform(F.filter(inside, lambda s: s["state"].isin("cropped", "irrigated_multi")), lambda s: F.struct(s["ag_year"], s["season"]))))
+    known = units.where("notice is not null").withColumn("seasons", F.coalesce("seasons", F.array().cast(dict(units.dtypes)["seasons"])))
+    counted = known.select("parcel_uid", "classification", multi.alias("irrigated_years"), crops.alias("crop_seasons"))
+    n = F.size("irrigated_years")
+    rule = (
+        F.when((F.col("classification") == "DRY") & (n >= need), "dry_but_irrigated").when((F.col("classification") == "WET") & (n == 0), "wet_but_never")
+        .when((F.col("classification") == "PORAMBOKE") & (F.col("crop_seasons") >= 2), "poramboke_cropped")
+    )
+    found = counted.withColumn("finding", rule).where("finding is not null")
+    return found.withColumns({"severity": F.when(n >= years, "medium").otherwise("low"), "confidence": F.lit(0.55), "evidence_level": F.lit("parcel")})
 
 
 def keyed_audit(findings: DataFrame, category: str, key: str, n: int, seed: str) -> DataFrame:

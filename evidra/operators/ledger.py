@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,17 +18,25 @@ def entry_hash(previous: Column, run: Column, seq: Column, payload: Column) -> C
 
 
 def chain(df: DataFrame, run: str, seq: str, payload: str) -> DataFrame:
-    """df with prev_hash and hash: each entry's hash goes into the next one's. One fold per run over its ordered entries."""
-    item = F.struct(F.col(seq).alias("seq"), F.col(payload).alias("payload"))
-    start = F.struct(F.lit(START).alias("hash"), F.array().cast("array<struct<seq:bigint,payload:string,prev_hash:string,hash:string>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        h = entry_hash(a["hash"], F.col(run), x["seq"], x["payload"])
-        row = F.struct(x["seq"].cast("bigint").alias("seq"), x["payload"].alias("payload"), a["hash"].alias("prev_hash"), h.alias("hash"))
-        return F.struct(h.alias("hash"), F.array_append(a["out"], row).alias("out"))
-
-    folded = df.groupBy(run).agg(F.array_sort(F.collect_list(item)).alias("_i")).select(run, F.explode(F.aggregate("_i", start, step)["out"]).alias("_o"))
-    return folded.select(run, F.col("_o.seq").alias(seq), F.col("_o.payload").alias(payload), "_o.prev_hash", "_o.hash")
+    """df with prev_hash and hash: each entry's hash goes into the next one's.
+
+    A run's entries pass one by one, in order, through the task that has them; none of its entries are held."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, last = None, START
+        for batch in batches:
+            before, hashes = [], []
+            for r, s, p in zip(*[batch.column(c).to_pylist() for c in ("_run", seq, payload)], strict=True):
+                last = START if r != of else last
+                of = r
+                before.append(last)
+                last = hashlib.sha256("\n".join([last, *[x for x in (r, None if s is None else str(s), p) if x is not None]]).encode()).hexdigest()
+                hashes.append(last)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (run, seq, payload)], pa.array(before, pa.string()), pa.array(hashes, pa.string())], [run, seq, payload, "prev_hash", "hash"])
+
+    kinds = dict(df.dtypes)
+    rows = df.select(run, seq, payload, F.col(run).cast("string").alias("_run")).repartition(run).sortWithinPartitions(run, seq, payload)
+    return rows.mapInArrow(links, f"{run} {kinds[run]}, {seq} {kinds[seq]}, {payload} {kinds[payload]}, prev_hash string, hash string")
 
 
 def verify(df: DataFrame, run: str, seq: str, payload: str) -> DataFrame:

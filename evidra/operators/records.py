@@ -55,10 +55,12 @@ def narrative_numbers(text: Column, payload: Column) -> Column:
     return F.array_sort(F.array_except(numbers(text), numbers(payload)))
 
 
-def greedy_pairs(scores: DataFrame, group: str, left: str, right: str, score: str, rounds: int = 50) -> DataFrame:
-    """One-to-one pairs, best first: each round takes the pairs that are best for either side and sets both aside."""
-    rest, found = scores, None
-    for _ in range(rounds):
+def greedy_pairs(scores: DataFrame, group: str, left: str, right: str, score: str) -> DataFrame:
+    """One-to-one pairs, best first: each round takes the pairs that are best for either side and sets both aside, until none is left.
+
+    A null on a side or as the score makes no pair."""
+    rest, found = cut(scores.where(F.col(left).isNotNull() & F.col(right).isNotNull() & F.col(score).isNotNull() & F.col(group).isNotNull()).dropDuplicates([group, left, right, score])), None
+    while True:
         order = [F.desc(score), F.col(left), F.col(right)]
         a = F.row_number().over(Window.partitionBy(group, left).orderBy(*order))
         b = F.row_number().over(Window.partitionBy(group, right).orderBy(*order))
@@ -66,5 +68,4 @@ def greedy_pairs(scores: DataFrame, group: str, left: str, right: str, score: st
         found = hit if found is None else found.unionByName(hit)
         rest = cut(rest.join(hit.select(group, left), [group, left], "left_anti").join(hit.select(group, right), [group, right], "left_anti"))
         if rest.limit(1).count() == 0:
-            break
-    return found
+            return found

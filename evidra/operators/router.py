@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.operators.select import reasons
-from evidra.operators.stats import nearest_rank
+from evidra.operators.stats import nearest_ranks
 
 
 def eligible(candidates: DataFrame, checks: dict[str, Column]) -> DataFrame:
@@ -23,11 +23,10 @@ def ranked(candidates: DataFrame, task: str, weights: dict[str, float], tie: str
 
 
 def usage(log: DataFrame, keys: list[str], ok: Column, latency: str, cost: str) -> DataFrame:
-    """keys, calls, success (share, 4 digits), p50 and p95 latency by nearest rank, cost."""
-    return (
-        log.groupBy(*keys).agg(F.count("*").alias("calls"), F.round(F.avg(ok.cast("double")), 4).alias("success"), F.array_agg(F.when(ok, F.col(latency))).alias("_l"), F.round(F.sum(cost), 4).alias("cost"))
-        .select(*keys, "calls", "success", nearest_rank(F.col("_l"), 0.5).alias("p50"), nearest_rank(F.col("_l"), 0.95).alias("p95"), "cost")
-    )
+    """keys, calls, success (share, 4 digits), p50 and p95 latency of good calls by nearest rank, cost."""
+    totals = log.groupBy(*keys).agg(F.count("*").alias("calls"), F.round(F.avg(ok.cast("double")), 4).alias("success"), F.round(F.sum(cost), 4).alias("cost"))
+    ranks = nearest_ranks(log.where(ok), keys, latency, {"p50": 0.5, "p95": 0.95})
+    return totals.join(ranks, keys, "left").select(*keys, "calls", "success", "p50", "p95", "cost")
 
 
 def recent_median(log: DataFrame, key: str, order: str, value: str, ok: Column, last: int = 50, least: int = 3) -> DataFrame:

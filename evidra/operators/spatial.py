@@ -43,18 +43,21 @@ def within(points: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
     return around.join(near, ["cx", "cy"]).withColumn("distance", distance).where(F.col("distance") <= radius).select("id", "target", "distance")
 
 
-def nearest(points: DataFrame, targets: DataFrame, radius: float, doublings: int = 12) -> DataFrame:
-    """id, target, distance of the nearest target (smaller target on a tie): rings of doubled radius for points without one yet."""
+def nearest(points: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
+    """id, target, distance of the nearest target (smaller target on a tie): rings of doubled radius for points without one yet.
+
+    The rings end when they are as wide as all points and targets together, so every point has its target if there is any."""
     rest, found = points, None
     w = Window.partitionBy("id").orderBy("distance", "target")
-    for _ in range(doublings):
+    both = points.select("x", "y").unionByName(targets.select(F.col("tx").alias("x"), F.col("ty").alias("y")))
+    width = both.agg(F.sqrt(F.pow(F.max("x") - F.min("x"), F.lit(2)) + F.pow(F.max("y") - F.min("y"), F.lit(2)))).first()[0] or 0.0
+    while True:
         hit = cut(within(rest, targets, radius).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r"))
         found = hit if found is None else found.unionByName(hit)
         rest = cut(rest.join(hit.select("id"), "id", "left_anti"))
+        if radius > width or rest.limit(1).count() == 0:
+            return found
         radius *= 2
-        if rest.limit(1).count() == 0:
-            break
-    return found
 
 
 def polygon_area(ring: Column) -> Column:

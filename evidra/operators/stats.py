@@ -54,10 +54,23 @@ def dominant(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return top.groupBy(*keys).agg(F.first("_all").alias("n"), F.when(F.count("*") == 1, F.max(value)).otherwise("mixed").alias("dominant"), F.round(F.first("_top") / F.first("_all"), 3).alias("share"))
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """Element round(p * (n - 1)) of the sorted values, half to even."""
-    ordered = F.array_sort(values)
-    return F.when(F.size(ordered) > 0, F.element_at(ordered, F.bround(F.lit(p) * (F.size(ordered) - 1), 0).cast("int") + 1))
+def nearest_ranks(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float], buckets: int = 4096) -> DataFrame:
+    """keys and, by name, the element round(p * (n - 1)) (half to even) of each group's sorted values; null and NaN don't count.
+
+    Values are counted first; a histogram tells the bucket that holds a rank, and only that bucket's values are put in order.
+    So no group is gathered or sorted whole."""
+    x = F.col(value).cast("double")
+    counts = df.where(x.isNotNull() & ~F.isnan(x)).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    span = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all"))
+    width = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets), F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int")
+    placed = counts.join(span, list(keys)).withColumn("_b", width)
+    ahead = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    filled = placed.groupBy(*keys, "_b").agg(F.sum("_n").alias("_n"), F.first("_all").alias("_all")).withColumn("_before", ahead)
+    ranks = F.array(*[F.struct(F.lit(name).alias("name"), F.bround(F.lit(p) * (F.col("_all") - 1), 0).cast("long").alias("rank")) for name, p in shares.items()])
+    at = filled.withColumn("_r", F.explode(ranks)).where((F.col("_r.rank") >= F.col("_before")) & (F.col("_r.rank") < F.col("_before") + F.col("_n"))).select(*keys, "_b", "_before", F.col("_r.name").alias("_name"), F.col("_r.rank").alias("_rank"))
+    inside = F.sum("_n").over(Window.partitionBy(*keys, "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
+    found = placed.select(*keys, "_b", "_v", "_n").join(at, [*keys, "_b"]).withColumn("_upto", inside).where("_upto > _rank and _upto - _n <= _rank")
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in shares])
 
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:

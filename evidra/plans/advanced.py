@@ -4,24 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evidra.functions import calendar
 from evidra.operators import guard, ledger, spatial, timeseries
 from evidra.sources.tables import table
 from evidra.streaming import windows as stream
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .register import register
 
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with the SQL that DuckDB runs for it."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLES, query = register()
 
 
 @query(f"""with recursive t as (select conv_id, turn, text, row_number() over (partition by conv_id order by turn, text) as k from conversations),
@@ -83,10 +73,66 @@ def q45_peaks(spark, sf_dir):
     return timeseries.find_peaks(timeseries.smooth_series(daily(spark, sf_dir), ["event_type"], "day", "v", 1.0), ["event_type"], "day", "v", 0.0, 0.01)
 
 
-@query("""with d as (select event_type, cast(ts as date) as day, avg(value) / 100 as v from events group by 1, 2) select event_type, round(max(v), 6) as max, round(min(v), 6) as min, round(max(v) - min(v), 6) as amplitude, round(avg(v), 6) as mean, round(sum(v), 6) as integral, arg_max(day, v) as peak_day from d group by 1""")
+PRICES = "d as (select o_orderpriority as unit, cast(o_orderdate as date) as day, avg(o_totalprice) / 524288 as v from orders group by 1, 2)"
+AG = "cast(case when month(day) >= 6 then year(day) else year(day) - 1 end as integer) as y, case when month(day) between 6 and 9 then 'kharif' when month(day) between 3 and 5 then 'summer' else 'rabi' end as season"
+
+
+def prices(spark, sf_dir):
+    """One value a day of each order priority, with the season of the day."""
+    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("unit"), F.to_date("o_orderdate").alias("day")).agg((F.avg("o_totalprice") / 524288).alias("v"))
+    return rows.withColumns({"y": calendar.ag_year(F.col("day")), "season": calendar.season(F.col("day"))})
+
+
+@query(f"""with {PRICES}, w as (select *, {AG} from d), q as (select unit, y, season, quantile_cont(v, 0.25) as q from w group by all),
+g as (select unit, y, season, max(v) as mx, min(v) as mn, avg(v) as mean, avg(v) filter (month(day) between 3 and 9) as dry, avg(v) filter (v <= q.q) as low, sum(greatest(v - 0.15, 0)) as integral, arg_max(day, v) as peak_day, count(*) as covered_days from w join q using (unit, y, season) group by all)
+select unit, y, season, round(mx, 6) as max, round(mn, 6) as min, round(mx - mn, 6) as amplitude, round(mean, 6) as mean, round(coalesce(dry, low), 6) as dry_mean, round(integral, 5) as integral, peak_day, covered_days from g""")
 def q86_window_features(spark, sf_dir):
-    found = timeseries.window_features(daily(spark, sf_dir), ["event_type"], "day", "v")
-    return found.withColumns({c: F.round(c, 6) for c in ("max", "min", "amplitude", "mean", "integral")})
+    found = timeseries.window_features(prices(spark, sf_dir), ["unit", "y", "season"], "day", "v")
+    return found.withColumns({**{c: F.round(c, 6) for c in ("max", "min", "amplitude", "mean", "dry_mean")}, "integral": F.round("integral", 5)})
+
+
+GAPPY = "o as (select distinct o_custkey as unit, cast(o_orderdate as date) as day from orders)"
+
+
+def order_days(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("unit"), F.to_date("o_orderdate").alias("day"))
+
+
+@query(f"""with {GAPPY}, n as (select unit, day, lead(day) over (partition by unit order by day) as nx from o), s as (select unit, unnest(generate_series(day - interval 15 day, day + interval 15 day, interval 1 day)) as d from n union
+select unit, unnest(generate_series(day::timestamp, nx::timestamp, interval 1 day)) from n where nx - day <= 45) select unit, count(*) as days, cast(min(d) as date) as first, cast(max(d) as date) as last from s group by 1""")
+def q107_supported_days(spark, sf_dir):
+    days = timeseries.supported_days(order_days(spark, sf_dir), ["unit"], "day")
+    return days.groupBy("unit").agg(F.count("*").alias("days"), F.min("day").alias("first"), F.max("day").alias("last"))
+
+
+SEASONS = "w as (select y, season, case season when 'rabi' then make_date(y, 10, 1) when 'summer' then make_date(y + 1, 3, 1) else make_date(y, 6, 1) end as s, case season when 'rabi' then make_date(y + 1, 3, 1) - 1 when 'summer' then make_date(y + 1, 5, 31) when 'kharif' then make_date(y, 9, 30) else make_date(y + 1, 5, 31) end as e from (select unnest(generate_series(1995, 2000)) as y) cross join (select unnest(['kharif', 'rabi', 'summer', 'annual']) as season))"
+
+
+@query(f"""with {GAPPY}, {SEASONS}, n as (select unit, day as a, lead(day) over (partition by unit order by day) as b from o union all select unit, null, min(day) from o group by 1),
+g as (select unit, y, season, count(*) filter (a between s and e) as n_obs, max(date_diff('day', greatest(coalesce(a, greatest(s, date '1995-08-01')), greatest(s, date '1995-08-01')), least(coalesce(b, least(e, date '2001-02-01')), least(e, date '2001-02-01')))) as gap, any_value(s) as s, any_value(e) as e from n cross join w group by 1, 2, 3),
+k as (select unit, cast(y as integer) as y, season, n_obs, case when least(e, date '2001-02-01') < greatest(s, date '1995-08-01') then date_diff('day', s, e) + 1 else greatest(gap, 0) end as max_gap_days from g)
+select *, n_obs >= 2 or max_gap_days < 45 as data_sufficient, max_gap_days > 45 as gap_flag from k""")
+def q108_window_gaps(spark, sf_dir):
+    years = spark.range(1995, 2001).select(F.col("id").cast("int").alias("y"), F.explode(F.array(*[F.lit(x) for x in ("kharif", "rabi", "summer", "annual")])).alias("season"))
+    windows = years.withColumn("w", calendar.season_window(F.col("y"), F.col("season"))).select("y", "season", "w.start", "w.end")
+    gaps = timeseries.window_gaps(order_days(spark, sf_dir), windows, ["unit"], "day", F.lit("1995-08-01").cast("date"), F.lit("2001-02-01").cast("date"))
+    return gaps.drop("start", "end").withColumn("max_gap_days", F.col("max_gap_days").cast("long"))
+
+
+@query(f"""with {PRICES}, w as (select *, {AG} from d), f as (select unit, y, season, max(v) as mx, count(*) >= 90 as ok from w group by all)
+select a.unit, a.y, a.season, round(case when a.ok and b.ok then a.mx - b.mx end, 6) as max_yoy from f a left join f b on a.unit = b.unit and a.season = b.season and a.y = b.y + 1""")
+def q109_year_over_year(spark, sf_dir):
+    found = prices(spark, sf_dir).groupBy("unit", "y", "season").agg(F.max("v").alias("max"), (F.count("*") >= 90).alias("ok"))
+    return timeseries.year_over_year(found, "unit", "season", "y", ["max"], "ok").select("unit", "y", "season", F.round("max_yoy", 6).alias("max_yoy"))
+
+
+@query("""with f as (select l_suppkey as unit, cast(year(l_shipdate) as integer) as y, avg(l_quantity) as v, count(*) >= 3 as ok from lineitem group by 1, 2), p as (select a.s_suppkey as unit, b.s_suppkey as other from supplier a join supplier b on a.s_nationkey = b.s_nationkey and a.s_suppkey <> b.s_suppkey),
+m as (select p.unit, y, median(v) as m, count(*) as n from p join f on f.unit = other and ok group by 1, 2) select f.unit, f.y, round(m, 6) as nbr_median, coalesce(n, 0) as nbr_n from f left join m on m.unit = f.unit and m.y = f.y""")
+def q110_neighbour_median(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("unit"), "s_nationkey")
+    pairs = s.join(s.withColumnRenamed("unit", "other"), "s_nationkey").where("unit <> other").select("unit", "other")
+    found = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("unit"), F.year("l_shipdate").alias("y")).agg(F.avg("l_quantity").alias("v"), (F.count("*") >= 3).alias("ok"))
+    return timeseries.neighbour_median(found, pairs, "unit", ["y"], "v", "ok").select("unit", "y", F.round("nbr_median", 6).alias("nbr_median"), "nbr_n")
 
 
 @query("""with m as (select event_type, user_id, user_id % 3 = 0 as c, avg(value) filter (ts >= timestamp '2024-01-16') - avg(value) filter (ts < timestamp '2024-01-16') as change, count(*) filter (ts < timestamp '2024-01-16') as n_pre, count(*) filter (ts >= timestamp '2024-01-16') as n_post from events group by all),
@@ -99,8 +145,10 @@ def q46_did(spark, sf_dir):
 
 @query()
 def q87_did_interval(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").withColumns({"after": F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz"), "control": F.col("user_id") % 3 == 0})
-    return timeseries.bootstrap_interval(rows, ["event_type"], "user_id", "after", "control", "value")
+    """Per user of events the change of mean value from the first to the last days, against users divisible by three."""
+    rows = table(spark, sf_dir, "events").groupBy("user_id", F.dayofmonth("ts").cast("long").alias("day")).agg(F.avg("value").alias("v"))
+    control = F.col("user_id") % 3 == 0
+    return timeseries.did_interval(rows.where(~control), rows.where(control).withColumnRenamed("user_id", "cell"), unit="user_id", cell="cell", season="day", value="v", before=range(1, 16), after=range(16, 31), level=0.0)
 
 
 BOX = "p_partkey as uid, (p_partkey * 37) % 1000 as x0, (p_partkey * 91) % 1000 as y0, (p_partkey * 37) % 1000 + p_size as x1, (p_partkey * 91) % 1000 + p_size / 2 as y1"

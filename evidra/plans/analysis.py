@@ -8,20 +8,9 @@ from evidra.functions import calendar, normalise
 from evidra.operators import findings, match, search, select, states, stats
 from evidra.sources.tables import table
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .register import register
 
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with the SQL that DuckDB runs for it."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLES, query = register()
 
 
 @query("""with m as (select p_brand, median(l_extendedprice / l_quantity) as med from lineitem join part on l_partkey = p_partkey where l_linenumber % 2 = 0 group by 1),
@@ -55,40 +44,49 @@ def rates(spark, sf_dir):
 
 
 @query(f"""with {MODE} select l_orderkey, l_linenumber, round(paid - size * s.rate, 4) as diff, case when paid > 10 * size * s.rate or paid * 10 < size * s.rate then 'extraction_error' else 'mismatch' end as category,
-case when abs(paid - size * s.rate) >= 1e5 then 'high' when abs(paid - size * s.rate) >= 1e4 then 'medium' else 'low' end as severity from r join s using (l_partkey) where abs(paid - size * s.rate) > 1 + 0.005 * s.rate""")
+case when paid > 10 * size * s.rate or paid * 10 < size * s.rate then 'low' when abs(paid - size * s.rate) >= 1e5 then 'high' when abs(paid - size * s.rate) >= 1e4 then 'medium' else 'low' end as severity,
+case when paid > 10 * size * s.rate or paid * 10 < size * s.rate then 0.8::double else 0.7::double end as confidence, 'parcel' as evidence_level from r join s using (l_partkey) where abs(paid - size * s.rate) > 1 + 0.005 * s.rate""")
 def q08_comp_mismatch(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")
     found = findings.compensation_mismatch(rows, rates(spark, sf_dir), ["l_partkey"], "l_extendedprice", "l_quantity")
-    return found.select("l_orderkey", "l_linenumber", F.round("diff", 4).alias("diff"), "category", "severity")
+    return found.select("l_orderkey", "l_linenumber", F.round("diff", 4).alias("diff"), "category", "severity", "confidence", "evidence_level")
 
 
 @query("""with c as (select o_orderkey, o_totalprice / 1000 as area, l_extendedprice / 1000 as e, l_returnflag as doc, l_linenumber as ord from orders join lineitem on l_orderkey = o_orderkey),
 o as (select o_orderkey, area, e as claimed, 0 as kind, ord from c union all select o_orderkey, area, sum(e), 1, min(ord) from c group by o_orderkey, area, doc having count(*) > 1),
 b as (select *, row_number() over (partition by o_orderkey order by round(abs(claimed - area), 6), kind, ord, claimed) as r from o)
 select o_orderkey, round(claimed, 6) as claimed, round(claimed - area, 6) as off, case when kind = 1 then 'doc_sum' else 'row' end as basis, case when claimed / area > 10 or claimed / area < 0.1 then 'extraction_error' else 'mismatch' end as category,
-case when abs(claimed - area) >= 1 or abs(claimed - area) / area >= 0.5 then 'high' when abs(claimed - area) >= 0.2 then 'medium' else 'low' end as severity from b where r = 1 and area > 0 and abs(claimed - area) / area > 0.05""")
+case when claimed / area > 10 or claimed / area < 0.1 then 'low' when abs(claimed - area) >= 1 or abs(claimed - area) / area >= 0.5 then 'high' when abs(claimed - area) >= 0.2 then 'medium' else 'low' end as severity,
+case when claimed / area > 10 or claimed / area < 0.1 then 0.8::double else 0.85::double end as confidence, 'parcel' as evidence_level from b where r = 1 and area > 0 and abs(claimed - area) / area > 0.05""")
 def q09_extent_mismatch(spark, sf_dir):
     claims = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", (F.col("o_totalprice") / 1000).alias("area"), (F.col("l_extendedprice") / 1000).alias("e"), F.col("l_returnflag").alias("doc"), F.col("l_linenumber").alias("ord"))
     found = findings.extent_mismatch(claims, unit="o_orderkey", area="area", extent="e", document="doc", order="ord")
     return found.withColumns({"claimed": F.round("claimed", 6), "off": F.round("off", 6)})
 
 
-@query("""with g as (select l_partkey, count(distinct l_suppkey) as documents, min(l_discount) as low, max(l_discount) as high, list_sort(list(distinct round(l_discount, 2))) as versions from lineitem group by 1)
-select *, round(high - low, 4) as spread from g where documents > 1 and high - low > 0.055""")
+@query("""with s as (select 'P' || l_partkey % 400 as village, floor(l_extendedprice * 10) / 10000 as total, case when l_suppkey % 7 = 0 then 'GO' else 'LIST' end as doc_type, l_suppkey as document_id, l_linenumber as page_no from lineitem),
+g as (select village, arg_min(total, document_id * 100 + page_no) as go from (select village, min(total) as total, document_id, page_no from s where doc_type = 'GO' group by 1, 3, 4) group by 1),
+k as (select document_id, page_no from s join g using (village) where abs(total - go) <= 0.05 * go group by 1, 2 having count(*) >= 5), f as (select s.* from s join k using (document_id, page_no)),
+v as (select village, list_sort(list(distinct total)) as "values", min(total) as low, max(total) as high, round(max(total) - min(total), 4) as spread from f group by 1)
+select *, case when spread >= 1 then 'high' else 'medium' end as severity, 0.8::double as confidence, 'village' as evidence_level from v where high - low > 0.01 and len("values") > 1""")
 def q10_doc_version_conflict(spark, sf_dir):
-    return findings.version_conflict(table(spark, sf_dir, "lineitem"), ["l_partkey"], "l_discount", "l_suppkey", 0.055).withColumn("spread", F.round("spread", 4))
+    lines = table(spark, sf_dir, "lineitem")
+    sources = lines.select(F.concat(F.lit("P"), (F.col("l_partkey") % 400).cast("string")).alias("village"), (F.floor(F.col("l_extendedprice") * 10) / 10000).alias("total"), F.when(F.col("l_suppkey") % 7 == 0, "GO").otherwise("LIST").alias("doc_type"), F.col("l_suppkey").alias("document_id"), F.col("l_linenumber").alias("page_no"))
+    return findings.version_conflict(sources, place="village", value="total", kind="doc_type", document="document_id", page="page_no").drop("sanctioned")
 
 
-@query("""with l as (select o_custkey, max(cast(o_orderdate as date)) as last from orders group by 1), s as (select c_custkey, c_nationkey, c_acctbal, date '1995-01-01' + cast(c_custkey % 2000 as integer) as since from customer),
-i as (select * from s left join l on o_custkey = c_custkey where date '2001-08-01' - since >= 183 and (last is null or last < date '2001-08-01' - 183))
-select c_nationkey, count(*) as units, round(sum(c_acctbal), 2) as size, min(since) as oldest, case when round(sum(c_acctbal), 2) >= 20 then 'high' when round(sum(c_acctbal), 2) >= 5 then 'medium' else 'low' end as severity from i group by 1""")
+@query("""with s as (select c_custkey, c_nationkey as village, cast(c_custkey % 4 as integer) as block_id, c_acctbal / 1000 as ha, date '2023-01-01' + cast(c_custkey % 500 as integer) as since, case when c_custkey % 6 = 0 then 'parcel' else 'block' end as level, (c_custkey * 37 % 9000)::double as road from customer),
+i as (select * from s where date '2024-02-01' - since >= 6 * 30.44 and c_custkey not in (select user_id from events where event_type = 'purchase'))
+select village, block_id, round(sum(ha), 4) as idle_ha, count(*) as n_parcels, min(since) as oldest, case when bool_or(level = 'parcel') then 'parcel' else 'block' end as evidence_level, round(min(road) / 1000, 3) as road, round((date '2024-02-01' - min(since)) / 30.44, 1)::double as months_since_oldest,
+case when round(sum(ha), 4) >= 20 then 'high' when round(sum(ha), 4) >= 5 then 'medium' else 'low' end as severity, case when bool_or(level = 'parcel') then 0.75::double else 0.6::double end as confidence from i group by 1, 2""")
 def q11_idle_bank(spark, sf_dir):
-    units = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", F.date_add(F.lit("1995-01-01").cast("date"), (F.col("c_custkey") % 2000).cast("int")).alias("since"))
-    activity = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.to_date("o_orderdate").alias("day"))
-    return findings.idle_bank(units, activity, unit="c_custkey", group="c_nationkey", since="since", day="day", size="c_acctbal", as_of=F.lit("2001-08-01").cast("date"), days=183)
+    k = F.col("c_custkey")
+    units = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("village"), (k % 4).cast("int").alias("block_id"), (F.col("c_acctbal") / 1000).alias("ha"), F.date_add(F.lit("2023-01-01").cast("date"), (k % 500).cast("int")).alias("since"), F.when(k % 6 == 0, "parcel").otherwise("block").alias("level"), (k * 37 % 9000).cast("double").alias("road"))
+    cleared = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("c_custkey"))
+    return findings.idle_bank(units, cleared, unit="c_custkey", group=["village", "block_id"], since="since", size="ha", level="level", as_of=F.lit("2024-02-01").cast("date"), distances=["road"])
 
 
-SEASON = "case when month(d) between 6 and 9 then 'kharif' when month(d) >= 10 or month(d) = 1 then 'rabi' else 'summer' end"
+SEASON = "case when month(d) between 6 and 9 then 'kharif' when month(d) between 3 and 5 then 'summer' else 'rabi' end"
 
 
 @query(f"""select cast(case when month(d) >= 6 then year(d) else year(d) - 1 end as integer) as ag_year, {SEASON} as season, count(*) as n, round(sum(o_totalprice), 2) as total from (select cast(o_orderdate as date) as d, o_totalprice from orders) group by 1, 2""")
@@ -106,40 +104,62 @@ def q19_event_windows(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", calendar.majority_window(a, F.date_add(a, 90), calendar.event_windows(*days)).alias("window_name"))
 
 
-FEAT = "f as (select l_partkey, l_linenumber, l_discount * 8 as peak, l_tax * 5 as amp, l_discount * 4 - 0.02 as dry, l_quantity as n, l_orderkey, l_linestatus, cast(year(l_shipdate) as integer) as y from lineitem)"
-RULE = "case when n < 4 then 'insufficient' when dry < 0 then 'water' when peak < 0.25 and amp < 0.1 then 'cleared_or_built' when peak >= 0.45 and amp >= 0.2 and dry >= 0.3 then 'irrigated' when peak >= 0.45 and amp >= 0.2 then 'rainfed' else 'no_crop' end"
+FEAT = f"""f as (select l_partkey, cast(case when month(d) >= 6 then year(d) else year(d) - 1 end as integer) as y, {SEASON} as season, l_quantity >= 3 as enough, l_discount * 8 as mx, l_discount * 5 as mn, l_tax * 5 as amp, l_discount * 6 as dry, l_tax - 0.07 as ndwi,
+l_linenumber % 3 as peaks, l_tax * 6 as nbr, -l_tax * 3 as yoy, l_orderkey * 10 + l_linenumber as ord from (select *, cast(l_shipdate as date) as d from lineitem))"""
+RULE = """case when not enough then 'insufficient_data' when ndwi > 0 and mx < 0.3 then 'water'
+when season = 'rabi' then case when mx < 0.3 and nbr >= 0.3 and yoy <= -0.15 then 'cleared_or_built' when dry >= 0.38 and amp < 0.25 then 'perennial_veg' when peaks >= 1 and amp >= 0.25 then 'cropped' else 'bare_fallow' end
+when peaks >= 1 and mx >= 0.45 and amp >= 0.2 then 'cropped' when mn >= 0.3 then 'perennial_veg' else 'bare_fallow' end"""
 
 
 def season_states(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", (F.col("l_discount") * 8).alias("peak"), (F.col("l_tax") * 5).alias("amp"), (F.col("l_discount") * 4 - 0.02).alias("dry"), F.col("l_quantity").alias("n"), F.year("l_shipdate").alias("y"))
-    return rows.withColumn("state", states.season_rule(F.col("peak"), F.col("amp"), F.col("dry"), F.col("n")))
+    day, discount, tax = F.to_date("l_shipdate"), F.col("l_discount"), F.col("l_tax")
+    rows = table(spark, sf_dir, "lineitem").withColumns({"y": calendar.ag_year(day), "season": calendar.season(day), "ord": F.col("l_orderkey") * 10 + F.col("l_linenumber"), "mx": discount * 8})
+    state = states.season_rule(F.col("season"), F.col("l_quantity") >= 3, F.col("mx"), discount * 5, tax * 5, discount * 6, tax - 0.07, F.col("l_linenumber") % 3, tax * 6, -tax * 3)
+    return rows.select("l_partkey", "y", "season", "ord", "mx", state.alias("state"))
 
 
-@query(f"with {FEAT} select y, {RULE} as state, count(*) as n from (select * from f) group by all")
+@query(f"with {FEAT} select y, season, {RULE} as state, count(*) as n from f group by all")
 def q22_season_rule(spark, sf_dir):
-    return season_states(spark, sf_dir).groupBy("y", "state").agg(F.count("*").alias("n"))
-
-
-@query(f"""with {FEAT}, s as (select l_partkey, y, {RULE} as state, round(1 - peak / 4, 4) as p, l_orderkey * 10 + l_linenumber as ord from f),
-c as (select l_partkey, y, state, count(*) as n, min(ord) as first, min(p) as p from s group by all),
-m as (select *, row_number() over (partition by l_partkey, y order by n desc, first) as r from c),
-k as (select l_partkey, y, cast(sum(n) filter (state in ('irrigated', 'rainfed')) as bigint) as nc, min(p) filter (state in ('irrigated', 'rainfed')) as pc from c group by 1, 2)
-select l_partkey, y, case when coalesce(nc, 0) >= 2 then 'irrigated_multi' when coalesce(nc, 0) = 1 then 'cropped' else state end as annual_state, case when coalesce(nc, 0) > 0 then pc else p end as p_state, coalesce(nc, 0) as n_crop from m join k using (l_partkey, y) where r = 1""")
+    return season_states(spark, sf_dir).groupBy("y", "season", "state").agg(F.count("*").alias("n"))
+
+
+@query(f"""with {FEAT}, s as (select l_partkey, y, season, ord, {RULE} as state from f), m as (select *, case when state = 'cropped' and count(*) filter (state = 'cropped') over (partition by l_partkey, y) >= 2 then 'irrigated_multi' else state end as multi from s),
+w as (select p_partkey as l_partkey, case p_partkey % 4 when 0 then 'tree' when 1 then 'built' when 2 then 'crop' else 'water' end as cover, p_size / 50 as share from part)
+select ord, l_partkey, y, season, case when ((y = 2000 and season = 'summer') or (y = 2001 and season in ('kharif', 'rabi'))) and cover in ('tree', 'built', 'water') and share >= 0.6 and multi <> 'insufficient_data' then case cover when 'tree' then 'perennial_veg' when 'built' then 'cleared_or_built' else 'water' end else multi end as prior_state,
+case when ((y = 2000 and season = 'summer') or (y = 2001 and season in ('kharif', 'rabi'))) and cover in ('tree', 'built', 'water') and share >= 0.6 and multi <> 'insufficient_data' then 'cover' else 'rules' end as prior_src from m left join w using (l_partkey)""")
+def q106_rule_states(spark, sf_dir):
+    k = F.col("p_partkey")
+    cover = table(spark, sf_dir, "part").select(k.alias("l_partkey"), F.when(k % 4 == 0, "tree").when(k % 4 == 1, "built").when(k % 4 == 2, "crop").otherwise("water").alias("cover"), (F.col("p_size") / 50).alias("share"))
+    shifted = season_states(spark, sf_dir).withColumn("y", F.col("y") + 20)  # the cover map is of 2020 and 2021, the table twenty years older
+    out = states.rule_states(shifted, "l_partkey", "y", "season", "state", cover)
+    return out.select("ord", "l_partkey", (F.col("y") - 20).alias("y"), "season", "prior_state", "prior_src")
+
+
+@query(f"""with {FEAT}, s as (select l_partkey, y, {RULE} as state, round(1 - mx / 4, 4) as p, ord from f), m as (select *, case when state = 'cropped' and ord % 5 = 0 then 'irrigated_multi' else state end as st from s),
+c as (select l_partkey, y, st, count(*) as n, min(ord) as first, min(p) as p from m group by all),
+t as (select *, row_number() over (partition by l_partkey, y order by n desc, first) as r from c where st <> 'insufficient_data'),
+k as (select l_partkey, y, coalesce(cast(sum(n) filter (st in ('cropped', 'irrigated_multi')) as bigint), 0) as nc, min(p) filter (st in ('cropped', 'irrigated_multi')) as pc, bool_or(st = 'irrigated_multi') as multi from c group by 1, 2)
+select k.l_partkey, k.y, case when nc >= 2 or multi then 'irrigated_multi' when nc = 1 then 'cropped' else coalesce(st, 'insufficient_data') end as annual_state, case when nc > 0 then pc else p end as p_state, nc as n_crop from k left join t on t.l_partkey = k.l_partkey and t.y = k.y and r = 1""")
 def q20_annual_state(spark, sf_dir):
-    rows = season_states(spark, sf_dir).select("l_partkey", "y", "state", F.round(1 - F.col("peak") / 4, 4).alias("p"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    state = F.when((F.col("state") == "cropped") & (F.col("ord") % 5 == 0), "irrigated_multi").otherwise(F.col("state"))
+    rows = season_states(spark, sf_dir).select("l_partkey", "y", state.alias("state"), F.round(1 - F.col("mx") / 4, 4).alias("p"), "ord")
     return states.annual_state(rows, ["l_partkey", "y"], "state", "p", "ord")
 
 
-@query("""with v as (select doc_id, case when n_chars > 1500 then 'a' else 'b' end as x, case lang when 'en' then 'a' when 'de' then null else 'b' end as y, case when length(source) > 4 then 'a' when doc_id % 5 = 0 then null else 'c' end as z from documents),
-g as (select doc_id, list_filter([x, y, z], lambda q: q is not null) as l from v)
-select doc_id, case when len(l) = 0 then 'none' when len(l) = 1 then 'single' when len(l) = 3 and len(list_distinct(l)) = 1 then '3of3' when len(l) = 3 and len(list_distinct(l)) = 2 then '2of3' when len(l) = 2 and len(list_distinct(l)) = 1 then '2of2' else 'split' end as outcome,
-(select q from (select unnest(l) as q) group by q having count(*) * 2 > len(l)) as winner from g""")
+@query("""with v as (select doc_id, case when n_chars > 1500 then 'a' else 'b' end as x, case lang when 'en' then 'a' when 'de' then null else 'b' end as y, case when length(source) > 4 then 'a' when doc_id % 5 = 0 then null else 'c' end as z, case when doc_id % 2 = 0 then 0.7 else 0.3 end as p, doc_id % 7 = 0 as gone from documents),
+w as (select doc_id, case when gone then null else x end as x, y, z, p from v),
+g as (select doc_id, x, y, z, p, list_filter([x, y, z], lambda q: q is not null) as l from w),
+o as (select *, case when len(l) = 0 then 'none' when len(l) = 1 then 'single' when len(l) = 3 and len(list_distinct(l)) = 1 then '3of3' when len(l) = 3 and len(list_distinct(l)) = 2 then '2of3' when len(l) = 3 then 'none' when len(list_distinct(l)) = 1 then '2of2'
+when z is not null and p >= 0.6 then 'split_vlm' else 'split' end as agreement from g)
+select doc_id, agreement, case when agreement in ('3of3', '2of3', '2of2') then case when x = y or x = z then x else y end when agreement = 'split_vlm' then coalesce(x, y) end as label from o""")
 def q21_vote(spark, sf_dir):
-    labels = F.array(
-        F.when(F.col("n_chars") > 1500, "a").otherwise("b"), F.when(F.col("lang") == "en", "a").when(F.col("lang") != "de", "b"),
-        F.when(F.length("source") > 4, "a").when(F.col("doc_id") % 5 != 0, "c"),
-    )
-    return table(spark, sf_dir, "documents").select("doc_id", states.vote(labels).alias("outcome"), states.winner(labels).alias("winner"))
+    sure = F.when(F.col("doc_id") % 2 == 0, 0.7).otherwise(0.3)
+    labels = {
+        "one": F.when(F.col("doc_id") % 7 != 0, F.when(F.col("n_chars") > 1500, "a").otherwise("b")), "two": F.when(F.col("lang") == "en", "a").when(F.col("lang") == "de", None).otherwise("b"),
+        "prior": F.when(F.length("source") > 4, "a").when(F.col("doc_id") % 5 != 0, "c"),
+    }
+    vote = states.vote(labels, {"one": sure, "two": sure})
+    return table(spark, sf_dir, "documents").select("doc_id", vote.alias("v")).select("doc_id", "v.agreement", "v.label")
 
 
 @query("""with e as (select user_id, event_type, count(*) as n from events group by 1, 2), t as (select *, max(n) over (partition by user_id) as top, sum(n) over (partition by user_id) as every from e)
@@ -170,8 +190,7 @@ def q75_calibration(spark, sf_dir):
 
 @query("""with l as (select user_id, list_sort(list(value)) as v from events group by 1) select user_id, v[cast(round_even(0.5 * (len(v) - 1), 0) as integer) + 1] as p50, v[cast(round_even(0.95 * (len(v) - 1), 0) as integer) + 1] as p95 from l""")
 def q76_nearest_rank(spark, sf_dir):
-    values = F.collect_list("value")
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(values.alias("v")).select("user_id", stats.nearest_rank(F.col("v"), 0.5).alias("p50"), stats.nearest_rank(F.col("v"), 0.95).alias("p95"))
+    return stats.nearest_ranks(table(spark, sf_dir, "events"), ["user_id"], "value", {"p50": 0.5, "p95": 0.95})
 
 
 REFS = "u as (select p_partkey, p_brand as grp, p_partkey % 50 || '/' || p_size as code, cast(p_partkey % 50 as varchar) as survey, cast(p_size as varchar) as sub from part)"
@@ -183,7 +202,7 @@ def link_tables(spark, sf_dir):
     units = part.select(F.col("p_partkey").alias("uid"), F.col("p_brand").alias("grp"), F.concat(survey, F.lit("/"), sub).alias("code"), survey.alias("survey"), sub.alias("sub"), (F.col("p_partkey") % 3).alias("block"), (F.col("p_retailprice") / 100).alias("area"))
     n = F.col("p_partkey")
     ref = F.when(n % 4 == 0, F.concat(survey, F.lit("/"), sub)).when(n % 4 == 1, F.concat(F.lit("0"), survey, F.lit("-"), sub)).when(n % 4 == 2, survey).otherwise(F.concat(survey, F.lit("/"), F.translate(sub, "015", "OIS")))
-    refs = part.where("p_partkey % 3 = 0").select(n.alias("id"), F.col("p_brand").alias("grp"), ref.alias("ref"), survey.alias("survey"), F.when(n % 4 == 2, "").when(n % 4 == 3, F.translate(sub, "015", "OIS")).otherwise(sub).alias("sub"), (n % 3).alias("block"), F.lit(None).cast("double").alias("extent"))
+    refs = part.select(n.alias("id"), F.col("p_brand").alias("grp"), ref.alias("ref"), survey.alias("survey"), F.when(n % 4 == 2, "").when(n % 4 == 3, F.translate(sub, "015", "OIS")).otherwise(sub).alias("sub"), (n % 3).alias("block"), F.lit(None).cast("double").alias("extent"))
     return refs, units
 
 
@@ -244,11 +263,11 @@ def q32_pseudonymise(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", normalise.pseudonym(F.col("c_name"), "s1").alias("token"))
 
 
-@query("""with s as (select a.vec_id as query, b.vec_id as vec_id, round(list_dot_product(a.embedding::double[], b.embedding::double[]) / (sqrt(list_dot_product(a.embedding::double[], a.embedding::double[])) * sqrt(list_dot_product(b.embedding::double[], b.embedding::double[]))), 6) as score from embeddings a, embeddings b where a.vec_id < 20 and a.vec_id <> b.vec_id)
+@query("""with s as (select a.vec_id as query, b.vec_id as vec_id, round(list_dot_product(a.embedding::double[], b.embedding::double[]) / (sqrt(list_dot_product(a.embedding::double[], a.embedding::double[])) * sqrt(list_dot_product(b.embedding::double[], b.embedding::double[]))), 6) as score from embeddings a, embeddings b where a.vec_id % 50 = 0 and a.vec_id <> b.vec_id)
 select query, vec_id, score, cast(rank as integer) as rank from (select *, row_number() over (partition by query order by score desc, vec_id) as rank from s) where rank <= 5""")
 def q33_cosine_topk(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    return search.cosine_top_k(vectors, vectors.where("vec_id < 20"), key="vec_id", vector="embedding", k=5)
+    return search.cosine_top_k(vectors, vectors.where("vec_id % 50 = 0"), key="vec_id", vector="embedding", k=5)
 
 
 @query("select event_id, cast(json_extract(props, '$.k') as double) as k from events")
@@ -295,8 +314,8 @@ def q82_quantiles(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 2).alias("mean"), F.round(F.percentile("n_chars", F.lit(0.5)), 4).alias("p50"), F.round(F.percentile("n_chars", F.lit(0.9)), 4).alias("p90"))
 
 
-@query("""with benchmark as (select item_id, regexp_replace(text, '[^ -~]', '?', 'g') as text from benchmark) select a.item_id as item_id, levenshtein(substr(a.text, 1, 60), substr(b.text, 1, 60)) as distance, round(levenshtein(substr(a.text, 1, 60), substr(b.text, 1, 60)) / length(substr(a.text, 1, 60)), 6) as cer from benchmark a join benchmark b on b.item_id = a.item_id + 1""")
+@query("""with benchmark as (select item_id, regexp_replace(text, '[^ -~]', '?', 'g') as text from benchmark) select a.item_id as item_id, levenshtein(a.text, b.text) as distance, round(levenshtein(a.text, b.text) / length(a.text), 6) as cer from benchmark a join benchmark b on b.item_id = a.item_id + 1""")
 def q83_character_error(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.substring(F.regexp_replace("text", "[^ -~]", "?"), 1, 60).alias("t"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "?").alias("t"))
     other = items.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("o"))
     return items.join(other, "item_id").select("item_id", F.levenshtein("t", "o").cast("long").alias("distance"), F.round(normalise.character_error(F.col("t"), F.col("o")), 6).alias("cer"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import advanced, analysis, serving, views
+from . import advanced, analysis, land, serving, views
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for module in (views, analysis, advanced, serving):
+for module in (views, analysis, advanced, serving, land):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES

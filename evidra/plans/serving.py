@@ -7,20 +7,9 @@ from pyspark.sql import functions as F
 from evidra.operators import records, refresh, router
 from evidra.sources.tables import geojson, table
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .register import register
 
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with the SQL that DuckDB runs for it."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLES, query = register()
 
 
 @query("""with c as (select s_suppkey, s_nationkey, round(s_acctbal * 0.001 + s_nationkey * 0.01, 6) as score from supplier where s_acctbal > 0 and s_nationkey <> 3)
@@ -68,12 +57,12 @@ def q96_best_version(spark, sf_dir):
     return best.select("l_orderkey", "l_returnflag", "l_partkey", F.size("losers").cast("long").alias("n_losers"))
 
 
-@query("""with t as (select distinct l_suppkey as k from lineitem where l_orderkey < 5), e as (select distinct l_suppkey as a, l_partkey % 100 as b from lineitem where l_orderkey < 100), u as (select a, b from e union select b, a from e)
+@query("""with t as (select distinct l_suppkey as k from lineitem where l_shipdate >= timestamp '2001-07-01'), e as (select distinct l_suppkey as a, l_partkey % 100 as b from lineitem), u as (select a, b from e union select b, a from e)
 select k from t union select b from t join u on a = k""")
 def q97_affected_keys(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
-    touched = lines.where("l_orderkey < 5").select(F.col("l_suppkey").alias("k")).distinct()
-    edges = lines.where("l_orderkey < 100").select(F.col("l_suppkey").alias("k"), (F.col("l_partkey") % 100).alias("b")).distinct()
+    touched = lines.where("l_shipdate >= timestamp '2001-07-01'").select(F.col("l_suppkey").alias("k")).distinct()
+    edges = lines.select(F.col("l_suppkey").alias("k"), (F.col("l_partkey") % 100).alias("b")).distinct()
     return refresh.affected(touched, edges, "k", "b")
 
 
@@ -106,9 +95,9 @@ def q101_review(spark, sf_dir):
     return records.review(docs.select("doc_id", F.col("source").alias("value")), decisions, "doc_id")
 
 
-@query("""with p as (select doc_id, unnest(generate_series(1, 3)) as page_no, string_split(replace(text, chr(10), chr(12)), chr(12)) as parts from documents) select doc_id, cast(page_no as integer) as page_no, coalesce(parts[page_no], '') as text from p""")
+@query("""with p as (select doc_id, string_split(replace(text, chr(10), chr(12)), chr(12)) as parts from documents), q as (select doc_id, parts, unnest(generate_series(1, len(parts))) as page_no from p) select doc_id, cast(page_no as integer) as page_no, coalesce(parts[page_no], '') as text from q""")
 def q102_pages(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\f")).alias("text"), F.lit(3).alias("n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\f")).alias("text")).withColumn("n", F.size(F.split("text", "\f")))
     return records.pages_of(docs, "doc_id", "text", "n")
 
 

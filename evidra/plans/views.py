@@ -9,24 +9,13 @@ from evidra.operators import lifecycle as life
 from evidra.operators import select, stats, windows
 from evidra.sources.tables import changed_rows, errata, insert_new, iso_z, mark_stale, sync, table, union_arrays, upsert
 
+from .register import register
+
 STAGES = ["view", "click", "signup", "purchase"]
 SQL_STAGES = "(values (1,'view'),(2,'click'),(3,'signup'),(4,'purchase'))"
 LIMITS = {"view": 20, "click": 15, "signup": 10}
 AS_OF = "2024-02-01"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with the SQL that DuckDB runs for it."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLES, query = register()
 
 
 def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:

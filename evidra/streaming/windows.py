@@ -72,8 +72,17 @@ def breaker(events: DataFrame, failures: int = 3, open_seconds: int = 60) -> Dat
         return state, pd.DataFrame({"user_id": ordered["user_id"], "event_id": ordered["event_id"], "state": seen})
 
     schema = "user_id long, event_id long, state string"
+    def passing(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, state = None, None
+        for frame in frames:
+            for user, part in frame.groupby("user_id", sort=False, dropna=False):  # a user's rows come together, in order
+                state, out = fold(state if user == of else ("closed", 0, 0.0), part)
+                of = user
+                yield out
+
     if not events.isStreaming:
-        return events.groupBy("user_id").applyInPandas(lambda pdf: fold(("closed", 0, 0.0), pdf)[1], schema)
+        rows = events.select("user_id", "event_id", "event_type", "ts").repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
+        return rows.mapInPandas(passing, schema)
 
     def stateful(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now, out = fold(state.get if state.exists else ("closed", 0, 0.0), pd.concat(list(batches)))
