@@ -96,26 +96,61 @@ def survey_ref(text: Column) -> Column:
     return F.struct(F.when(F.regexp_extract(low, pattern, 1) != "", F.regexp_extract(low, pattern, 1)).alias("survey"), F.when(sub != "", sub).alias("subdivision"))
 
 
+#: Tamil digits, and letters of subdivisions.
+TAMIL_DIGITS, TAMIL_LETTERS = "௦௧௨௩௪௫௬௭௮௯", "அஆஇஈஉஊ"
+
+
+def tamil_digits(text: Column) -> Column:
+    """Tamil digits as ASCII digits; all else stays."""
+    return F.translate(text, TAMIL_DIGITS, "0123456789")
+
+
 def norm_token(text: Column) -> Column:
-    """Upper case, only letters and digits, without leading zeros of a leading number."""
-    bare = F.regexp_replace(F.upper(F.coalesce(text, F.lit(""))), "[^0-9A-Z]", "")
-    return F.regexp_replace(bare, "^0+(?=[0-9])", "")
+    """Upper case, only letters, digits and inner slashes, without what stands in parentheses, and without leading zeros of a number; null is empty."""
+    plain = F.translate(tamil_digits(F.coalesce(text, F.lit(""))), TAMIL_LETTERS, "ABCDEF")
+    bare = F.regexp_replace(F.upper(F.regexp_replace(plain, r"\(.*?\)", "")), "[^0-9A-Z/]", "")
+    return F.regexp_replace(F.regexp_replace(bare, "^/+|/+$", ""), "(^|/)0+(?=[0-9])", "$1")
+
+
+def parse_refs(survey: Column, subdivision: Column) -> Column:
+    """array of distinct (survey, sub) that a record's two fields name, in order; sub is empty for a whole survey.
+
+    Items are parted by commas, semicolons, 'and', '&'; one with a slash names its own survey, others belong to the last one named."""
+    whole = norm_token(survey)
+    head, tail = F.substring_index(whole, "/", 1), F.when(F.contains(whole, F.lit("/")), F.regexp_replace(whole, "^[^/]*/", "")).otherwise(F.lit(""))
+    joined = F.concat_ws(",", F.when(tail != "", tail), F.regexp_replace(F.coalesce(subdivision, F.lit("")), r"மற்றும்|&|\band\b", ","))
+    items = F.filter(F.transform(F.split(joined, "[,;]"), norm_token), lambda t: t != "")
+    ref = lambda s, d: F.struct(s.alias("survey"), d.alias("sub"))
+    empty = F.struct(head.alias("now"), F.array().cast("array<struct<survey:string,sub:string>>").alias("out"))
+
+    def step(a: Column, t: Column) -> Column:
+        own = F.contains(t, F.lit("/"))
+        s = F.when(own, F.substring_index(t, "/", 1)).otherwise(a["now"])
+        d = F.when(own, F.regexp_replace(t, "^[^/]*/", "")).otherwise(t)
+        return F.struct(s.alias("now"), F.array_append(a["out"], ref(s, d)).alias("out"))
+
+    found = F.array_distinct(F.filter(F.aggregate(items, empty, step, lambda a: a["out"]), lambda r: r["survey"] != ""))
+    alone = F.when(head != "", F.array(ref(head, F.lit("")))).otherwise(F.array().cast("array<struct<survey:string,sub:string>>"))
+    return F.when(F.size(items) == 0, alone).otherwise(found)
 
 
-#: Characters that scans mix up.
-CONFUSABLE = {"0": "O", "O": "0", "1": "I", "I": "1", "5": "S", "S": "5", "8": "B", "B": "8", "2": "Z", "Z": "2"}
+#: Pairs of characters that scans mix up.
+CONFUSABLE = (("3", "8"), ("1", "7"), ("0", "6"), ("5", "6"), ("A", "4"))
 
 
 def ocr_variants(token: Column, swaps: int = 2) -> Column:
     """struct(variant, swaps) of every way of exchanging up to so many confusable characters (the token itself: 0)."""
+    others: dict[str, str] = {}
+    for a, b in CONFUSABLE:
+        others[a], others[b] = others.get(a, "") + b, others.get(b, "") + a
     start = F.array(F.struct(F.lit("").alias("variant"), F.lit(0).alias("swaps")))
-    table = F.create_map(*[F.lit(x) for pair in CONFUSABLE.items() for x in pair])
+    table = F.create_map(*[F.lit(x) for pair in others.items() for x in pair])
 
     def step(found: Column, c: Column) -> Column:
         same = F.transform(found, lambda v: F.struct(F.concat(v["variant"], c).alias("variant"), v["swaps"].alias("swaps")))
-        other = F.try_element_at(table, c)
-        open_ = F.filter(found, lambda v: (v["swaps"] < swaps) & other.isNotNull())
-        swapped = F.transform(open_, lambda v: F.struct(F.concat(v["variant"], other).alias("variant"), (v["swaps"] + 1).alias("swaps")))
+        other = F.filter(F.split(F.coalesce(F.try_element_at(table, c), F.lit("")), ""), lambda x: x != "")
+        open_ = F.filter(found, lambda v: v["swaps"] < swaps)
+        swapped = F.flatten(F.transform(open_, lambda v: F.transform(other, lambda x: F.struct(F.concat(v["variant"], x).alias("variant"), (v["swaps"] + 1).alias("swaps")))))
         return F.concat(same, swapped)
 
     return F.aggregate(F.filter(F.split(token, ""), lambda c: c != ""), start, step)

@@ -1,77 +1,151 @@
-"""Tiered record linkage of references to units within a group, as equi-joins with residuals.
+"""Tiered record linkage of a record's references to units within a village.
 
-Each tier joins on its own key and takes only references that no earlier tier found. Scores are
-adjusted by context, the best is accepted if it is good enough and far enough ahead.
+Every reference becomes one row a key it may be known by, with the key's tier; every unit one row a key. They meet in one
+equi-join on village and key, and the least tier that found anything stays. Scores are adjusted by context, the best is
+accepted if it is good enough and far enough ahead. A record of several references is a list; one without a village, or whose
+village was only guessed, may be resolved by the one other village that has its reference in the same unit and block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidra.functions.normalise import norm_token, ocr_variants
+from evidra.functions.normalise import norm_token, ocr_variants, parse_refs
+from evidra.sources.checkpoints import cut
 
-#: Tier scores, acceptance, context adjustments.
-EXACT, NORMAL, SURVEY_ONE, SURVEY_ALL, PREFIX, SWAP = 1.0, 0.95, 0.90, 0.85, 0.80, (0.65, 0.45)
+#: Tier scores, acceptance, context adjustments, candidates that are kept, names of schemes that stand for villages.
+EXACT, NORMAL, PARENT_ONE, SURVEY_LEVEL, PREFIX, SWAP_ONE, SWAP_TWO = 1.0, 0.95, 0.90, 0.85, 0.80, 0.65, 0.45
 ACCEPT, MARGIN = 0.80, 0.10
-BLOCK_SAME, BLOCK_OTHER, EXTENT_NEAR, EXTENT_OVER = 0.05, -0.10, 0.05, -0.10
+BLOCK_SAME, BLOCK_OTHER, EXTENT_NEAR, EXTENT_FAR, HEADER_ONLY, HEADER_CONFLICT, RERESOLVED = 0.05, -0.10, 0.05, -0.10, -0.05, -0.05, -0.05
+TOP, SCHEMES = 3, ("Allikulam",)
+CONTEXT = ("block", "unit", "extent", "from_header", "header_conflict", "scheme_header")
+
+
+def prepared(units: DataFrame) -> DataFrame:
+    """units (uid, village, code, block, unit, area) with survey and sub of their code."""
+    return units.withColumns({"survey": norm_token(F.substring_index("code", "/", 1)), "sub": norm_token(F.when(F.contains("code", F.lit("/")), F.regexp_replace("code", "^[^/]*/", "")))})
+
+
+def members(records: DataFrame) -> DataFrame:
+    """One row a reference of each record: id, i, n, survey, sub, village and context."""
+    refs = records.select("id", "village", *CONTEXT, parse_refs(F.col("survey_no"), F.col("sub_div")).alias("_r"))
+    return refs.select("*", F.size("_r").alias("n"), F.posexplode("_r").alias("i", "_m")).select("*", "_m.survey", "_m.sub").drop("_r", "_m")
+
+
+def key(kind: str, *parts: Column) -> Column:
+    return F.concat_ws("|", F.lit(kind), *parts)
 
 
 def candidates(refs: DataFrame, units: DataFrame) -> DataFrame:
-    """refs (id, grp, ref, survey, sub, ...) and units (uid, grp, code, survey, sub, ...) to (id, uid, tier, base)."""
-    r = refs.withColumns({"r_norm": norm_token(F.col("ref")), "r_sub": norm_token(F.col("sub")), "r_survey": norm_token(F.col("survey"))}).select("id", "grp", "ref", "r_norm", "r_survey", "r_sub")
-    u = units.withColumns({"u_norm": norm_token(F.col("code")), "u_survey": norm_token(F.col("survey")), "u_sub": norm_token(F.col("sub"))}).select("uid", "grp", "code", "u_norm", "u_survey", "u_sub")
-
-    def tier(left: DataFrame, on: list, name: str, base: float) -> DataFrame:
-        return left.join(u.withColumnRenamed("grp", "u_grp"), [F.col("grp") == F.col("u_grp"), *on]).select("id", "uid", F.lit(name).alias("tier"), F.lit(base).alias("base"))
-
-    found = tier(r, [F.col("ref") == F.col("code")], "exact", EXACT)
-    rest = r.join(found.select("id").distinct(), "id", "left_anti")
-    normal = tier(rest.where("r_norm <> ''"), [F.col("r_norm") == F.col("u_norm")], "normal", NORMAL)
-    rest = rest.join(normal.select("id").distinct(), "id", "left_anti")
-    whole = rest.where("r_sub = '' and r_survey <> ''")
-    survey = tier(whole, [F.col("r_survey") == F.col("u_survey")], "survey", SURVEY_ALL)
-    n = Window.partitionBy("id")
-    survey = survey.withColumn("n", F.count("*").over(n)).select("id", "uid", F.when(F.col("n") == 1, "survey_one").otherwise("survey_level").alias("tier"), F.when(F.col("n") == 1, SURVEY_ONE).otherwise(SURVEY_ALL).alias("base"))
-    rest = rest.join(survey.select("id").distinct(), "id", "left_anti")
-    prefix = tier(rest.where("r_sub <> ''"), [F.col("r_survey") == F.col("u_survey"), F.startswith("u_sub", F.col("r_sub"))], "prefix", PREFIX)
-    rest = rest.join(prefix.select("id").distinct(), "id", "left_anti")
-    swapped = rest.where("r_norm <> ''").select("id", "grp", F.explode(ocr_variants(F.col("r_norm"))).alias("v")).select("id", "grp", F.col("v.variant").alias("variant"), F.col("v.swaps").alias("swaps")).where("swaps > 0")
-    read = swapped.join(u.withColumnRenamed("grp", "u_grp"), (F.col("grp") == F.col("u_grp")) & (F.col("variant") == F.col("u_norm")))
-    read = read.groupBy("id", "uid").agg(F.min("swaps").alias("swaps")).select("id", "uid", F.lit("ocr").alias("tier"), F.when(F.col("swaps") == 1, SWAP[0]).otherwise(SWAP[1]).alias("base"))
-    return found.unionByName(normal).unionByName(survey).unionByName(prefix).unionByName(read)
-
-
-def adjusted(base: Column, block: Column, unit_block: Column, extent: Column, area: Column) -> Column:
-    """Base score with context: same or other block, extent near the area or far over it; within 0 and 1."""
-    same = F.when(block.isNull() | unit_block.isNull(), 0.0).when(block == unit_block, BLOCK_SAME).otherwise(BLOCK_OTHER)
-    near = F.when(extent.isNull() | area.isNull(), 0.0).when(F.abs(extent - area) <= 0.1 * area, EXTENT_NEAR).when(extent > 1.5 * area + 0.05, EXTENT_OVER).otherwise(0.0)
-    return F.least(F.greatest(base + same + near, F.lit(0.0)), F.lit(1.0))
-
-
-def decide(scored: DataFrame, accept: float = ACCEPT, margin: float = MARGIN) -> DataFrame:
-    """id, uid, status, score, runner_up: linked, survey_level (all linked), or ambiguous; ties by uid."""
-    w = Window.partitionBy("id").orderBy(F.desc("score"), "uid")
-    ranked = scored.withColumns({"place": F.row_number().over(w), "next": F.lead("score").over(w)}).where((F.col("place") == 1) | (F.col("tier") == "survey_level"))
-    top = F.first("score").over(w)
-    clear = (top >= accept) & ((top - F.coalesce(F.first("next").over(w), F.lit(0.0)) >= margin) | F.first("next").over(w).isNull())
-    status = F.when(F.col("tier") == "survey_level", "survey_level").when(clear, "linked").otherwise("ambiguous")
-    return ranked.select("id", "uid", "tier", F.col("score"), status.alias("status"))
-
-
-def link(refs: DataFrame, units: DataFrame) -> DataFrame:
-    """One row a link; references without a candidate: 'no_candidate', without a key: 'no_ref'."""
-    found = candidates(refs, units)
-    context = refs.select("id", F.col("block").alias("r_block"), F.col("extent").alias("r_extent"))
-    about = units.select("uid", F.col("block").alias("u_block"), "area")
-    scored = found.join(context, "id").join(about, "uid").withColumn("score", F.round(adjusted(F.col("base"), F.col("r_block"), F.col("u_block"), F.col("r_extent"), F.col("area")), 4))
-    decided = decide(scored)
-    none = refs.join(decided.select("id").distinct(), "id", "left_anti")
-    status = F.when(F.coalesce(norm_token(F.col("ref")), F.lit("")) == "", "no_ref").otherwise("no_candidate")
-    return decided.unionByName(none.select("id", F.lit(None).cast(dict(units.dtypes)["uid"]).alias("uid"), F.lit("none").alias("tier"), F.lit(0.0).alias("score"), status.alias("status")))
+    """id, i, uid, tier, base, swaps of the least tier that finds a unit for each reference; refs and units in one village."""
+    whole = F.col("sub") == ""
+    readings = lambda c: ocr_variants(F.col(c))
+    both = F.filter(F.flatten(F.transform(readings("survey"), lambda a: F.transform(readings("sub"), lambda b: F.struct(a["variant"].alias("s"), b["variant"].alias("d"), (a["swaps"] + b["swaps"]).alias("swaps"))))), lambda v: v["swaps"].between(1, 2))
+    one = lambda rank, name, k, base: F.struct(F.lit(rank).alias("rank"), F.lit(name).alias("tier"), k.alias("key"), F.lit(base).alias("base"), F.lit(0).alias("swaps"))
+    ocr = F.transform(both, lambda v: F.struct(F.lit(4).alias("rank"), F.lit("ocr").alias("tier"), key("K", v["s"], v["d"]).alias("key"), F.when(v["swaps"] == 1, SWAP_ONE).otherwise(SWAP_TWO).alias("base"), v["swaps"].alias("swaps")))
+    code = F.when(whole, F.col("survey")).otherwise(F.concat_ws("/", "survey", "sub"))
+    ways = F.concat(F.array(one(1, "exact", key("E", code), EXACT), one(2, "normalised", key("K", F.col("survey"), F.col("sub")), NORMAL), F.when(whole, one(3, "parent_survey", key("S", F.col("survey")), PARENT_ONE)).otherwise(one(3, "subdiv_prefix", key("S", F.col("survey")), PREFIX))), ocr)
+    asked = refs.select("id", "i", "village", F.col("sub").alias("r_sub"), F.explode(ways).alias("w")).select("id", "i", "village", "r_sub", "w.*")
+    known = units.select("uid", "village", F.col("sub").alias("u_sub"), F.explode(F.array(key("E", F.col("code")), key("K", F.col("survey"), F.col("sub")), key("S", F.col("survey")))).alias("key"))
+    fits = (F.col("tier") != "subdiv_prefix") | (F.startswith("u_sub", F.col("r_sub")) & (F.col("u_sub") != F.col("r_sub")))
+    met = asked.join(known, ["village", "key"]).where(fits).groupBy("id", "i", "uid", "rank", "tier").agg(F.max("base").alias("base"), F.min("swaps").alias("swaps"))
+    w = Window.partitionBy("id", "i")  # a reference's candidates: the units of one survey at most
+    best = cut(met).withColumn("_least", F.min("rank").over(w)).where("rank = _least").withColumn("_n", F.count("*").over(w))
+    level = (F.col("tier") == "parent_survey") & (F.col("_n") > 1)
+    return best.select("id", "i", "uid", F.when(level, "survey_level").otherwise(F.col("tier")).alias("tier"), F.when(level, SURVEY_LEVEL).otherwise(F.col("base")).alias("base"), "swaps")
+
+
+def context(tier: Column, area: Column, again: bool) -> list[tuple[Column, float, str]]:
+    """(condition, change of the score, reason) of everything around a candidate; block and unit don't count for a whole survey."""
+    same = (F.col("block") == F.col("u_block")) & (F.col("unit").isNull() | F.col("u_unit").isNull() | (F.col("unit") == F.col("u_unit")))
+    told = F.col("block").isNotNull() & F.col("u_block").isNotNull() & (tier != "survey_level")
+    sized = (F.coalesce("extent", F.lit(0.0)) != 0) & (F.coalesce(area, F.lit(0.0)) != 0)
+    near = F.abs(F.col("extent") - area) / area <= 0.10
+    return [
+        (told & same, BLOCK_SAME, "block_agree"), (told & ~same, BLOCK_OTHER, "block_disagree"), (sized & near, EXTENT_NEAR, "extent_agree"), (sized & ~near & (F.col("extent") > 1.5 * area + 0.05), EXTENT_FAR, "extent_far"),
+        (F.col("from_header"), HEADER_ONLY, "village_from_header"), (F.col("header_conflict"), HEADER_CONFLICT, "row_village_differs_from_header"), (F.lit(again), RERESOLVED, "village_reresolved"),
+    ]
+
+
+def resolve(refs: DataFrame, units: DataFrame, again: bool = False) -> DataFrame:
+    """id, i, status, links (uid, kind, score), candidates (the three best, with reasons) of each reference."""
+    about = units.select("uid", F.col("block").alias("u_block"), F.col("unit").alias("u_unit"), "area")
+    found = candidates(refs, units).join(refs.select("id", "i", *CONTEXT), ["id", "i"]).join(about, "uid")
+    w = Window.partitionBy("id", "i")
+    area = F.when(F.col("tier") == "survey_level", F.sum("area").over(w)).otherwise(F.col("area"))
+    found = found.withColumn("_area", area)
+    rules = [(F.coalesce(c, F.lit(False)), change, name) for c, change, name in context(F.col("tier"), F.col("_area"), again)]
+    score = F.col("base") + sum((F.when(c, change).otherwise(0.0) for c, change, _ in rules), F.lit(0.0))
+    reasons = F.array_compact(F.array(F.col("tier"), *[F.when(c, F.lit(name)) for c, _, name in rules]))
+    scored = found.select("id", "i", "uid", "tier", F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)), 6).alias("score"), reasons.alias("reasons"))
+    ranked = scored.withColumn("_k", F.row_number().over(w.orderBy(F.desc("score"), "uid")))
+    level = F.bool_or(F.col("tier") == "survey_level")
+    folded = ranked.groupBy("id", "i").agg(
+        level.alias("_level"), F.max(F.when(F.col("_k") == 1, F.col("score"))).alias("_top"), F.coalesce(F.max(F.when(F.col("_k") == 2, F.col("score"))), F.lit(0.0)).alias("_next"), F.min(F.when(F.col("_k") == 1, F.col("uid"))).alias("_uid"),
+        F.array_sort(F.collect_list(F.when(F.col("tier") == "survey_level", F.struct("uid", F.lit("survey_level").alias("kind"), "score")))).alias("_all"),
+        F.array_sort(F.collect_list(F.when(F.col("_k") <= TOP, F.struct("_k", "uid", "score", "tier", "reasons")))).alias("_c"),
+    )
+    sure = F.col("_top") >= ACCEPT
+    clear = sure & (F.round(F.col("_top") - F.col("_next"), 6) >= MARGIN)
+    status = F.when(F.col("_level"), F.when(sure, "survey_level").otherwise("ambiguous")).when(clear, "accepted").otherwise("ambiguous")
+    none = F.array().cast("array<struct<uid:" + dict(units.dtypes)["uid"] + ",kind:string,score:double>>")
+    links = F.when(status == "survey_level", F.col("_all")).when(status == "accepted", F.array(F.struct(F.col("_uid").alias("uid"), F.lit("parcel").alias("kind"), F.col("_top").alias("score")))).otherwise(none)
+    out = folded.select("id", "i", status.alias("status"), links.alias("links"), F.transform("_c", lambda c: F.struct(c["uid"].alias("uid"), c["score"].alias("score"), c["tier"].alias("tier"), c["reasons"].alias("reasons"))).alias("candidates"))
+    return refs.select("id", "i").join(out, ["id", "i"], "left").withColumns({"status": F.coalesce("status", F.lit("no_candidate")), "links": F.coalesce("links", none)})
+
+
+def outcomes(results: DataFrame) -> DataFrame:
+    """id, status, uid, score, links, candidates of each record from those of its references."""
+    ok = F.col("status").isin("accepted", "survey_level")
+    folded = results.groupBy("id").agg(
+        F.count("*").alias("_n"), F.count_if(ok).alias("_ok"), F.bool_or(F.size("candidates") > 0).alias("_any"), F.min("status").alias("_one"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "links"))), lambda x: x["links"])).alias("_links"), F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce(F.size("candidates"), F.lit(0)).alias("n"), "candidates"))), lambda x: x["candidates"]).alias("candidates"),
+    )
+    alone = F.col("_n") == 1
+    lists = F.when(F.col("_ok") == F.col("_n"), "list").when(F.col("_ok") > 0, "list_partial").when(F.col("_any"), "ambiguous").otherwise("no_candidate")
+    links = F.transform("_links", lambda x: F.struct(x["uid"].alias("uid"), F.when(~alone & (x["kind"] == "parcel"), "list_member").otherwise(x["kind"]).alias("kind"), x["score"].alias("score")))
+    top = F.try_element_at(F.element_at("candidates", 1), F.lit(1))["score"]
+    score = F.when(alone, top).otherwise(F.array_min(F.transform("_links", lambda x: x["score"])))
+    return folded.select("id", F.when(alone, F.col("_one")).otherwise(lists).alias("status"), F.when(alone & (F.col("_one") == "accepted"), F.try_element_at("_links", F.lit(1))["uid"]).alias("uid"), score.alias("score"), links.alias("links"), "candidates")
+
+
+def other_village(refs: DataFrame, units: DataFrame) -> DataFrame:
+    """id, village: the one other village that has a reference of the record in its block (and unit, if told)."""
+    k = F.when(F.col("sub") == "", key("S", F.col("survey"))).otherwise(key("K", F.col("survey"), F.col("sub")))
+    asked = refs.where("block is not null").select("id", F.col("village").alias("_old"), "block", F.col("unit").alias("_unit"), k.alias("key"))
+    held = units.select("village", "block", F.col("unit").alias("_u"), F.explode(F.array(key("K", F.col("survey"), F.col("sub")), key("S", F.col("survey")))).alias("key"))
+    met = asked.join(held, ["key", "block"]).where("(_old is null or village <> _old) and (_unit is null or _u = _unit)")
+    return met.groupBy("id").agg(F.count_distinct("village").alias("_n"), F.min("village").alias("village")).where("_n = 1").drop("_n")
+
+
+def link(records: DataFrame, units: DataFrame, schemes: Sequence[str] = SCHEMES) -> DataFrame:
+    """id, village (used), status, uid, score, links, candidates of every record (id, village, survey_no, sub_div and CONTEXT).
+
+    status: accepted, survey_level, list, list_partial, ambiguous, no_candidate, no_ref or no_village. Only a village that is unknown, a
+    scheme's name or taken from a header is put aside for another. Ties go to the smaller uid."""
+    units = prepared(units)
+    known = units.select("village").distinct().withColumn("_known", F.lit(True))
+    every = records.join(known, "village", "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
+    refs = cut(members(every))  # each step is used several times
+    flag = every.select("id", "_known")
+    first = cut(outcomes(resolve(refs.join(flag, "id").where("_known").drop("_known"), units)))
+    loose = ~F.col("_known") | F.col("village").isin(*schemes) | F.coalesce("scheme_header", F.lit(False)) | F.coalesce("from_header", F.lit(False))
+    missed = every.where(loose).join(first.where("status <> 'no_candidate'").select("id"), "id", "left_anti").select("id", F.when(F.col("_known"), F.col("village")).alias("_v"))
+    moved = cut(refs.join(missed, "id").withColumn("village", F.col("_v")).drop("_v"))
+    found = cut(other_village(moved, units))
+    second = cut(outcomes(resolve(moved.drop("village").join(found, "id"), units, True)).where("status <> 'no_candidate'").join(found, "id"))
+    kept = first.join(second.select("id"), "id", "left_anti").join(every.select("id", "village"), "id")
+    done = kept.unionByName(second)
+    rest = every.join(done.select("id"), "id", "left_anti")
+    none = F.size(parse_refs(F.col("survey_no"), F.col("sub_div"))) == 0
+    left = rest.select("id", "village", F.when(none, "no_ref").otherwise("no_village").alias("status"))
+    return done.unionByName(left, allowMissingColumns=True).select("id", "village", "status", "uid", "score", "links", "candidates")
 
 
 def match_rates(links: DataFrame, by: str) -> DataFrame:
     """by, rows, linked, ambiguous, rate (4 digits)."""
-    good = F.count_if(F.col("status").isin("linked", "survey_level"))
+    good = F.count_if(F.col("status").isin("accepted", "survey_level", "list", "list_partial"))
     return links.groupBy(by).agg(F.count("*").alias("rows"), good.alias("linked"), F.count_if(F.col("status") == "ambiguous").alias("ambiguous"), F.round(good / F.count("*"), 4).alias("rate"))

@@ -193,22 +193,52 @@ def q76_nearest_rank(spark, sf_dir):
     return stats.nearest_ranks(table(spark, sf_dir, "events"), ["user_id"], "value", {"p50": 0.5, "p95": 0.95})
 
 
-REFS = "u as (select p_partkey, p_brand as grp, p_partkey % 50 || '/' || p_size as code, cast(p_partkey % 50 as varchar) as survey, cast(p_size as varchar) as sub from part)"
+#: Parts stand for parcels of a village (brand); a part's record names it exactly, with zeros, by survey, by prefix, misread, as a list, or by a wrong village.
+LINKS = """u as (select p_partkey as uid, p_brand as village, p_partkey % 60 as s, p_size as z, cast(p_partkey % 60 as varchar) as survey, p_size || 'A' as sub, cast(p_partkey % 4 as integer) as block, p_retailprice / 100 as area from part),
+r as (select p_partkey as id, case when p_partkey % 13 = 0 then 'Nowhere' else p_brand end as village, unnest(case when p_partkey % 7 = 6 then [1, 2] else [1] end) as i, case when p_partkey % 7 = 6 then 2 else 1 end as n, survey,
+case when p_partkey % 7 = 2 then '' when p_partkey % 7 = 3 then cast(p_size as varchar) when p_partkey % 7 = 4 then replace(replace(sub, '1', '7'), '3', '8') when p_partkey % 7 = 5 then 'Z' when p_partkey % 7 = 6 and i = 2 then (p_size + 1) || 'A' else sub end as d,
+cast(case when p_partkey % 3 = 0 then null when p_partkey % 3 = 1 then p_partkey % 4 else 1 end as integer) as block, case when p_partkey % 5 = 0 then area * 1.05 when p_partkey % 5 = 1 then area * 3 end as extent, p_partkey % 11 = 0 as header from part join u on uid = p_partkey)"""
+LINK_ONE = """j as (select r.id, r.i, u.uid, u.block as ub, u.area, r.block, r.extent, r.header, r.d, u.sub, {again} as again,
+case when u.survey = r.survey and u.sub = r.d then 1 when u.survey = r.survey and r.d = '' then 3 when u.survey = r.survey and r.d <> '' and starts_with(u.sub, r.d) then 3 when length(u.survey) = length(r.survey) and length(u.sub) = length(r.d) and x between 1 and 2 and bad = 0 then 4 end as rank, x
+from {refs} r join u on u.village = r.village, lateral (select coalesce(len(list_filter(range(1, len(r.survey || '/' || r.d) + 1), lambda k: substr(r.survey || '/' || r.d, k, 1) <> substr(u.survey || '/' || u.sub, k, 1))), 0) as x,
+coalesce(len(list_filter(range(1, len(r.survey || '/' || r.d) + 1), lambda k: substr(r.survey || '/' || r.d, k, 1) <> substr(u.survey || '/' || u.sub, k, 1) and (substr(r.survey || '/' || r.d, k, 1) || substr(u.survey || '/' || u.sub, k, 1)) not in ('38', '83', '17', '71', '06', '60', '56', '65', 'A4', '4A'))), 0) as bad)),
+b as (select *, min(rank) over (partition by id, i) as least, count(*) over (partition by id, i, rank) as c, sum(area) over (partition by id, i, rank) as total from j where rank is not null),
+k as (select *, case when rank = 3 and d = '' and c > 1 then 'survey_level' else 'unit' end as tier, case when rank = 3 and d = '' and c > 1 then total else area end as a, case rank when 1 then 1.0 when 3 then case when d = '' then case when c > 1 then 0.85 else 0.9 end else 0.8 end else case x when 1 then 0.65 else 0.45 end end as base from b where rank = least),
+s as (select *, round(greatest(least(base + case when tier = 'unit' and block is not null then case when block = ub then 0.05 else -0.1 end else 0 end + case when extent is null then 0 when abs(extent - a) / a <= 0.1 then 0.05 when extent > 1.5 * a + 0.05 then -0.1 else 0 end + case when header then -0.05 else 0 end + case when again then -0.05 else 0 end, 1), 0), 6)::double as score from k),
+q as (select *, row_number() over (partition by id, i order by score desc, uid) as place from s),
+m as (select id, i, bool_or(tier = 'survey_level') as lev, max(score) filter (place = 1) as top, coalesce(max(score) filter (place = 2), 0) as nx, min(uid) filter (place = 1) as uid, count(*) as c from q group by 1, 2),
+v as (select r.id, r.i, r.n, m.uid, top, case when top is null then 'no_candidate' when lev then case when top >= 0.8 then 'survey_level' else 'ambiguous' end when top >= 0.8 and round(top - nx, 6) >= 0.1 then 'accepted' else 'ambiguous' end as status, c from {refs} r left join m on m.id = r.id and m.i = r.i),
+o as (select id, case when any_value(n) = 1 then min(status) when count(*) filter (status in ('accepted', 'survey_level')) = 2 then 'list' when count(*) filter (status in ('accepted', 'survey_level')) > 0 then 'list_partial' when count(top) > 0 then 'ambiguous' else 'no_candidate' end as status,
+min(uid) filter (n = 1 and status = 'accepted') as uid, case when any_value(n) = 1 then min(top) else min(top) filter (status in ('accepted', 'survey_level')) end as score, cast(coalesce(sum(case status when 'accepted' then 1 when 'survey_level' then c end), 0) as bigint) as n_links from v group by 1)"""
 
 
 def link_tables(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    survey, sub = (F.col("p_partkey") % 50).cast("string"), F.col("p_size").cast("string")
-    units = part.select(F.col("p_partkey").alias("uid"), F.col("p_brand").alias("grp"), F.concat(survey, F.lit("/"), sub).alias("code"), survey.alias("survey"), sub.alias("sub"), (F.col("p_partkey") % 3).alias("block"), (F.col("p_retailprice") / 100).alias("area"))
-    n = F.col("p_partkey")
-    ref = F.when(n % 4 == 0, F.concat(survey, F.lit("/"), sub)).when(n % 4 == 1, F.concat(F.lit("0"), survey, F.lit("-"), sub)).when(n % 4 == 2, survey).otherwise(F.concat(survey, F.lit("/"), F.translate(sub, "015", "OIS")))
-    refs = part.select(n.alias("id"), F.col("p_brand").alias("grp"), ref.alias("ref"), survey.alias("survey"), F.when(n % 4 == 2, "").when(n % 4 == 3, F.translate(sub, "015", "OIS")).otherwise(sub).alias("sub"), (n % 3).alias("block"), F.lit(None).cast("double").alias("extent"))
-    return refs, units
-
-
-@query()
+    part, n = table(spark, sf_dir, "part"), F.col("p_partkey")
+    survey, size = (n % 60).cast("string"), F.col("p_size").cast("string")
+    sub, area, kind = F.concat(size, F.lit("A")), F.col("p_retailprice") / 100, n % 7
+    none = F.lit(None).cast("int")
+    units = part.select(n.alias("uid"), F.col("p_brand").alias("village"), F.concat_ws("/", survey, sub).alias("code"), (n % 4).cast("int").alias("block"), none.alias("unit"), area.alias("area"))
+    named = (
+        F.when(kind == 2, F.lit(None)).when(kind == 3, size).when(kind == 4, F.translate(sub, "13", "78")).when(kind == 5, F.lit("z"))
+        .when(kind == 6, F.concat(sub, F.lit(" and "), (F.col("p_size") + 1).cast("string"), F.lit("-a"))).when(kind == 1, F.concat(F.lit("00"), size, F.lit("-a (plot)"))).otherwise(sub)
+    )
+    records = part.select(
+        n.alias("id"), F.when(n % 13 == 0, "Nowhere").otherwise(F.col("p_brand")).alias("village"), F.when(kind == 1, F.concat(F.lit("0"), survey)).otherwise(survey).alias("survey_no"), named.alias("sub_div"),
+        F.when(n % 3 == 0, None).when(n % 3 == 1, n % 4).otherwise(1).cast("int").alias("block"), none.alias("unit"), F.when(n % 5 == 0, area * 1.05).when(n % 5 == 1, area * 3).alias("extent"),
+        (n % 11 == 0).alias("from_header"), F.lit(False).alias("header_conflict"), F.lit(False).alias("scheme_header"),
+    )
+    return records, units
+
+
+@query(f"""with {LINKS}, first as (with {LINK_ONE.format(refs="r", again="false")} select * from o where id not in (select id from r where village = 'Nowhere')),
+mv as (select * from r where (village = 'Nowhere' or header) and id not in (select id from first where status <> 'no_candidate')),
+ov as (select mv.id, min(u.village) as village from mv join u on u.survey = mv.survey and (mv.d = '' or u.sub = mv.d) and u.block = mv.block and u.village <> mv.village group by 1 having count(distinct u.village) = 1),
+r2 as (select mv.* replace (ov.village as village) from mv join ov on ov.id = mv.id), second as (with {LINK_ONE.format(refs="r2", again="true")} select * from o where status <> 'no_candidate'),
+e as (select *, null as nv from first where id not in (select id from second) union all select second.*, ov.village from second join ov using (id))
+select p_partkey as id, coalesce(nv, case when p_partkey % 13 = 0 then 'Nowhere' else p_brand end) as village, coalesce(status, 'no_village') as status, uid, score, coalesce(n_links, 0) as n_links from part left join e on id = p_partkey""")
 def q23_match_tiers(spark, sf_dir):
-    return match.link(*link_tables(spark, sf_dir))
+    found = match.link(*link_tables(spark, sf_dir))
+    return found.select("id", "village", "status", "uid", "score", F.coalesce(F.size("links"), F.lit(0)).cast("long").alias("n_links"))
 
 
 @query("""select event_id, regexp_extract(t, '^([0-9]+)', 1) as survey, nullif(regexp_extract(t, '^[0-9]+ *(?:[/-] *([0-9A-Z]+))?', 1), '') as subdivision from (select event_id, case event_id % 3 when 0 then event_id || '/' || user_id || 'A' when 1 then event_id || ' - ' || user_id else cast(event_id as varchar) end as t from events)""")

@@ -55,11 +55,40 @@ def test_numbers_amounts_and_dates(spark):
     assert spark.range(1).select(normalise.find_dates(F.lit("1/2/2021, 45/1/2021 and 3-4-2022"))).first()[0] == [date(2021, 2, 1), date(2022, 4, 3)]
 
 
-def test_links_stay_within_their_group_and_tiers(spark):
-    units = spark.createDataFrame([("a1", "A", "168/2", "168", "2", 1, 1.0), ("a2", "A", "10/1A", "10", "1A", 1, 1.0), ("a3", "A", "10/1B", "10", "1B", 1, 1.0), ("a4", "A", "7", "7", "", 1, 1.0), ("a5", "A", "5/O8", "5", "O8", 1, 1.0), ("b1", "B", "168/2", "168", "2", 1, 1.0)], "uid string, grp string, code string, survey string, sub string, block long, area double")
-    refs = spark.createDataFrame([(1, "A", "168/2", "168", "2"), (2, "A", "0168-2", "0168", "2"), (3, "A", "10", "10", ""), (4, "A", "10/1", "10", "1"), (5, "A", "5/08", "5", "08"), (6, "C", "168/2", "168", "2"), (7, "A", "", "", ""), (8, "A", "7", "7", "")], "id long, grp string, ref string, survey string, sub string").withColumns({"block": F.lit(None).cast("long"), "extent": F.lit(None).cast("double")})
-    got = sorted((r["id"], r["uid"], r["status"]) for r in match.link(refs, units).collect())
-    assert got == [(1, "a1", "linked"), (2, "a1", "linked"), (3, "a2", "survey_level"), (3, "a3", "survey_level"), (4, "a2", "ambiguous"), (5, "a5", "ambiguous"), (6, None, "no_candidate"), (7, None, "no_ref"), (8, "a4", "linked")]
+def records_of(spark, rows):
+    """(id, village, survey_no, sub_div, block, unit, extent, from_header)"""
+    names = "id long, village string, survey_no string, sub_div string, block int, unit int, extent double, from_header boolean, header_conflict boolean, scheme_header boolean"
+    return spark.createDataFrame([(*r, False, False) for r in rows], names)
+
+
+def test_links_by_tier_list_and_village(spark):
+    units = spark.createDataFrame(
+        [("a1", "A", "168/2", 1, 1, 1.0), ("a2", "A", "10/1A", 1, 1, 1.0), ("a3", "A", "10/1B", 1, 1, 1.0), ("a4", "A", "7", 1, 1, 1.0), ("a5", "A", "53/8", 1, 1, 1.0), ("b1", "B", "168/2", 2, 1, 1.0), ("b2", "B", "99/1", 2, 1, 1.0)],
+        "uid string, village string, code string, block int, unit int, area double",
+    )
+    rows = [
+        (1, "A", "168", "2", None, None, None, False), (2, "A", "௦168-", " 2 (plot)", None, None, None, False), (3, "A", "10", None, None, None, None, False), (4, "A", "10", "1", None, None, None, False), (5, "A", "53", "3", None, None, None, False),
+        (6, "C", "168", "2", None, None, None, False), (7, "A", "", None, None, None, None, False), (8, "A", "7", "", None, None, None, False), (9, "A", "10", "1A, 1B", None, None, None, False), (10, "A", "10/1A", "168/2; 77/7", None, None, None, False),
+        (11, "C", "99", "1", 2, 1, None, False), (12, "A", "99", "1", 2, 1, None, False), (13, "A", "99", "1", 2, 1, None, True), (14, "A", "168", "2", 2, None, 9.0, False), (15, None, None, None, None, None, None, False), (16, "A", "888", None, None, None, None, False),
+    ]
+    got = {r["id"]: (r["village"], r["status"], r["uid"], [tuple(x) for x in r["links"] or []]) for r in match.link(records_of(spark, rows), units).collect()}
+    assert got[1] == ("A", "accepted", "a1", [("a1", "parcel", 1.0)]) and got[2][1:3] == ("accepted", "a1")
+    assert got[3][1] == "survey_level" and got[3][3] == [("a2", "survey_level", 0.85), ("a3", "survey_level", 0.85)]
+    assert got[4][1:3] == ("ambiguous", None) and got[5][1] == "ambiguous" and got[6][1] == "no_village" and got[7][1] == "no_ref" and got[15][1] == "no_ref" and got[16][1] == "no_candidate"
+    assert got[8] == ("A", "accepted", "a4", [("a4", "parcel", 1.0)])
+    assert got[9][1] == "list" and got[9][3] == [("a2", "list_member", 1.0), ("a3", "list_member", 1.0)] and got[10][1] == "list_partial" and [x[0] for x in got[10][3]] == ["a2", "a1"]
+    assert got[11][:3] == ("B", "accepted", "b2") and got[12][1] == "no_candidate" and got[13][:3] == ("B", "accepted", "b2")
+    assert got[14][1:] == ("accepted", "a1", [("a1", "parcel", 0.8)])  # another block, far too large
+    reasons = match.link(records_of(spark, rows[13:14]), units).first()["candidates"][0][0]["reasons"]
+    assert reasons == ["exact", "block_disagree", "extent_far"]
+
+
+def test_references_of_a_record(spark):
+    cases = [("26", "1E,42/4C", [("26", "1E"), ("42", "4C")]), ("1", "6,7,8,10A", [("1", "6"), ("1", "7"), ("1", "8"), ("1", "10A")]), ("173/1", None, [("173", "1")]), ("173/1", "2", [("173", "1"), ("173", "2")]), ("00394", "", [("394", "")]), (None, "4/2 and 4/2", [("4", "2")]), (None, "5", []), ("12", "௧-அ", [("12", "1A")])]
+    df = spark.createDataFrame([(a, b) for a, b, _ in cases], "a string, b string").select(normalise.parse_refs(F.col("a"), F.col("b")).alias("r"))
+    assert [[tuple(x) for x in r["r"]] for r in df.collect()] == [c for _, _, c in cases]
+    got = spark.range(1).select(normalise.ocr_variants(F.lit("63"))).first()[0]
+    assert sorted((v["variant"], v["swaps"]) for v in got) == [("03", 1), ("08", 2), ("53", 1), ("58", 2), ("63", 0), ("68", 1)]
 
 
 def test_post_possession_rules(spark):
