@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Unit factors.
-HA_TO_AC, CENT_AC, CENT_SQM = 2.47105, 0.01, 40.4686
+HA_TO_AC, HA_TO_AC_PRINTED, CENT_AC, CENT_SQM = 2.47105, 2.47, 0.01, 40.4686
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
@@ -23,12 +23,39 @@ def number(text: Column) -> Column:
     return F.when(bare.rlike(r"^-?\d+(\.\d+)?$"), bare.cast("double"))
 
 
+#: Words for hectares and acres in cells.
+UNIT_WORDS = r"(?i)(ஹெக்டேர்|ஹெக்டர்|ஹெக்\.?|hectares?|hect\.?|hec\.?|ha\.?|ஏக்கர்|ஏக்\.?|acres?|ac\.?|\(|\))"
+
+
 def extent_ha(text: Column) -> Column:
-    """Hectares of H.AA.SS, H-AA.SS, or a plain decimal; four digits."""
-    raw = F.regexp_replace(clean(text), r"\s", "")
-    parts = r"^(\d+)[.-](\d{1,2})[.](\d{1,2})$"
-    h, a, s = (F.regexp_extract(raw, parts, i).try_cast("double") for i in (1, 2, 3))
-    return F.when(raw.rlike(parts), F.round(h + a / 100 + s / 10000, 4)).when(raw.rlike(r"^\d+(\.\d+)?$"), F.round(raw.try_cast("double"), 4))
+    """Hectares of H.AA.SS (a last single digit counts as tens), H-AA.SS, 0AA.SS whose first dot is lost, or a plain decimal; four digits.
+
+    What follows a bracket is left out if digits stand before it; unit words, commas and blanks don't count."""
+    raw = tamil_digits(clean(text))
+    ahead = F.substring_index(raw, "(", 1)
+    cell = F.regexp_replace(F.when(ahead.rlike("[0-9]"), ahead).otherwise(raw), UNIT_WORDS, " ")
+    cell = F.regexp_replace(F.translate(F.regexp_replace(cell, r"[,\s]", ""), ":–—", ".--"), "^[.-]+|[.-]+$", "")
+    triple, dash, lost = r"^(\d+)\.(\d{1,2})\.(\d{1,2})$", r"^(\d+)-(\d{1,2}(?:\.\d{1,2})?)$", r"^0(\d{2})\.(\d{2})$"
+    part = lambda p, i: F.regexp_extract(cell, p, i).try_cast("double")
+    last = F.rpad(F.regexp_extract(cell, triple, 3), 2, "0").try_cast("double")
+    return (
+        F.when(cell.rlike(triple), F.round(part(triple, 1) + part(triple, 2) / 100 + last / 10000, 4)).when(cell.rlike(dash), F.round(part(dash, 1) + part(dash, 2) / 100, 4))
+        .when(cell.rlike(lost), F.round(part(lost, 1) / 100 + part(lost, 2) / 10000, 4)).when(cell.rlike(r"^\d+(\.\d+)?$"), F.round(cell.try_cast("double"), 4))
+    )
+
+
+def extent_ac(text: Column) -> Column:
+    """Acres as a plain decimal, unit words left out."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(tamil_digits(clean(text)), UNIT_WORDS, " "), r"[,\s]", ""), r"^\.+|\.+$", "")
+    return F.when(bare.rlike(r"^\d+(\.\d+)?$"), F.round(bare.try_cast("double"), 4))
+
+
+def cents(text: Column) -> Column:
+    """Cents as a plain number; halves and quarters may be one character."""
+    raw = F.replace(F.replace(F.replace(tamil_digits(clean(text)), F.lit("½"), F.lit(".5")), F.lit("¼"), F.lit(".25")), F.lit("¾"), F.lit(".75"))
+    bare = F.regexp_replace(F.regexp_replace(raw, r"(?i)(சென்ட்|செண்ட்|cents?)", ""), r"\s", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"^\.", "0."), r"^(\d+)\.\.", "$1.")
+    return F.when(bare.rlike(r"^\d+(\.\d+)?$"), F.round(bare.try_cast("double"), 4))
 
 
 def ha_to_ac(ha: Column) -> Column:
@@ -44,18 +71,44 @@ def cents_to_ha(cents: Column) -> Column:
 
 
 def extents_agree(ha: Column, ac: Column) -> Column:
-    """Whether two readings agree: null if either is missing; within 0.02, or 0.1 % above 10 ha."""
-    tolerance = F.when(ha > 10, ha * 0.001).otherwise(0.02)
-    return F.when(ha.isNotNull() & ac.isNotNull(), F.abs(ha - ac / HA_TO_AC) <= tolerance)
+    """Whether two readings agree by either factor: within 0.02 acres, or 0.1 % above 10 ha; null if either is missing."""
+    tolerance = F.when(ha > 10, F.greatest(F.lit(0.02), ha * HA_TO_AC * 0.001)).otherwise(0.02) + 1e-9
+    near = (F.abs(ha * HA_TO_AC - ac) <= tolerance) | (F.abs(ha * HA_TO_AC_PRINTED - ac) <= tolerance)
+    return F.when(ha.isNotNull() & ac.isNotNull(), near)
+
+
+#: Number words.
+UNITS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+TENS = {"twenty": 20, "thirty": 30, "forty": 40, "fourty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90}
+SCALES = {"thousand": 1_000, "lakh": 100_000, "lakhs": 100_000, "lac": 100_000, "lacs": 100_000, "million": 1_000_000, "crore": 10_000_000, "crores": 10_000_000}
+
+
+def number_words(text: Column) -> Column:
+    """Number that English words give ("twelve lakh sixty thousand"); other words don't count; null without a number word."""
+    ones = {w: i for i, w in enumerate(UNITS)} | TENS
+    table = lambda d: F.create_map(*[F.lit(x) for k, v in d.items() for x in (k, v)])
+    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]+"), F.lit(0)), lambda w: w.isin(*ones, *SCALES, "hundred"))
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("now"))
+
+    def step(a: Column, w: Column) -> Column:
+        unit, scale = F.try_element_at(table(ones), w).cast("long"), F.try_element_at(table(SCALES), w).cast("long")
+        now = F.greatest(a["now"], F.lit(1).cast("long"))
+        pair = lambda x, y: F.struct(x.alias("sum"), y.alias("now"))
+        return F.when(unit.isNotNull(), pair(a["sum"], a["now"] + unit)).when(w == "hundred", pair(a["sum"], now * 100)).otherwise(pair(a["sum"] + now * scale, F.lit(0).cast("long")))
+
+    return F.when(F.size(words) > 0, F.aggregate(words, start, step, lambda a: a["sum"] + a["now"]))
 
 
 def amount(text: Column) -> Column:
-    """The longest run of digits with grouping commas or dots, as a number; dots group if three digits or two-three groups follow."""
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\d[\d,]*(?:\.\d+)*"), F.lit(0))
-    longest = F.element_at(F.array_sort(F.transform(tokens, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), 1)["t"]
-    bare = F.regexp_replace(longest, ",", "")
-    grouped = F.when(bare.rlike(r"^\d{1,3}(\.\d{2,3})+$") & (F.length(F.regexp_replace(bare, r"[^.]", "")) > 1), F.regexp_replace(bare, r"\.", "")).otherwise(bare)
-    return F.when(F.size(tokens) > 0, grouped.try_cast("double"))
+    """Whole rupees: the longest run of digits with commas or dots (the first on a tie). Of several dots, a last group of two digits is paise and the
+    others group thousands. Without a digit, number words are read."""
+    bare = F.regexp_replace(tamil_digits(clean(text)), " ", "")
+    tokens = F.regexp_extract_all(bare, F.lit(r"\d[\d,.]*\d|\d"), F.lit(0))
+    longest = F.reduce(tokens, F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a))
+    dots = F.length(longest) - F.length(F.replace(longest, F.lit("."), F.lit("")))
+    last = F.substring_index(longest, ".", -1)
+    plain = F.when(dots <= 1, longest).when(F.length(last) == 2, F.replace(F.regexp_replace(longest, r"\.\d\d$", ""), F.lit("."), F.lit(""))).otherwise(F.replace(longest, F.lit("."), F.lit("")))
+    return F.when(F.size(tokens) > 0, F.floor(F.replace(plain, F.lit(","), F.lit("")).try_cast("double")).cast("long")).otherwise(number_words(text))
 
 
 def compensation_matches(paid: Column, extent: Column, rate: Column, tolerance: float = 1.0, share: float = 0.005) -> Column:

