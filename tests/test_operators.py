@@ -46,7 +46,7 @@ def test_seasons_at_their_bounds(spark, day, year, season):
 
 def test_numbers_amounts_and_dates(spark):
     df = spark.createDataFrame([("Rs. 12,34,567.50 (3 items)",), ("1.234.567",), ("none",), (None,)], "t string")
-    assert [r[0] for r in df.select(normalise.amount(F.col("t"))).collect()] == [1234567.5, 1234567.0, None, None]
+    assert [r[0] for r in df.select(normalise.amount(F.col("t"))).collect()] == [1234567, 1234567, None, None]
     df = spark.createDataFrame([("1.25.50",), ("1-25.50",), ("0.405",), ("x",), (None,)], "t string")
     assert [r[0] for r in df.select(normalise.extent_ha(F.col("t"))).collect()] == [1.255, 1.255, 0.405, None, None]
     df = spark.createDataFrame([("on 31/12/2021",), ("31/02/2021 or March 2022",), ("5 march 2023",), ("in 2024",), ("in 1999",), (None,)], "t string")
@@ -265,3 +265,95 @@ def test_nearest_ranks_match_sorting(spark):
         v = sorted(x for g, x in rows if g == k and x is not None)
         assert got[k] == tuple(v[round(p * (len(v) - 1))] for p in (0.5, 0.95))
     assert "d" not in got
+
+
+def test_amounts_extents_and_words(spark):
+    one = lambda f, texts: [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(f(F.col("t"))).collect()]
+    assert one(normalise.amount, ["₹12,60,000/-", "***10,23,687.00", "ரூ.95,64,800/-", "10.23.687.00", "six lakh twelve thousand", ""]) == [1260000, 1023687, 9564800, 1023687, 612000, None]
+    assert one(normalise.extent_ha, ["0.95.50", "0 - 53.50", "185.96.5", "053.50", "11.31.00 ஹெக்டேர் (27.947 ஏக்கர்)", "0:10.50", "௧.௦௦.௫௦", "abc"]) == [0.955, 0.535, 185.965, 0.535, 11.31, 0.105, 1.005, None]
+    assert one(normalise.extent_ac, ["2.35", "2.124 (ஏக்கர்)", "x"]) == [2.35, 2.124, None] and one(normalise.cents, ["4", "3½ cents", ".5", "x"]) == [4.0, 3.5, 0.5, None]
+    assert one(normalise.number_words, ["two crore three lakh forty-five", "hundred", "rupees only", None]) == [20300045, 100, None, None]
+    df = spark.createDataFrame([(1.0, 2.47), (1.0, 2.4711), (1.0, 2.52), (20.0, 49.45), (None, 1.0)], "h double, a double")
+    assert [r[0] for r in df.select(normalise.extents_agree(F.col("h"), F.col("a"))).collect()] == [True, True, False, True, None]
+
+
+def test_ratio_is_that_of_the_longest_common_subsequence(spark):
+    from functools import lru_cache
+
+    from evidra.functions import names
+
+    rng = np.random.default_rng(1)
+    pairs = [("".join(rng.choice(list("abc"), rng.integers(0, 9))), "".join(rng.choice(list("abc"), rng.integers(0, 9)))) for _ in range(60)] + [("", ""), ("kitten", "sitting"), ("é", "é")]
+
+    @lru_cache(None)
+    def common(a, b):
+        return 0 if not a or not b else common(a[:-1], b[:-1]) + 1 if a[-1] == b[-1] else max(common(a[:-1], b), common(a, b[:-1]))
+
+    got = [r[0] for r in spark.createDataFrame(pairs, "a string, b string").coalesce(1).select(names.ratio(F.col("a"), F.col("b"))).collect()]
+    assert got == [pytest.approx(200 * common(a, b) / (len(a) + len(b)) if a or b else 100) for a, b in pairs]
+    assert spark.range(1).select(names.token_sort_ratio(F.lit("Rajan  Kumar"), F.lit("kumar rajan"))).first()[0] == 100
+
+
+def test_owners_and_keys(spark):
+    from evidra.functions import names
+
+    cases = [("1. Thiru. Muthu S/o Raman", "Muthu", "father", "Raman", "Thiru"), ("ராமன் மகன் முத்து", "முத்து", "father", "ராமன்", None), ("Smt Lakshmi, W/o. Mr Kannan", "Lakshmi", "husband", "Kannan", "Smt"), ("Plain Name", "Plain Name", None, None, None)]
+    df = spark.createDataFrame([(c[0],) for c in cases], "t string").coalesce(1).select(names.owner(F.col("t")).alias("o")).select("o.*")
+    assert [(r["name"], r["relation"], r["relation_name"], r["honorific"]) for r in df.collect()] == [c[1:] for c in cases]
+    owners = spark.createDataFrame([("1. A த/பெ B\n2. C க/பெ D",), ("A ; C",), ("முத்து\nத/பெ. ராமன்",), ("",), (None,)], "t string").coalesce(1)
+    assert [r[0] for r in owners.select(names.split_owners(F.col("t"))).collect()] == [["A த/பெ B", "C க/பெ D"], ["A", "C"], ["முத்து த/பெ. ராமன்"], [], []]
+    keys = spark.createDataFrame([("முத்து",), ("Muththu",), ("Shanmugam  Pillai",), ("சண்முகம்",)], "t string").coalesce(1).select(names.latin_key(F.col("t"))).collect()
+    assert keys[0][0] == keys[1][0] == "mutu" and keys[2][0] == "sanmugam pilai" and keys[3][0] == "canmukam"
+
+
+def test_queries_without_sql_give_right_values(spark, sf_dir):
+    """What SQL doesn't check: smoothing by the normal equations, peaks, breaker and pairs by plain Python."""
+    from evidra.plans.registry import QUERIES
+
+    import pandas as pd
+
+    events = pd.read_parquet(f"{sf_dir}/events.parquet")
+    events["day"] = events["ts"].dt.date
+    smooth = QUERIES["q44_whittaker"](spark, sf_dir).toPandas()
+    for kind, part in events.groupby("event_type"):
+        daily = part.groupby("day")["value"].mean() / 100
+        days = pd.date_range(min(daily.index), max(daily.index)).date
+        y = daily.reindex(days).to_numpy()
+        w = (~np.isnan(y)).astype(float)
+        d = np.diff(np.eye(len(y)), 2, axis=0)
+        solve = lambda u: np.linalg.solve(np.diag(u + 1e-9) + 10 * d.T @ d, u * np.nan_to_num(y))
+        z = solve(w)
+        for _ in range(2):
+            r = np.where(w > 0, y - z, 0)
+            s = max(1.4826 * np.median(np.abs(r[w > 0])), 0.03)
+            z = solve(w * np.where(np.abs(r) < 4.685 * s, (1 - (r / (4.685 * s)) ** 2) ** 2, 0))
+        mine = smooth[smooth["event_type"] == kind].sort_values("day")["v"].to_numpy()
+        assert np.allclose(mine, z, atol=1e-6)
+    peaks = QUERIES["q45_peaks"](spark, sf_dir).toPandas()
+    assert len(peaks) > 0 and peaks["v"].notna().all()
+    states_ = QUERIES["q85_breaker"](spark, sf_dir).toPandas().set_index("event_id")["state"].to_dict()
+    for _, part in events.sort_values(["ts", "event_id"]).groupby("user_id"):
+        count, opened = 0, None
+        for i, kind, ts in zip(part["event_id"], part["event_type"], part["ts"]):
+            at = ts.timestamp()
+            name = "closed" if opened is None else "open" if at - opened < 60 else "half_open"
+            assert states_[i] == name
+            if name == "open":
+                continue
+            if kind != "error":
+                count, opened = 0, None
+            else:
+                count += 1
+                opened = at if name == "half_open" or count >= 3 else None
+    pairs = QUERIES["q105_greedy_pairs"](spark, sf_dir).toPandas()
+    lines = pd.read_parquet(f"{sf_dir}/lineitem.parquet")
+    lines["b"] = lines["l_suppkey"] % 5
+    best = lines.groupby(["l_orderkey", "l_linenumber", "b"])["l_quantity"].max().reset_index().sort_values(["l_orderkey", "l_quantity", "l_linenumber", "b"], ascending=[True, False, True, True])
+    want, used = set(), set()
+    for g, a, b in best[["l_orderkey", "l_linenumber", "b"]].itertuples(index=False):
+        if ("a", g, a) not in used and ("b", g, b) not in used:
+            want.add((g, a, b))
+            used |= {("a", g, a), ("b", g, b)}
+    assert set(pairs[["g", "a", "b"]].itertuples(index=False, name=None)) == want
+    found = QUERIES["q87_did_interval"](spark, sf_dir).toPandas()
+    assert len(found) == (events["user_id"].drop_duplicates() % 3 != 0).sum() and (found["ci_lo"].dropna() <= found["ci_hi"].dropna()).all()

@@ -17,7 +17,7 @@ def test_query_matches_sql(spark, sf_dir, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_gives_rows(spark, sf_dir, name):
-    assert len(QUERIES[name](spark, sf_dir).columns) > 1
+    assert QUERIES[name](spark, sf_dir).count() > 0
 
 
 def test_entry(spark):
