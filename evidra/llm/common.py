@@ -35,25 +35,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: A key with more than one in so many rows is hot; so there are never more hot keys than this.
-HOT = 1000
+#: So many keys of the most rows can be hot, from so many rows on; all other keys hold less than 1/HOT of the rows each.
+HOT, FEW = 1000, 512
 
 
-def hot_keys(counts: DataFrame, on: Sequence[str], n: str = "n", share: int = HOT) -> DataFrame:
-    """_key (hash), _parts of the keys that hold more than 1/share of all rows: fewer than `share` rows of two numbers.
+def hot_keys(counts: DataFrame, on: Sequence[str], n: str = "n") -> list[tuple[int, int]]:
+    """(hash, parts) of the HOT keys with the most rows, of those with more than FEW: a part holds no more rows than the least of them, or FEW.
 
-    counts: one row a key with its number of rows n. A part holds about 1/share of the rows."""
-    total = counts.agg(F.coalesce(F.sum(n), F.lit(0)).cast("double")).first()[0]
-    hot = counts.where(F.col(n) * F.lit(float(share)) > F.greatest(F.lit(total), F.lit(float(share))))
-    parts = F.least(F.ceil(F.col(n) * share / F.lit(max(total, 1.0))), F.lit(share)).cast("int")
-    return hot.groupBy(F.xxhash64(*on).alias("_key")).agg(F.max(parts).alias("_parts"))
+    counts: one row a key with its number of rows n. What reaches the driver is at most HOT pairs of numbers."""
+    found = counts.where(F.col(n) > FEW).select(F.xxhash64(*on).alias("key"), F.col(n).alias("n")).orderBy(F.desc("n")).limit(HOT).collect()
+    each = max(FEW, found[-1]["n"] if len(found) == HOT else 0)
+    return [(r["key"], min(HOT, -(-r["n"] // each))) for r in found]
 
 
-def spread_join(many: DataFrame, one: DataFrame, on: Sequence[str], hot: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, on: Sequence[str], hot: list[tuple[int, int]], by: Sequence[str], how: str = "inner") -> DataFrame:
     """many joined with one (a row a key) where a key's rows in many are split into its parts, so no task gets a hot key whole.
 
     by: columns of many that tell a key's rows apart. Only the hot keys' numbers are broadcast; of `one`, the rows of hot keys are repeated."""
-    few = F.broadcast(hot)
+    if not hot:
+        return many.join(one, list(on), how)
+    most: dict[int, int] = {}
+    for k, p in hot:
+        most[k] = max(p, most.get(k, 0))
+    few = F.broadcast(many.sparkSession.createDataFrame(pa.table({"_key": pa.array(list(most), pa.int64()), "_parts": pa.array(list(most.values()), pa.int32())})))
     parts = F.coalesce("_parts", F.lit(1))
     left = many.withColumn("_key", F.xxhash64(*on)).join(few, "_key", "left").withColumn("_part", F.pmod(F.xxhash64(*by), parts).cast("int")).drop("_key", "_parts")
     right = one.withColumn("_key", F.xxhash64(*on)).join(few, "_key", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_key", "_parts")

@@ -210,16 +210,16 @@ def components(links: DataFrame) -> DataFrame:
 
     A pivot with very many links, and the label of a giant class, are joined in parts."""
     both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    hubs = cut(hot_keys(both.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n")), ["node"]))
+    hubs = hot_keys(both.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n")), ["node"])
     ends = both.withColumnRenamed("b", "node")
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     while True:
         near = spread_join(ends, labels, ["node"], hubs, ["a"]).groupBy("a").agg(F.min("label").alias("m"))
-        passed = cut(labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label")))
+        passed = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         over = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        giants = hot_keys(passed.groupBy("label").agg(F.count("*").alias("n")), ["label"])
+        giants = hot_keys(labels.groupBy("label").agg(F.count("*").alias("n")), ["label"])
         new = cut(spread_join(passed, over, ["label"], giants, ["node"], "left").select("node", "old", F.least("label", "next").alias("label")))
-        if new.where("label <> old").limit(1).count() == 0:
+        if new.where("label <> old").isEmpty():
             return labels
         labels = new.select("node", "label")
 
@@ -231,7 +231,7 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: f
     members = nodes.where("size(bands) > 0").select("node", F.explode("bands").alias("bucket"))
 
     sizes = cut(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-    full = cut(hot_keys(sizes, ["bucket"]))  # buckets of so many nodes that they are joined in parts
+    full = hot_keys(sizes, ["bucket"])  # buckets of so many nodes that they are joined in parts
     together = cut(spread_join(members, sizes, ["bucket"], full, ["node"]))
     # a node that shares large buckets stands in the middle of its group: the best pivot
     middle = together.groupBy("node").agg(F.sum("n").alias("middle"))
@@ -254,17 +254,17 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: f
     other = small.select("bucket", F.col("node").alias("b"), F.col("part").alias("part_b"))
     pairs = small.where("part <> main").join(other, "bucket").where("part <> part_b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
     more = cut(verified(pairs, texts, least).unionByName(blocks(large.join(texts, "node"), least)))
-    if more.limit(1).count():
+    if not more.isEmpty():
         labels = components(links.unionByName(more))
 
-    named = cut(nodes.join(labels, "node", "left").select("node", "doc_id", "copies", F.coalesce("label", "node").alias("label")))
+    named = nodes.join(labels, "node", "left").select("node", "doc_id", "copies", F.coalesce("label", "node").alias("label"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first")
     classes = cut(named.groupBy("label").agg(first, F.sum("copies").alias("class_size"), F.count("*").alias("n")))
     giants = hot_keys(classes, ["label"])
-    by_node = spread_join(named.select("node", "label", "copies"), classes, ["label"], giants, ["node"])
-    by_node = cut(by_node.select("node", "copies", F.col("first.doc_id").alias("class_id"), (F.col("node") == F.col("first.node")).alias("head"), "class_size"))
+    by_node = spread_join(named.select("node", "label"), classes, ["label"], giants, ["node"])
+    by_node = by_node.select("node", F.col("first.doc_id").alias("class_id"), (F.col("node") == F.col("first.node")).alias("head"), "class_size")
     kept = F.col("head") & F.col("doc_id").eqNullSafe(F.col("class_id"))
-    rows_ = spread_join(signs.select("node", "doc_id"), by_node.drop("copies"), ["node"], hot_keys(by_node, ["node"], "copies"), ["doc_id"])
+    rows_ = spread_join(signs.select("node", "doc_id"), by_node, ["node"], hot_keys(nodes, ["node"], "copies"), ["doc_id"])
     return rows_.select("doc_id", "node", "class_id", "class_size", kept.alias("kept"))
 
 
