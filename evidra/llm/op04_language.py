@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import documents, mix, remainder, slices
 from .pretokens import LETTER, classes
 
-BUCKET_BITS, BATCH = 16, 1 << 19
+BUCKET_BITS, BATCH = 16, 1 << 18
 #: At most so many labelled rows (whole, and one of each language at least) fit scale, shift and weight of the bits; all rows count in the n-grams.
 SAMPLE = 4000
 AMBIGUOUS = 0.5

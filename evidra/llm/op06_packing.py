@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import cut, documents, slices
 from .pretokens import Known, parts, pieces
 
-WINDOW, END, BATCH = 2048, 1, 1 << 20
+WINDOW, END, BATCH = 2048, 1, 1 << 19
 #: Identifiers that a worker keeps of known pieces; beyond that its cache starts anew.
 ARENA = 6_000_000
 

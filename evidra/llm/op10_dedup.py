@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import MASK, cut, documents, flat, hot_keys, mix, slices, spread_join, word_hashes
 
-WORDS, SIMILARITY, BANDS, ROWS, BATCH = 5, 0.8, 24, 5, 2 << 20
+WORDS, SIMILARITY, BANDS, ROWS, BATCH = 5, 0.8, 24, 5, 1 << 20
 #: Buckets of more nodes are looked at in blocks of so many.
 SMALL, BLOCK = 16, 256
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
