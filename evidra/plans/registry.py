@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import advanced, analysis, land, serving, views
+from . import advanced, analysis, inventory, land, serving, views
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for module in (views, analysis, advanced, serving, land):
+for module in (views, analysis, advanced, serving, land, inventory):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
