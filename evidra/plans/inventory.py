@@ -47,14 +47,14 @@ def q133_select_pages(spark, sf_dir):
 p as (select s_suppkey as plot, (s_suppkey * 53) % 1000 as x0, (s_suppkey * 71) % 1000 as y0, (s_suppkey * 53) % 1000 + 80 as x1, (s_suppkey * 71) % 1000 + 40 as y1 from supplier),
 o as (select plot, state, (least(b.x1, p.x1) - greatest(b.x0, p.x0)) as w, (least(b.y1, p.y1) - greatest(b.y0, p.y0)) as h from b, p),
 s as (select plot, state, w * h / 3200 as part from o where w > 0 and h > 0)
-select plot, state, round(sum(part), 6) as share, round(least(1.0, (select sum(part) from s t where t.plot = s.plot)), 6) as coverage from s group by 1, 2""")
+select plot, state, round(sum(part), 8) as share, round(least(1.0, (select sum(part) from s t where t.plot = s.plot)), 8) as coverage from s group by 1, 2""")
 def q134_overlay_shares(spark, sf_dir):
     k = F.col("s_suppkey")
     x, y = ((k * 53) % 1000).cast("double"), ((k * 71) % 1000).cast("double")
     plots = table(spark, sf_dir, "supplier").select(k.alias("plot"), x.alias("x0"), y.alias("y0"), (x + 80).alias("x1"), (y + 40).alias("y1"))
     states = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("uid"), F.col("p_brand").alias("state"))
     found = inventory.overlay_shares(plots, boxes(spark, sf_dir), states, [], 64.0)
-    return found.withColumns({"share": F.round("share", 6), "coverage": F.round("coverage", 6)})
+    return found.withColumns({"share": F.round("share", 8), "coverage": F.round("coverage", 8)})
 
 
 @query("""with d as (select o_orderpriority as unit, cast(o_orderdate as date) as day, round(avg(o_totalprice) / 524288, 6) as v, round(avg(o_custkey) / 4096, 6) as bsi from orders group by 1, 2),
