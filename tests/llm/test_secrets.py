@@ -93,6 +93,7 @@ def test_allow_list(spark):
 
 
 def test_query_digest(spark, sf_dir):
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
     source = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
     rows = op.op13_secrets(spark, sf_dir).collect()
     assert len(rows) == len(source)
