@@ -211,5 +211,6 @@ def secrets(docs: DataFrame, *, key: str = "doc_id", text: str = "text", classes
 def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"] != "entropy")
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    counts = [count(k) for k in KINDS]
     return secrets(documents(spark, sf_dir)).select("doc_id", *counts[:3], F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"), counts[3])
