@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_lm, op02_neighbours, op03_media, op04_language, op05_pii, op06_packing, op07_mixing, op08_counts, op09_urls, op10_dedup, op12_audit, op13_secrets
+from . import op01_lm, op02_neighbours, op03_media, op04_language, op05_pii, op06_packing, op07_mixing, op08_counts, op09_urls, op10_dedup, op11_negatives, op12_audit, op13_secrets
 
 QUERIES = {
     "op1_lm_scoring": op01_lm.op1_lm_scoring,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_token_counts": op08_counts.op8_token_counts,
     "op9_url_filters": op09_urls.op9_url_filters,
     "op10_near_duplicates": op10_dedup.op10_near_duplicates,
+    "op11_hard_negatives": op11_negatives.op11_hard_negatives,
     "op12_filter_audit": op12_audit.op12_filter_audit,
     "op13_secrets": op13_secrets.op13_secrets,
 }
-ORACLES = {"op9_url_filters": op09_urls.ORACLE, "op12_filter_audit": op12_audit.ORACLE}
+ORACLES = {"op9_url_filters": op09_urls.ORACLE, "op11_hard_negatives": op11_negatives.ORACLE, "op12_filter_audit": op12_audit.ORACLE}
