@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import advanced, analysis, geometry, inventory, land, serving, views
+from . import advanced, analysis, geometry, inventory, land, serving, tables, views
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for module in (views, analysis, advanced, serving, land, inventory, geometry):
+for module in (views, analysis, advanced, serving, land, inventory, geometry, tables):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
