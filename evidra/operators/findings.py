@@ -36,11 +36,13 @@ def extent_mismatch(claims: DataFrame, *, unit: str, area: str, extent: str, doc
 
 
 def modal_rate(rows: DataFrame, keys: Sequence[str], paid: Column, size: Column, unit: float = 1000.0, least: int = 3, part: float = 0.5) -> DataFrame:
-    """keys, rate: the most frequent rate, rounded to `unit`, if max(least, part of the rows) are within 0.5 % of it; smaller on a tie."""
-    rated = rows.where((size > 0) & paid.isNotNull()).withColumn("_rate", paid / size).withColumn("_near", F.bround(F.col("_rate") / unit, 0) * unit)
+    """keys, rate: the most frequent rate, rounded to `unit`, if max(least, part of the rows) are within 0.5 % of it; smaller on a tie.
+
+    Rows that pay nothing have no rate, and a rate that rounds to 0 or less is none."""
+    rated = rows.where((size > 0) & (paid != 0)).withColumn("_rate", paid / size).withColumn("_near", F.bround(F.col("_rate") / unit, 0) * unit)
     counts = rated.groupBy(*keys, "_near").agg(F.count("*").alias("_n"))
     mode = counts.groupBy(*keys).agg(F.max(F.struct("_n", (-F.col("_near")).alias("_m"))).alias("_b")).select(*keys, (-F.col("_b._m")).alias("rate"))
-    support = rated.join(mode, list(keys)).groupBy(*keys, "rate").agg(F.count_if(F.abs(F.col("_rate") - F.col("rate")) <= 0.005 * F.col("rate")).alias("support"), F.count("*").alias("rows"))
+    support = rated.join(mode.where("rate > 0"), list(keys)).groupBy(*keys, "rate").agg(F.count_if(F.abs(F.col("_rate") - F.col("rate")) <= 0.005 * F.col("rate")).alias("support"), F.count("*").alias("rows"))
     return support.where(F.col("support") >= F.greatest(F.lit(float(least)), F.col("rows") * part)).select(*keys, "rate", "support", "rows")
 
 

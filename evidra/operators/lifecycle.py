@@ -76,11 +76,11 @@ def event_list(events: DataFrame, *, unit: str, stage: str, day: str, stages: Se
     return rows.groupBy(unit).agg(F.array_join(text, " ").alias("events"))
 
 
-def parcel_lifecycle(parcels: DataFrame, events: DataFrame, *, stages: Sequence[str], exempt: str, mandatory: Sequence[str], following: dict[str, str], stalls: dict[str, tuple[str, str]], thresholds: DataFrame, as_of: Column, block: str = "block_level", level: str = "survey_level", conflict: str = "AWARD") -> DataFrame:
+def parcel_lifecycle(parcels: DataFrame, events: DataFrame, *, stages: Sequence[str], exempt: str, mandatory: Sequence[str], following: dict[str, str], stalls: dict[str, tuple[str, str, float]], thresholds: DataFrame, as_of: Column, block: str = "block_level", level: str = "survey_level", conflict: str = "AWARD") -> DataFrame:
     """Stages of parcels from linked events (parcel_uid, stage, day, link_kind), with what each link is worth.
 
     current_stage: the highest of all but exemptions; current_stage_evidence and current_stage_parcel_only tell whether a link better than the
-    block's shows it. stalls: per stage the flag and the name of its days in thresholds (key, value)."""
+    block's shows it. stalls: per stage the flag, the name of its days in thresholds (key, value), and the days where thresholds don't have it."""
     rows = with_order(events, stages).groupBy("parcel_uid", "stage", "ord", "link_kind").agg(F.min("day").alias("day"), F.count("*").alias("n"))
     counts, better = F.col("stage") != exempt, F.col("link_kind") != block
     live = F.when(counts, F.col("ord"))
@@ -93,8 +93,9 @@ def parcel_lifecycle(parcels: DataFrame, events: DataFrame, *, stages: Sequence[
     now = F.filter("_all", lambda x: x["ord"] == F.col("ord"))  # at most one a stage and kind of link
     out = parcels.select("parcel_uid").join(folded, "parcel_uid", "left").withColumns({"entered": F.array_min(F.transform(now, lambda x: x["day"])), "_shown": F.exists(now, lambda x: x["better"]), "current_stage": F.when(F.col("ord").isNotNull(), F.element_at(names, F.col("ord")))})
     days = F.datediff(as_of, "entered").cast("long")
-    limits = {r["key"]: r["value"] for r in thresholds.where(F.col("key").isin(*[k for _, k in stalls.values()])).collect()}
-    stalled = F.coalesce(*[F.when((F.col("current_stage") == s) & (days > float(limits[k])), F.lit(flag)) for s, (flag, k) in stalls.items() if k in limits], F.lit(None).cast("string"))
+    limits = thresholds.agg(*[F.coalesce(F.max(F.when(F.col("key") == k, F.col("value"))), F.lit(default)).cast("double").alias(f"_limit_{s}") for s, (_, k, default) in stalls.items()])
+    out = out.join(F.broadcast(limits))  # one row
+    stalled = F.coalesce(*[F.when((F.col("current_stage") == s) & (days > F.col(f"_limit_{s}")), F.lit(flag)) for s, (flag, _, _) in stalls.items()], F.lit(None).cast("string"))
     after = F.coalesce(*[F.when(F.col("current_stage") == s, F.lit(n)) for s, n in following.items()], F.when(F.col("ord").isNull(), F.lit(mandatory[0])), F.when(F.col("ord") < stages.index(conflict) + 1, F.lit(conflict)))
     order = [stages.index(m) + 1 for m in mandatory]
     missing = F.array_compact(F.array(*[F.when((F.lit(o) < F.col("ord")) & ~F.array_contains("_have", o), F.lit(m)) for o, m in zip(order, mandatory, strict=True)]))

@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from evidra.functions.normalise import norm_token, ocr_variants, parse_refs
 from evidra.sources.checkpoints import cut
 
-#: Tier scores, acceptance, context adjustments, candidates that are kept, names of schemes that stand for villages.
+#: Tier scores, acceptance, context adjustments, candidates that are kept.
 EXACT, NORMAL, PARENT_ONE, SURVEY_LEVEL, PREFIX, SWAP_ONE, SWAP_TWO = 1.0, 0.95, 0.90, 0.85, 0.80, 0.65, 0.45
 ACCEPT, MARGIN = 0.80, 0.10
 BLOCK_SAME, BLOCK_OTHER, EXTENT_NEAR, EXTENT_FAR, HEADER_ONLY, HEADER_CONFLICT, RERESOLVED = 0.05, -0.10, 0.05, -0.10, -0.05, -0.05, -0.05
-TOP, SCHEMES = 3, ("Allikulam",)
+TOP = 3
 CONTEXT = ("block", "unit", "extent", "from_header", "header_conflict", "scheme_header")
 
 
@@ -121,7 +121,7 @@ def other_village(refs: DataFrame, units: DataFrame) -> DataFrame:
     return met.groupBy("id").agg(F.count_distinct("village").alias("_n"), F.min("village").alias("village")).where("_n = 1").drop("_n")
 
 
-def link(records: DataFrame, units: DataFrame, schemes: Sequence[str] = SCHEMES) -> DataFrame:
+def link(records: DataFrame, units: DataFrame, schemes: Sequence[str] = ()) -> DataFrame:
     """id, village (used), status, uid, score, links, candidates of every record (id, village, survey_no, sub_div and CONTEXT).
 
     status: accepted, survey_level, list, list_partial, ambiguous, no_candidate, no_ref or no_village. Only a village that is unknown, a

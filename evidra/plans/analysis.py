@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidra.functions import calendar, normalise
-from evidra.operators import findings, match, search, select, states, stats
+from evidra.operators import calibration, findings, match, search, select, states, stats
 from evidra.sources.tables import table
 
 from .register import register
@@ -349,3 +349,16 @@ def q83_character_error(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "?").alias("t"))
     other = items.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("o"))
     return items.join(other, "item_id").select("item_id", F.levenshtein("t", "o").cast("long").alias("distance"), F.round(normalise.character_error(F.col("t"), F.col("o")), 6).alias("cer"))
+
+
+@query("""with r as (select doc_id, coalesce(lang, '') as lang, (n_chars % 211) / cast(211 as double) as score, case when (doc_id * 7919) % 211 < n_chars % 211 then 1.0 else 0.0 end as y from documents where doc_id is not null),
+a as (select lang, score, sum(y) as y, count(*) as w from r group by lang, score), p as (select *, sum(y) over (partition by lang order by score) as cy, sum(w) over (partition by lang order by score) as cw from a),
+m as (select a.lang, a.score as s0, b.score as s1, (b.cy - a.cy + a.y) / (b.cw - a.cw + a.w) as mean from p a join p b on a.lang = b.lang and b.score >= a.score),
+u as (select lang, s0, s1, min(mean) over (partition by lang, s0 order by s1 desc) as least from m), v as (select lang, s1 as score, max(least) as level from u group by lang, s1)
+select doc_id, lang, round(score, 6) as score, round(level, 8) as level from r join v using (lang, score)""")
+def q143_calibrated(spark, sf_dir):
+    n = F.col("n_chars") % 211
+    truth = F.when(F.col("doc_id") * 7919 % 211 < n, 1.0).otherwise(0.0)
+    rows = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), (n / F.lit(211.0)).alias("score"), truth.alias("truth"))
+    found = calibration.calibrated(rows, ["lang"], "score", calibration.isotonic(rows, ["lang"], "score", "truth"))
+    return found.select("doc_id", "lang", F.round("score", 6).alias("score"), F.round("level", 8).alias("level"))

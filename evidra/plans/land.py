@@ -53,15 +53,15 @@ def q113_fmb_quality(spark, sf_dir):
     return findings.fmb_quality(over, outside).withColumn("ha", F.round("ha", 6))
 
 
-#: Spellings of two villages, folded.
+#: Spellings of three villages.
 ALIASES = {"greenfield": "Greenfield", "greenfeeld": "Greenfield", "stonebridge": "Stonebridge", "பேரூரணி": "Peroorani"}
 
 
 @query("""select c_custkey, case c_custkey % 7 when 0 then 'Greenfield' when 1 then 'Greenfield' when 2 then 'Stonebridge' when 3 then 'Stonebridge' when 4 then null when 5 then null else 'Peroorani' end as village,
-case c_custkey % 7 when 0 then 'Greenfield' when 1 then 'Greenfield' when 2 then 'Stonebridge' when 6 then 'Peroorani' end as mentioned from customer""")
+case c_custkey % 7 when 0 then 'Greenfield' when 1 then 'Greenfield' when 2 then 'Stonebridge' end as mentioned from customer""")
 def q114_villages(spark, sf_dir):
     k = F.col("c_custkey") % 7
-    texts = ["GREEN FIELD village", "survey of Greenfeeld, unit 5", "Stone-Bridge.", "Stonebrige", "Nowhere", "", "பேரூரணி கிராமம், 5"]
+    texts = ["GREEN FIELD village", "survey of Greenfeeld, unit 5", "Stone-Bridge.", "Stonebrige", "Nowhere", "", "பேருரணி கிராமம்"]
     raw = F.element_at(F.array(*[F.lit(t) for t in texts]), k.cast("int") + 1)
     return table(spark, sf_dir, "customer").select("c_custkey", names.village(raw, ALIASES).alias("village"), names.village_in_text(raw, ALIASES).alias("mentioned"))
 
@@ -172,7 +172,7 @@ STAGES = ["SEC_3_1", "SEC_3_2", "EXEMPTION", "AWARD", "PAYMENT", "POSSESSION", "
 
 
 @query("""with g as (select unnest(['SEC_3_1', 'SEC_3_2', 'EXEMPTION', 'AWARD', 'PAYMENT', 'POSSESSION', 'MUTATION']) as stage, unnest(generate_series(1, 7)) as ord),
-e as (select l_partkey as uid, g.stage, g.ord, cast(l_shipdate as date) as day, case l_returnflag when 'A' then 'parcel' when 'N' then 'block_level' else 'survey_level' end as k from lineitem join g on g.ord = l_linenumber where l_orderkey % 9 = 0),
+e as (select l_partkey as uid, g.stage, g.ord, cast(l_shipdate as date) as day, case l_returnflag when 'A' then 'parcel' when 'N' then 'block_level' else 'survey_level' end as k from lineitem join g on g.ord = l_linenumber),
 f as (select uid, max(ord) filter (stage <> 'EXEMPTION') as ord, max(ord) filter (stage <> 'EXEMPTION' and k <> 'block_level') as op, coalesce(bool_or(stage = 'EXEMPTION' and k <> 'block_level'), false) as ex, bool_or(k = 'parcel') as own, bool_or(k = 'survey_level') as lev, count(*) as n, count(*) filter (k = 'block_level') as nb, list(distinct stage) as have from e group by 1),
 c as (select f.*, (select min(day) from e where e.uid = f.uid and e.ord = f.ord) as entered, (select bool_or(k <> 'block_level') from e where e.uid = f.uid and e.ord = f.ord) as shown from f)
 select p_partkey as parcel_uid, coalesce(n, 0) as n_events, coalesce(nb, 0) as n_block_events, a.stage as current_stage, entered, cast(date '2001-06-01' - entered as bigint) as days_in_stage, case when c.ord is not null then case when shown then 'parcel' else 'block_level' end end as current_stage_evidence, b.stage as current_stage_parcel_only,
@@ -183,12 +183,11 @@ case when c.ord = 4 and date '2001-06-01' - entered > 600 then 'AWARD_NOT_PAID'
 from part left join c on c.uid = p_partkey left join g a on a.ord = c.ord left join g b on b.ord = c.op""")
 def q126_parcel_lifecycle(spark, sf_dir):
     kind = F.when(F.col("l_returnflag") == "A", "parcel").when(F.col("l_returnflag") == "N", "block_level").otherwise("survey_level")
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 9 = 0")  # sparse events stand for a scheme in progress
-    events = lines.select(F.col("l_partkey").alias("parcel_uid"), F.try_element_at(F.array(*[F.lit(s) for s in STAGES]), F.col("l_linenumber")).alias("stage"), F.to_date("l_shipdate").alias("day"), kind.alias("link_kind"))
-    limits = spark.createDataFrame([("award_to_payment", 600.0), ("payment_to_possession", 300.0), ("possession_to_mutation", 90.0)], "key string, value double")
+    events = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("parcel_uid"), F.try_element_at(F.array(*[F.lit(s) for s in STAGES]), F.col("l_linenumber")).alias("stage"), F.to_date("l_shipdate").alias("day"), kind.alias("link_kind"))
+    limits = spark.createDataFrame([("award_to_payment", 600.0), ("payment_to_possession", 300.0)], "key string, value double")
     return lifecycle.parcel_lifecycle(
         table(spark, sf_dir, "part").select(F.col("p_partkey").alias("parcel_uid")), events, stages=STAGES, exempt="EXEMPTION", mandatory=["SEC_3_1", "SEC_3_2", "AWARD", "POSSESSION"], following={"POSSESSION": "MUTATION", "PAYMENT": "POSSESSION", "AWARD": "PAYMENT"},
-        stalls={"AWARD": ("AWARD_NOT_PAID", "award_to_payment"), "PAYMENT": ("PAID_NO_POSSESSION", "payment_to_possession"), "POSSESSION": ("POSSESSION_NO_MUTATION", "possession_to_mutation")}, thresholds=limits, as_of=F.lit("2001-06-01").cast("date"),
+        stalls={"AWARD": ("AWARD_NOT_PAID", "award_to_payment", 60.0), "PAYMENT": ("PAID_NO_POSSESSION", "payment_to_possession", 30.0), "POSSESSION": ("POSSESSION_NO_MUTATION", "possession_to_mutation", 90.0)}, thresholds=limits, as_of=F.lit("2001-06-01").cast("date"),
     )
 
 

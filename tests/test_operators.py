@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidra.functions import calendar, normalise
-from evidra.operators import findings, guard, ledger, match, stats, states, timeseries, windows
+from evidra.functions import calendar, names, normalise
+from evidra.operators import findings, guard, ledger, lifecycle, match, stats, states, timeseries, windows
 from evidra.sources import tables
 from evidra.streaming import windows as stream
 
@@ -357,3 +357,26 @@ def test_queries_without_sql_give_right_values(spark, sf_dir):
     assert set(pairs[["g", "a", "b"]].itertuples(index=False, name=None)) == want
     found = QUERIES["q87_did_interval"](spark, sf_dir).toPandas()
     assert len(found) == (events["user_id"].drop_duplicates() % 3 != 0).sum() and (found["ci_lo"].dropna() <= found["ci_hi"].dropna()).all()
+
+
+def test_spellings_that_differ_in_vowel_signs_are_one_village(spark):
+    row = spark.createDataFrame([("பேரூரணி", "பேருரணி கிராமம்", "Per_urani-Village", None)], "a string, b string, c string, d string")
+    assert tuple(row.select(*[names.fold(F.col(c)) for c in "abcd"]).first()) == ("பரரண", "பரரண", "perurani", "")
+
+
+def test_rates_leave_out_what_pays_nothing(spark):
+    paid = [("d", 0.0)] * 4 + [("d", 500_000.0)] * 3 + [("e", 300.0)] * 3 + [("f", None)] * 3 + [("g", 100_000.0)] * 2
+    rows = spark.createDataFrame([(d, p, 1.0) for d, p in paid], "doc string, paid double, size double")
+    got = [(r["doc"], r["rate"], r["support"], r["rows"]) for r in findings.modal_rate(rows, ["doc"], F.col("paid"), F.col("size")).collect()]
+    assert got == [("d", 500_000.0, 3, 3)]
+
+
+def test_missing_thresholds_have_defaults(spark):
+    from datetime import date
+
+    parcels = spark.createDataFrame([("p",), ("q",)], "parcel_uid string")
+    events = spark.createDataFrame([("p", "AWARD", date(2020, 1, 1), "parcel"), ("q", "PAYMENT", date(2020, 1, 1), "parcel")], "parcel_uid string, stage string, day date, link_kind string")
+    limits = spark.createDataFrame([("pay", 100.0)], "key string, value double")
+    flags = lambda table: {r["parcel_uid"]: r["stalled_flag"] for r in lifecycle.parcel_lifecycle(
+        parcels, events, stages=["AWARD", "PAYMENT", "EXEMPTION"], exempt="EXEMPTION", mandatory=["AWARD"], following={}, stalls={"AWARD": ("UNPAID", "pay", 60.0), "PAYMENT": ("NOT_HELD", "hold", 30.0)}, thresholds=table, as_of=F.lit("2020-03-11").cast("date")).collect()}
+    assert flags(limits) == {"p": None, "q": "NOT_HELD"} and flags(limits.limit(0)) == {"p": "UNPAID", "q": "NOT_HELD"}
