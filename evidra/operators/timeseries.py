@@ -262,3 +262,74 @@ def grouped_pixels(pixels: DataFrame, footprint: DataFrame, values: Sequence[str
     medians = [F.percentile(F.when(F.col(valid), F.col(v)), F.lit(0.5)).alias(v) for v in values]
     out = joined.groupBy("parcel_uid", "scene_id").agg(F.count("*").alias("n_total"), F.count_if(F.col(valid)).alias("n_px"), *medians)
     return out.withColumns({"valid_frac": F.col("n_px") / F.col("n_total"), "low_support": F.col("n_px") < 10})
+
+
+def whittaker_many(y: np.ndarray, w: np.ndarray, lam: np.ndarray, passes: int = 0) -> np.ndarray:
+    """robust_whittaker of one series under many weights and strengths at once: w (days, systems), lam (systems); one elimination goes through the days of all systems together."""
+    n, m = w.shape
+    main, off = np.full(n, 6.0), np.full(n - 1, -4.0)
+    main[[0, -1]], main[[1, -2]], off[[0, -1]] = 1.0, 5.0, -2.0
+    if n == 3:
+        main[1] = 4.0
+    full = np.nan_to_num(y)[:, None]
+    use, z = w.astype(float), np.zeros((n, m))
+    open_ = np.ones(m, bool)
+    for step in range(passes + 1):
+        if step:
+            rest = np.where(w > 0, np.nan_to_num(y)[:, None] - z, np.nan)
+            scale = np.maximum(1.4826 * np.nanmedian(np.abs(rest), axis=0), SCALE_FLOOR)
+            open_ = open_ & ((use > 0).sum(axis=0) >= 4)  # with fewer points in use a system stays as it is
+            use = np.where(open_, w * np.clip(1 - (np.nan_to_num(rest) / (BISQUARE * scale)) ** 2, 0, None) ** 2, use)
+        d, e = use + lam * main[:, None] + RIDGE, np.repeat(off[:, None], m, axis=1) * lam
+        x = use * full
+        for i in range(n - 1):
+            step_ = e[i] / d[i]
+            d[i + 1] -= step_ * e[i]
+            x[i + 1] -= step_ * x[i]
+            if i < n - 2:
+                e[i + 1] -= step_ * lam
+                far = lam / d[i]
+                d[i + 2] -= far * lam
+                x[i + 2] -= far * x[i]
+        x[-1] /= d[-1]
+        x[-2] = (x[-2] - e[-1] * x[-1]) / d[-2]
+        for i in range(n - 3, -1, -1):
+            x[i] = (x[i] - e[i] * x[i + 1] - lam * x[i + 2]) / d[i]
+        z = np.where(open_, x, z)
+    return z
+
+
+def left_out(n: int, share: float, repeats: int, seed: int) -> list[np.ndarray]:
+    """For each repeat the places of n observations that are left out: never the first or last, and none of fewer than ten."""
+    rng = np.random.default_rng(seed)
+    return [rng.choice(np.arange(1, n - 1), min(max(1, round(share * n)), n - 2), replace=False) for _ in range(repeats)] if n >= 10 else []
+
+
+def lambda_errors(df: DataFrame, keys: Sequence[str], day: str, value: str, grid: Sequence[float], share: float = 0.15, repeats: int = 3, passes: int = 2, seed: int = 0) -> DataFrame:
+    """lambda, rmse, n, units, best of every strength of the grid: the error at observations that were left out, over all units together; the first smallest is best.
+
+    Every unit takes part. It leaves out a share of its observations (by its keys and the seed), solves all strengths and repeats together, and sends on one line a strength: a sum of squares
+    and a number. Units of fewer than ten observations say nothing; several values of a day are averaged, null and NaN don't count; no unit at all gives a null rmse and no best."""
+    daily = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys, day).agg(F.avg(value).alias("_v"))
+    daily = daily.withColumns({"_seed": F.crc32(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).cast("binary")), "_day": F.unix_date(F.to_date(day))})
+    strengths = np.array(grid, float)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_day")
+        at = (pdf["_day"] - pdf["_day"].iloc[0]).to_numpy()
+        folds = left_out(len(pdf), share, repeats, seed + int(pdf["_seed"].iloc[0]))
+        if not folds:
+            return pd.DataFrame({"lambda": pd.Series([], dtype=float), "_sq": pd.Series([], dtype=float), "_n": pd.Series([], dtype="int64")})
+        y = np.full(at[-1] + 1, np.nan)
+        y[at] = pdf["_v"]
+        w = np.repeat((~np.isnan(y)).astype(float)[:, None], len(folds), axis=1)
+        for k, fold in enumerate(folds):
+            w[at[fold], k] = 0
+        z = whittaker_many(y, np.tile(w, (1, len(strengths))), np.repeat(strengths, len(folds)), passes)
+        errors = [np.concatenate([y[at[f]] - z[at[f], j * len(folds) + k] for k, f in enumerate(folds)]) for j in range(len(strengths))]
+        return pd.DataFrame({"lambda": strengths, "_sq": [float(e @ e) for e in errors], "_n": [len(e) for e in errors]})
+
+    sums = daily.groupBy(*keys, "_seed").applyInPandas(run, "lambda double, _sq double, _n long").groupBy("lambda").agg(F.sqrt(F.sum("_sq") / F.sum("_n")).alias("rmse"), F.sum("_n").alias("n"), F.count("*").alias("units"))
+    every = df.sparkSession.createDataFrame([(float(g), i) for i, g in enumerate(grid)], "lambda double, _i int").join(F.broadcast(sums), "lambda", "left")  # a line a strength
+    found = every.withColumn("_best", F.min(F.struct(F.coalesce("rmse", F.lit(float("inf"))).alias("r"), "_i")).over(Window.partitionBy()))
+    return found.select("lambda", "rmse", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("units", F.lit(0).cast("long")).alias("units"), ((F.col("_best._i") == F.col("_i")) & F.col("rmse").isNotNull()).alias("best"))

@@ -205,3 +205,13 @@ def q89_grouped_pixels(spark, sf_dir):
     lines = lines.withColumn("px_idx", F.struct("px_idx", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice")).dropDuplicates(["px_idx"])
     found = timeseries.grouped_pixels(lines.select("px_idx", F.col("l_suppkey").alias("scene_id"), F.col("l_quantity").alias("v"), (F.col("l_discount") > 0.02).alias("good")), lines.select("px_idx", F.col("l_partkey").alias("parcel_uid")), ["v"], "good")
     return found.withColumn("valid_frac", F.round("valid_frac", 6))
+
+
+@query()
+def q145_lambda_errors(spark, sf_dir):
+    """Documents as observations: a hundred are a unit, three days apart, of a wave with noise from their lengths."""
+    k = F.col("doc_id")
+    day = k % 100 * 3
+    wave = 0.45 + 0.3 * F.sin(day / 23) + (F.col("n_chars") % 100) / 500
+    rows = table(spark, sf_dir, "documents").where("doc_id is not null").select(F.floor(k / 100).alias("unit"), F.date_add(F.lit("2019-01-01").cast("date"), day.cast("int")).alias("day"), wave.alias("v"))
+    return timeseries.lambda_errors(rows, ["unit"], "day", "v", [1e1, 1e2, 1e3, 1e4, 1e5])
