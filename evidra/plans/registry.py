@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import advanced, analysis, claims, geometry, inventory, land, serving, tables, views
+from . import advanced, analysis, claims, fulltext, geometry, inventory, land, serving, tables, views
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for module in (views, analysis, advanced, serving, land, inventory, geometry, tables, claims):
+for module in (views, analysis, advanced, serving, land, inventory, geometry, tables, claims, fulltext):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
