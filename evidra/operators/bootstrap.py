@@ -76,12 +76,10 @@ def period_effects(
     ours, base = merged.where("side"), merged.where(~F.col("side") & (F.col("weight") > 0)).select("i", "season", "b", (F.col("total") / F.col("weight")).alias("mean"))
     joined = ours.join(base, ["i", "season", "b"]).groupBy("i", "b", "period").agg(F.sum(F.col("total") - F.col("weight") * F.col("mean")).alias("d"), F.sum("weight").alias("w"))
     single = joined.where("w > 0").select("i", "b", F.col("period").alias("effect"), (F.col("d") / F.col("w")).alias("v"), F.col("w").alias("n"))
-    pairs = [F.struct(F.lit(late).alias("late"), F.lit(early).alias("early")) for late, early in differences]
-    effects = single
-    if pairs:
-        asked = single.groupBy("i", "b").agg(F.map_from_entries(F.collect_list(F.struct("effect", "v"))).alias("of")).select("i", "b", "of", F.explode(F.array(*pairs)).alias("p"))
-        gap = F.try_element_at("of", F.col("p.late")) - F.try_element_at("of", F.col("p.early"))
-        effects = single.unionByName(asked.select("i", "b", F.concat_ws("-", "p.late", "p.early").alias("effect"), gap.alias("v"), F.lit(None).cast("double").alias("n")).where("v is not null"))
+    # one row a metric and replicate holds its few periods, so that differences need no second pass
+    wide = single.groupBy("i", "b").agg(F.collect_list(F.struct("effect", "v", "n")).alias("all")).withColumn("of", F.map_from_entries(F.transform("all", lambda e: F.struct(e["effect"], e["v"]))))
+    gaps = [F.struct(F.lit(f"{late}-{early}").alias("effect"), (F.try_element_at("of", F.lit(late)) - F.try_element_at("of", F.lit(early))).alias("v"), F.lit(None).cast("double").alias("n")) for late, early in differences]
+    effects = wide.select("i", "b", F.inline(F.concat("all", F.array(*gaps)) if gaps else F.col("all"))).where("v is not null")
     drawn = F.when(F.col("b") > 0, F.col("v"))
     out = effects.groupBy("i", "effect").agg(
         F.max(F.when(F.col("b") == 0, F.col("v"))).alias("estimate"), F.percentile(drawn, F.array(F.lit(0.025), F.lit(0.975))).alias("ci"), F.max(F.when(F.col("b") == 0, F.col("n"))).cast("long").alias("n"),
