@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import advanced, analysis, claims, effects, fulltext, geometry, inventory, land, pseudonyms, serving, tables, views
+from . import advanced, analysis, claims, effects, fulltext, geometry, inventory, land, lattice, pseudonyms, serving, tables, views
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for module in (views, analysis, advanced, serving, land, inventory, geometry, tables, claims, fulltext, effects, pseudonyms):
+for module in (views, analysis, advanced, serving, land, inventory, geometry, tables, claims, fulltext, effects, pseudonyms, lattice):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
