@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidra.sources.checkpoints import cut
+
 #: The compass from the north, clockwise.
 SECTORS = "N NE E SE S SW W NW".split()
 TILE, PART = 64, 2048
@@ -70,6 +72,8 @@ def near_cells(boxes: DataFrame, size: float, reach: float) -> DataFrame:
         return found[found["near"] <= reach]
 
     schema = "ix long, iy long, " + ", ".join(f"{c} double" for c in ("near", "centre", *CORNERS))
+    # the boxes are few bytes and much work: a fixed number of partitions keeps them from being merged into one task
+    parted = parted.repartition(int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tx", "ty", "part")
     found = parted.groupBy("tx", "ty", "part").applyInPandas(least, schema)
     return found.groupBy("ix", "iy").agg(*[F.min(c).alias(c) for c in ("near", "centre", *CORNERS)])
 
@@ -116,13 +120,23 @@ def thinned(cells: DataFrame, size: float, block: float, seed: int | str) -> Dat
     return rows.select("cell.*")
 
 
+def _candidates(rows: DataFrame, by: Sequence[str], n: int) -> DataFrame:
+    """The rows that can be among the first n of their group by _draw: whole buckets of it, up to the one that holds the nth; so a group with most of the rows is ranked from little more than n of them."""
+    bucket = F.substring("_draw", 1, 3)
+    counts = rows.groupBy(*by, bucket.alias("_bucket")).count()
+    before = F.sum("count").over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    kept = counts.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < n)
+    return rows.withColumn("_bucket", bucket).join(kept.select(*by, "_bucket"), [*by, "_bucket"], "left_semi").drop("_bucket")
+
+
 def by_sector(cells: DataFrame, n: int, seed: int | str) -> DataFrame:
-    """About n cells, each sector's number in proportion to what it has and one at least, first ones of the seeded order; at most n, by sector, ix, iy."""
-    counts = cells.groupBy("sector").count()
+    """About n cells, each sector's number in proportion to what it has and one at least, first ones of the seeded order; at most n, by sector, ix, iy. Cells without a sector take no part."""
+    drawn = cut(cells.withColumn("_draw", draw(seed, "ix", "iy")))
+    counts = drawn.groupBy("sector").count()
     total = counts.agg(F.sum("count").alias("_all"))
     quota = counts.crossJoin(F.broadcast(total)).select("sector", F.greatest(F.lit(1), F.bround(F.lit(n) * F.col("count") / F.col("_all"))).alias("_quota"))
-    place = F.row_number().over(Window.partitionBy("sector").orderBy(draw(seed, "ix", "iy")))
-    first = cells.withColumn("_place", place).where(F.col("_place") <= n)  # a limit known beforehand is applied before the shuffle
+    place = F.row_number().over(Window.partitionBy("sector").orderBy("_draw"))
+    first = _candidates(drawn, ["sector"], n).withColumn("_place", place)
     return first.join(F.broadcast(quota), "sector").where("_place <= _quota").select(*cells.columns).orderBy("sector", "ix", "iy").limit(n)
 
 
@@ -141,7 +155,8 @@ def root_sample(rows: DataFrame, strata: Sequence[str], unit: str, key: str, n:
     room = F.col("_given") < F.col("count")
     turn = F.row_number().over(Window.orderBy(F.when(room, F.col("_ideal") - F.floor("_ideal")).desc_nulls_last(), *by))
     shares = given.crossJoin(F.broadcast(rest)).withColumn("_turn", turn).select(*by, (F.col("_given") + F.when(room & (F.col("_turn") <= F.col("_rest")), 1).otherwise(0)).alias("_share"))
-    order = F.struct(draw(seed, key), F.col(key))
+    order = F.struct(draw(seed, key).alias("draw"), F.col(key).alias("key"))
     units = named.groupBy(*by, F.col(unit).alias("_unit")).agg(F.min_by(F.struct(*rows.columns), order).alias("row"), F.min(order).alias("_order"))
-    placed = units.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy("_order"))).where(F.col("_place") <= n)
+    first = _candidates(cut(units.withColumn("_draw", F.coalesce("_order.draw", F.lit("")))), by, n)
+    placed = first.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy("_order")))
     return placed.join(F.broadcast(shares), by).where("_place <= _share").select("row.*")
