@@ -64,6 +64,25 @@ def spread_join(many: DataFrame, one: DataFrame, on: Sequence[str], hot: list[tu
     return left.join(right, [*on, "_part"], how).drop("_part")
 
 
+#: Bits a key of a filter, and the most bits of one: at most 1/64 as many numbers are broadcast.
+BITS, MOST_BITS = 8, 1 << 25
+
+
+def key_filter(keys: DataFrame, on: str) -> tuple[DataFrame, int]:
+    """(words of 64 bits with the bits of the keys' hashes, number of bits): of bounded size; what doesn't fit lets more rows pass, never fewer."""
+    size = min(MOST_BITS, 1 << max(6, (BITS * keys.count()).bit_length()))
+    at = keys.select(F.pmod(F.xxhash64(on), F.lit(size)).alias("at"))
+    bit = F.expr("shiftleft(1L, cast(at & 63 as int))")
+    return at.groupBy(F.shiftright("at", 6).alias("_word")).agg(F.bit_or(bit).alias("_bits")), size
+
+
+def may_hold(rows: DataFrame, on: str, words: DataFrame, size: int, name: str) -> DataFrame:
+    """rows with a boolean `name`: false only where the filter surely doesn't hold the key. No row is moved."""
+    at = F.pmod(F.xxhash64(on), F.lit(size))
+    known = rows.withColumn("_at", at).withColumn("_word", F.shiftright("_at", 6)).join(F.broadcast(words), "_word", "left")
+    return known.withColumn(name, F.expr("coalesce(shiftright(_bits, cast(_at & 63 as int)) & 1L, 0L) = 1L")).drop("_at", "_word", "_bits")
+
+
 def remainder(doc_id: str, n: int):
     """crc32 of doc_id as text, modulo n; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(n).cast("long"))

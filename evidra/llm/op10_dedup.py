@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MASK, cut, documents, flat, hot_keys, mix, slices, spread_join, word_hashes
+from .common import MASK, cut, documents, flat, hot_keys, key_filter, may_hold, mix, slices, spread_join, word_hashes
 
 WORDS, SIMILARITY, BANDS, ROWS, BATCH = 5, 0.8, 24, 5, 1 << 20
 #: Buckets of more nodes are looked at in blocks of so many.
@@ -269,9 +269,13 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: f
 
 
 def _texts(docs: DataFrame, key: str, text: str, needed: DataFrame) -> DataFrame:
-    """Text of each needed node, from the row with the node's smallest id: a text with many copies is not gathered."""
+    """Text of each needed node, from the row with the node's smallest id: a text with many copies is not gathered.
+
+    Rows that a filter shows to be not needed stay where they are; the join decides on the others."""
+    needed = cut(needed)
     wanted = needed.select(F.col("node").alias("of"), F.col("doc_id").alias("id"))
-    rows = with_node(docs, key, text).join(wanted, (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    rows = may_hold(with_node(docs, key, text), "node", *key_filter(needed, "node"), "_may").where("_may").drop("_may")
+    rows = rows.join(wanted, (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")))
     return rows.select("node", "text").dropDuplicates(["node"])
 
 
@@ -280,10 +284,14 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: one document of every class, that with the smallest id (once, if its row is repeated)."""
-    kept = groups(docs).where("kept").groupBy(F.col("node"), F.col("doc_id").alias("_d")).agg(F.max("class_size").alias("n"))
-    kept = cut(kept)
+    """Pipeline: one document of every class, that with the smallest id (once, if its row is repeated).
+
+    Rows that a filter shows to be alone in their class pass where they are; the others are shuffled with their texts, once."""
+    found = cut(groups(docs).select("node", "doc_id", "class_size", "kept"))
     row = F.struct(*[F.col(c) for c in docs.columns])
     rows = with_node(docs.withColumn("_row", row), "doc_id", "text", "_row").drop("text")
-    rows = spread_join(rows, kept, ["node"], hot_keys(kept, ["node"]), ["doc_id"]).where(F.col("doc_id").eqNullSafe(F.col("_d")))
-    return rows.groupBy("node", "doc_id").agg(F.min("_row").alias("_row")).select("_row.*")
+    rows = may_hold(rows, "node", *key_filter(found.where("class_size > 1").select("node").distinct(), "node"), "_may")
+    one = F.struct("node", "doc_id").alias("_one")  # in a struct, null ids are equal
+    kept = found.where("kept").select(one).distinct()
+    others = rows.where("_may").groupBy(one).agg(F.min("_row").alias("_row")).join(kept, "_one", "left_semi")
+    return rows.where("not _may").select("_row.*").unionByName(others.select("_row.*"))

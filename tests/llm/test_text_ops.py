@@ -14,7 +14,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from evidra.llm import op01_lm, op03_media, op04_language, op05_pii, op06_packing, op08_counts, op10_dedup
+from evidra.llm import common, op01_lm, op03_media, op04_language, op05_pii, op06_packing, op08_counts, op10_dedup
 from evidra.llm.common import flat, remainder, words
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -278,6 +278,27 @@ def test_dedup_stage_keeps_one_of_each(docs, spark):
     assert kept[0].asDict().keys() == docs.first().asDict().keys()
 
 
+@pytest.mark.parametrize("most", [1 << 6, 1 << 25])  # a filter that lets nearly all rows pass, and one that tells them apart
+def test_dedup_stage_moves_few_texts(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MOST_BITS", most)
+    rng = np.random.default_rng(4)
+    alone = [(i, " ".join(rng.bytes(6).hex() for _ in range(500))) for i in range(1500)]
+    copies, nobody = "one text that has many copies", " ".join(rng.bytes(6).hex() for _ in range(500))
+    rows = [*alone, *[(4000 + i, f"{t} more") for i, t in alone[:30]], *[(2000 + i, copies) for i in range(700)], (2000, copies)]
+    rows += [(None, alone[40][1]), (None, nobody), (None, nobody), (3000, None), (3001, ""), (3002, " ")]
+    docs = common.cut(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    jvm = spark.sparkContext._jsc.sc()
+
+    def moved() -> int:
+        jvm.listenerBus().waitUntilEmpty(60_000)
+        return jvm.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = moved()
+    got = read(op10_dedup.stage_dedup(spark, docs, ""))
+    assert Counter(got) == Counter([*alone, (2000, copies), (None, nobody), (3000, ""), (3002, " ")])
+    assert most < 1 << 20 or moved() - before < sum(len(t or "") for _, t in rows)
+
+
 def bigrams(rows: int, seed: int = 1) -> list[tuple[int, str]]:
     rng = np.random.default_rng(seed)
     follow = {w: rng.integers(0, 300, 3) for w in range(300)}
