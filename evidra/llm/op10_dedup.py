@@ -26,7 +26,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -163,28 +162,29 @@ def unary(owner: np.ndarray, item: np.ndarray, often: np.ndarray) -> tuple[np.nd
     return np.repeat(owner, often), np.where(level > 0, mix(item + level.astype(np.uint64) * _STEP[3]), item)
 
 
-def linked(left: pd.DataFrame, right: pd.DataFrame, least: float) -> list[tuple[bytes, bytes]]:
+def linked(left: pa.Table, right: pa.Table, least: float) -> list[tuple[bytes, bytes]]:
     """Similar pairs (loose node, node of another component): one for each loose node and component. Exact, by products of 0/1 matrices."""
-    owner, item = unary(*shingles(*flat(pa.array([*left["text"], *right["text"]], pa.large_string()))))
-    n = len(left)
-    sizes = np.bincount(owner, minlength=n + len(right))
+    owner, item = unary(*shingles(*flat(pa.chunked_array([*left["text"].chunks, *right["text"].chunks], left["text"].type))))
+    n, m = len(left), len(right)
+    sizes = np.bincount(owner, minlength=n + m)
     is_left = owner < n
     columns = np.intersect1d(item[is_left], item[~is_left])
-    both = np.zeros((n, len(right)), np.float32)
+    both = np.zeros((n, m), np.float32)
     at = np.searchsorted(columns, item)
     at[at == len(columns)] = 0
     has = columns[at] == item if len(columns) else np.zeros(len(item), bool)
     owner, at = owner[has], at[has]
     for start in range(0, len(columns), 4096):
         some = (at >= start) & (at < start + 4096)
-        dense = np.zeros((n + len(right), min(4096, len(columns) - start)), np.float32)
+        dense = np.zeros((n + m, min(4096, len(columns) - start)), np.float32)
         dense[owner[some], at[some] - start] = 1
         both += dense[:n] @ dense[n:].T
     similar = both >= least * (sizes[:n, None] + sizes[None, n:] - both) - 1e-6
-    similar &= left["part"].to_numpy()[:, None] != right["part"].to_numpy()[None]
+    part_a, part_b, a, b = (t[c].to_pylist() for c in ("part", "node") for t in (left, right))
+    similar &= np.array(part_a, object)[:, None] != np.array(part_b, object)[None]
     found = {}
     for i, j in zip(*np.nonzero(similar), strict=True):
-        found.setdefault((i, right["part"].iloc[j]), (left["node"].iloc[i], right["node"].iloc[j]))
+        found.setdefault((i, part_b[j]), (a[i], b[j]))
     return list(found.values())
 
 
@@ -197,12 +197,12 @@ def blocks(rows: DataFrame, least: float) -> DataFrame:
     left = rows.where("part <> main").select("bucket", F.pmod(place, down).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), across - 1)).alias("j"), "node", "part", "text")
     right = rows.select(F.col("bucket").alias("bucket"), F.explode(F.sequence(F.lit(0).cast("long"), down - 1)).alias("i"), F.pmod(place, across).alias("j"), *[F.col(c).alias(c) for c in ("node", "part", "text")])
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found = linked(left, right, least) if len(left) and len(right) else []
-        return pd.DataFrame(found, columns=["a", "b"])
+        return pa.table({c: pa.array([x[k] for x in found], pa.binary()) for k, c in enumerate("ab")})
 
     key = ["bucket", "i", "j"]
-    return left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(run, "a binary, b binary").distinct()
+    return left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(run, "a binary, b binary").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
