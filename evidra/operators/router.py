@@ -36,6 +36,13 @@ def recent_median(log: DataFrame, key: str, order: str, value: str, ok: Column,
     return some.groupBy(key).agg(F.when(F.count("*") >= least, F.percentile(value, F.lit(0.5))).alias("p50"))
 
 
+def used(log: DataFrame, keys: list[str], order: str, cost: str) -> DataFrame:
+    """keys, cost, calls. Costs are added one after the other by `order`, so a sum at a limit doesn't depend on how rows were dealt to tasks."""
+    w = Window.partitionBy(*keys).orderBy(order, cost)
+    running = log.withColumns({"_sum": F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_n": F.row_number().over(w)})
+    return running.groupBy(*keys).agg(F.max_by("_sum", "_n").alias("cost"), F.count("*").alias("calls"))
+
+
 def quota_check(used: DataFrame, limits: dict[str, float], reserve: float = 0.1) -> DataFrame:
     """pressure (largest share of a limit used) and the first limit that is over; the daily one keeps a reserve."""
     cap = {c: limit * (1 - reserve) if c == "day" else limit for c, limit in limits.items()}

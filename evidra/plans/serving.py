@@ -39,7 +39,8 @@ def q93_spend_guard(spark, sf_dir):
 @query("""with d as (select user_id, cast(ts as date) as day, sum(value) as day_sum, count(*) * 1.0 as calls from events group by 1, 2)
 select user_id, day, round(greatest(day_sum / 90.0, calls / 3), 6) as pressure, case when day_sum > 90.0 then 'day' when calls > 3 then 'calls' end as over from d""")
 def q94_quota_pressure(spark, sf_dir):
-    used = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("on")).agg(F.sum("value").alias("day"), F.count("*").cast("double").alias("calls"))
+    log = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("on"), "event_id", "value")
+    used = router.used(log, ["user_id", "on"], "event_id", "value").select("user_id", "on", F.col("cost").alias("day"), F.col("calls").cast("double").alias("calls"))
     return router.quota_check(used, {"day": 100.0, "calls": 3.0}).select("user_id", F.col("on").alias("day"), "pressure", "over")
 
 

@@ -27,3 +27,17 @@ def held(spark, folder, name: str, **frames) -> None:
 def test_records_of_unfinished_groups(spark, sf_dir, tmp_path, some):
     """The last document's group lacks its wrapped row, the row of its extent, or any row."""
     held(spark, tmp_path, "q140_parcel_records", documents=spark.read.parquet(f"{sf_dir}/documents.parquet").where(some))
+
+
+def test_sums_at_a_limit_in_the_order_of_events(spark, tmp_path):
+    """Three costs of 90.00 in all: their sum in doubles is over the limit or not by the order they are added in, not by the order of the rows."""
+    cents = [(1000 + 37 * u % 2000, 2000 + 91 * u % 3000) for u in range(400)]
+    rows = [(3 * u + i, u, c / 100) for u, (a, b) in enumerate(cents) for i, c in enumerate((a, b, 9000 - a - b))]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, value double").withColumn("ts", F.lit("2024-01-05 01:02:03").cast("timestamp_ntz"))
+    events.coalesce(1).sortWithinPartitions(F.desc("event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute("set threads = 1")
+    con.execute(f"create table events as select * from '{tmp_path}/events.parquet/*.parquet' order by event_id")
+    want = dict(con.sql(f"select user_id, over from ({ORACLES['q94_quota_pressure']})").fetchall())
+    got = {r["user_id"]: r["over"] for r in QUERIES["q94_quota_pressure"](spark, str(tmp_path)).collect()}
+    assert {"day", None} == set(want.values()) and got == want
