@@ -1,7 +1,8 @@
 """Boxes and points by grid buckets; polygons as arrays of points.
 
 Things meet by an equi-join on the grid cells they touch, then the exact test; a pair that shares
-several cells is kept in the one that holds its lower left common corner.
+several cells is kept in the one that holds its lower left common corner. Things at the very same place
+are compared once, whatever their number.
 """
 
 from __future__ import annotations
@@ -12,6 +13,10 @@ from pyspark.sql import functions as F
 from evidra.sources.checkpoints import cut
 
 
+#: Fixed value: uids of equal boxes that are held in one row.
+BLOCK = 256
+
+
 def _cells(lo: Column, hi: Column, size: float) -> Column:
     return F.sequence(F.floor(lo / size), F.floor(hi / size))
 
@@ -23,15 +28,26 @@ def with_cells(df: DataFrame, size: float, x0: str = "x0", y0: str = "y0", x1: s
 
 
 def box_overlaps(boxes: DataFrame, size: float, least: float = 0.0) -> DataFrame:
-    """uid_a, uid_b, area of each overlapping pair (uid_a < uid_b) of boxes (uid, x0, y0, x1, y1)."""
-    cells = with_cells(boxes, size)
-    a = cells.select("cx", "cy", *[F.col(c).alias(f"{c}_a") for c in ("uid", "x0", "y0", "x1", "y1")])
-    b = cells.select("cx", "cy", *[F.col(c).alias(f"{c}_b") for c in ("uid", "x0", "y0", "x1", "y1")])
+    """uid_a, uid_b, area of each overlapping pair (uid_a < uid_b) of boxes (uid, x0, y0, x1, y1).
+
+    Equal boxes meet others as one shape. Uids of a shape lie in blocks of BLOCK at most; pairs of blocks are dealt out before they become pairs of uids."""
+    corners = ("x0", "y0", "x1", "y1")
+    place = F.floor((F.row_number().over(Window.partitionBy(*corners).orderBy("uid")) - 1) / BLOCK)
+    blocks = cut(boxes.where("uid is not null").withColumn("block", place).groupBy(*corners, "block").agg(F.collect_list("uid").alias("uids")))
+    cells = with_cells(blocks.select(*corners).distinct(), size)
+    a = cells.select("cx", "cy", *[F.col(c).alias(f"{c}_a") for c in corners])
+    b = cells.select("cx", "cy", *[F.col(c).alias(f"{c}_b") for c in corners])
     left, low = F.greatest("x0_a", "x0_b"), F.greatest("y0_a", "y0_b")
     width, height = F.least("x1_a", "x1_b") - left, F.least("y1_a", "y1_b") - low
     first = (F.floor(left / size) == F.col("cx")) & (F.floor(low / size) == F.col("cy"))
-    pairs = a.join(b, ["cx", "cy"]).where((F.col("uid_a") < F.col("uid_b")) & (width > 0) & (height > 0) & first)
-    return pairs.select("uid_a", "uid_b", (width * height).alias("area")).where(F.col("area") > least)
+    shape = lambda side: F.struct(*[F.col(f"{c}_{side}") for c in corners])
+    met = a.join(b, ["cx", "cy"]).where((shape("a") <= shape("b")) & (width > 0) & (height > 0) & first & (width * height > least))
+    met = met.select(*[f"{c}_{s}" for s in "ab" for c in corners], (width * height).alias("area"), (shape("a") == shape("b")).alias("_same"))
+    for s in "ab":
+        met = met.join(blocks.select(*[F.col(c).alias(f"{c}_{s}") for c in corners], F.col("block").alias(f"block_{s}"), F.col("uids").alias(f"uids_{s}")), [f"{c}_{s}" for c in corners])
+    met = met.where("not _same or block_a <= block_b").select("area", (F.col("_same") & (F.col("block_a") == F.col("block_b"))).alias("_same"), "uids_a", "uids_b")
+    pairs = met.repartition(F.hash("uids_a", "uids_b")).select("area", "_same", "uids_b", F.explode("uids_a").alias("a")).select("area", "_same", "a", F.explode("uids_b").alias("b"))
+    return pairs.where("if(_same, a < b, a <> b)").select(F.least("a", "b").alias("uid_a"), F.greatest("a", "b").alias("uid_b"), "area")
 
 
 def within(points: DataFrame, targets: DataFrame, radius: float) -> DataFrame:

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from evidra.operators import spatial
 from evidra.plans.registry import ORACLES, QUERIES
 from oracle import rows_of
 
@@ -41,3 +42,31 @@ def test_sums_at_a_limit_in_the_order_of_events(spark, tmp_path):
     want = dict(con.sql(f"select user_id, over from ({ORACLES['q94_quota_pressure']})").fetchall())
     got = {r["user_id"]: r["over"] for r in QUERIES["q94_quota_pressure"](spark, str(tmp_path)).collect()}
     assert {"day", None} == set(want.values()) and got == want
+
+
+def joined(df) -> tuple[list, int]:
+    """Rows of df, and how many rows its joins made in all."""
+    rows, todo, made = df.collect(), [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        elif kind.endswith("JoinExec"):
+            made += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return rows, made
+
+
+def test_equal_boxes_meet_as_one(spark, monkeypatch):
+    """Three shapes, two of which overlap, of 70 boxes each, in blocks of 9: every pair once, and few rows before the last step."""
+    monkeypatch.setattr(spatial, "BLOCK", 9, raising=False)
+    shapes = [(0.0, 0.0, 10.0, 10.0), (5.0, -5.0, 70.0, 6.0), (200.0, 0.0, 201.0, 1.0)]
+    boxes = [(u, *shapes[u % 3]) for u in range(210)]
+    area = {(0, 0): 100.0, (1, 1): 715.0, (2, 2): 1.0, (0, 1): 30.0, (1, 0): 30.0}
+    want = sorted((u, v, area[u % 3, v % 3]) for u in range(210) for v in range(u + 1, 210) if (u % 3, v % 3) in area)
+    got, made = joined(spatial.box_overlaps(spark.createDataFrame(boxes, "uid long, x0 double, y0 double, x1 double, y1 double"), 64.0))
+    assert sorted(map(tuple, got)) == want and 0 < made < len(want) / 10
