@@ -58,16 +58,22 @@ def select_pages(pages: DataFrame, documents: DataFrame, segments: DataFrame, ty
 def overlay_shares(plots: DataFrame, boxes: DataFrame, states: DataFrame, by: Sequence[str], size: float) -> DataFrame:
     """plot, by, state, share, coverage: parts of each plot's area under a state, and under any box (1 at most).
 
-    plots: plot, x0, y0, x1, y1; boxes: uid and the same; states: uid, by, state. Plots and boxes meet by grid cells of `size`."""
+    plots: plot, x0, y0, x1, y1; boxes: uid and the same; states: uid, by, state. Plots and boxes meet by grid cells of `size`;
+    equal plots and equal boxes meet once, with the number of boxes under each state."""
     corners = ("x0", "y0", "x1", "y1")
-    a = with_cells(plots, size).withColumnsRenamed({c: f"{c}_a" for c in corners})
+    figures = plots.where("plot is not null").groupBy("plot").agg(F.array_sort(F.collect_list(F.struct(*corners))).alias("places"))
+    each = figures.select("places").distinct().select("places", F.explode("places").alias("_p")).select("places", "_p.*")
+    a = with_cells(each, size).withColumnsRenamed({c: f"{c}_a" for c in corners})
+    named = boxes.where("uid is not null")
     left, low = F.greatest("x0", "x0_a"), F.greatest("y0", "y0_a")
     width, height = F.least("x1", "x1_a") - left, F.least("y1", "y1_a") - low
     first = (F.floor(left / size) == F.col("cx")) & (F.floor(low / size) == F.col("cy"))
     part = (width * height / ((F.col("x1_a") - F.col("x0_a")) * (F.col("y1_a") - F.col("y0_a")))).alias("part")
-    met = a.join(with_cells(boxes, size), ["cx", "cy"]).where(first & (width > 0) & (height > 0)).select("plot", "uid", part)
-    coverage = met.groupBy("plot").agg(F.least(F.lit(1.0), F.sum("part")).alias("coverage"))
-    return met.join(states, "uid").groupBy("plot", *by, "state").agg(F.sum("part").alias("share")).join(coverage, "plot")
+    met = a.join(with_cells(named.groupBy(*corners).agg(F.count("*").alias("n")), size), ["cx", "cy"]).where(first & (width > 0) & (height > 0)).select("places", *corners, part, "n")
+    coverage = met.groupBy("places").agg(F.least(F.lit(1.0), F.sum(F.col("part") * F.col("n"))).alias("coverage"))
+    kinds = named.join(states, "uid").groupBy(*corners, *by, "state").agg(F.count("*").alias("m"))
+    shares = met.join(kinds, list(corners)).groupBy("places", *by, "state").agg(F.sum(F.col("part") * F.col("m")).alias("share")).join(coverage, "places")
+    return figures.join(shares, "places").select("plot", *by, "state", "share", "coverage")
 
 
 #: Share of the rise at which greening up begins, days before the window that are looked at, and the spans before that.

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from evidra.operators import spatial
+from evidra.operators import inventory, spatial
 from evidra.plans.registry import ORACLES, QUERIES
 from oracle import rows_of
 
@@ -70,3 +70,13 @@ def test_equal_boxes_meet_as_one(spark, monkeypatch):
     want = sorted((u, v, area[u % 3, v % 3]) for u in range(210) for v in range(u + 1, 210) if (u % 3, v % 3) in area)
     got, made = joined(spatial.box_overlaps(spark.createDataFrame(boxes, "uid long, x0 double, y0 double, x1 double, y1 double"), 64.0))
     assert sorted(map(tuple, got)) == want and 0 < made < len(want) / 10
+
+
+def test_overlay_of_equal_plots(spark):
+    box = "x0 double, y0 double, x1 double, y1 double"
+    plots = spark.createDataFrame([(i, 0.0, 0.0, 10.0, 10.0) for i in range(40)], f"plot long, {box}")
+    boxes = spark.createDataFrame([(i, 5.0, 0.0, 6.0, 1.0) for i in range(50)], f"uid long, {box}")
+    states = spark.createDataFrame([(i, "wet" if i % 5 else "dry") for i in range(50)], "uid long, state string")
+    got, made = joined(inventory.overlay_shares(plots, boxes, states, [], 64.0))
+    assert {(r["plot"], r["state"]): (round(r["share"], 9), round(r["coverage"], 9)) for r in got} == {(i, s): (c, 0.5) for i in range(40) for s, c in (("wet", 0.4), ("dry", 0.1))}
+    assert len(got) == 80 and made < 400
