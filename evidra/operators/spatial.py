@@ -59,6 +59,14 @@ def within(points: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
     return around.join(near, ["cx", "cy"]).withColumn("distance", distance).where(F.col("distance") <= radius).select("id", "target", "distance")
 
 
+def within_counts(points: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
+    """id, n, nearest: number of targets within the radius of each point that has any, and the least distance. Equal points and equal targets meet once."""
+    places = points.select("x", "y").distinct().select(F.struct("x", "y").alias("id"), "x", "y")
+    spots = targets.groupBy("tx", "ty").agg(F.count("*").alias("target"))
+    near = within(places, spots, radius).groupBy("id").agg(F.sum("target").alias("n"), F.min("distance").alias("nearest")).select("id.x", "id.y", "n", "nearest")
+    return points.join(near, ["x", "y"]).groupBy("id").agg(F.sum("n").alias("n"), F.min("nearest").alias("nearest"))
+
+
 def nearest(points: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
     """id, target, distance of the nearest target (smaller target on a tie): rings of doubled radius for points without one yet.
 

@@ -74,6 +74,20 @@ def test_equal_boxes_meet_as_one(spark, monkeypatch):
     assert sorted(map(tuple, got)) == want and 0 < made < len(want) / 10
 
 
+#: Two places of 40 points, two places of 50 targets, one of them near the first points.
+POINTS = [(i, 1.0 + 300 * (i % 2), 2.0) for i in range(80)]
+TARGETS = [(i, 4.0 + 900 * (i % 2), 6.0) for i in range(100)]
+
+
+def placed(spark):
+    return spark.createDataFrame(POINTS, "id long, x double, y double"), spark.createDataFrame(TARGETS, "target long, tx double, ty double")
+
+
+def test_counts_of_equal_points(spark):
+    got, made = joined(spatial.within_counts(*placed(spark), 10.0))
+    assert sorted(map(tuple, got)) == [(i, 50, 5.0) for i in range(0, 80, 2)] and made < 200
+
+
 def test_overlay_of_equal_plots(spark):
     box = "x0 double, y0 double, x1 double, y1 double"
     plots = spark.createDataFrame([(i, 0.0, 0.0, 10.0, 10.0) for i in range(40)], f"plot long, {box}")
