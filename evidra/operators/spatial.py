@@ -7,6 +7,8 @@ are compared once, whatever their number.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,18 +72,27 @@ def within_counts(points: DataFrame, targets: DataFrame, radius: float) -> DataF
 def nearest(points: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
     """id, target, distance of the nearest target (smaller target on a tie): rings of doubled radius for points without one yet.
 
-    The rings end when they are as wide as all points and targets together, so every point has its target if there is any."""
-    rest, found = points, None
+    The first ring is narrower than the radius where targets are dense. The rings end when they are as wide as all points and targets together, so every point has its target if
+    there is any. Of equal points one is looked for, of equal targets the smallest."""
+    spots = cut(targets.groupBy("tx", "ty").agg(F.min("target").alias("target")))
+    rest, found = cut(points.select("x", "y").distinct().select(F.struct("x", "y").alias("id"), "x", "y")), None
     w = Window.partitionBy("id").orderBy("distance", "target")
-    both = points.select("x", "y").unionByName(targets.select(F.col("tx").alias("x"), F.col("ty").alias("y")))
-    width = both.agg(F.sqrt(F.pow(F.max("x") - F.min("x"), F.lit(2)) + F.pow(F.max("y") - F.min("y"), F.lit(2)))).first()[0] or 0.0
+    spread = lambda df, x, y: df.agg(F.min(x), F.max(x), F.min(y), F.max(y), F.count("*")).first()
+    a, b = spread(rest, "x", "y"), spread(spots, "tx", "ty")
+    lo, hi = [min((r[i] for r in (a, b) if r[i] is not None), default=0.0) for i in (0, 2)], [max((r[i] for r in (a, b) if r[i] is not None), default=0.0) for i in (1, 3)]
+    width = math.hypot(hi[0] - lo[0], hi[1] - lo[1])
+    if b[4] and (area := (b[1] - b[0]) * (b[3] - b[2]) if b[0] is not None and b[2] is not None else 0.0) > 0:
+        radius = min(radius, math.sqrt(area / b[4]))
     while True:
-        hit = cut(within(rest, targets, radius).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r"))
+        hit = cut(within(rest, spots, radius).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r"))
         found = hit if found is None else found.unionByName(hit)
         rest = cut(rest.join(hit.select("id"), "id", "left_anti"))
         if radius > width or rest.limit(1).count() == 0:
-            return found
+            break
         radius *= 2
+    best = F.min(F.struct("distance", "target"))
+    met = points.join(found.select("id.x", "id.y", "target", "distance"), ["x", "y"]).groupBy("id").agg(best.alias("b"))
+    return met.select("id", "b.target", "b.distance")
 
 
 def polygon_area(ring: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import duckdb
@@ -88,6 +89,20 @@ def test_counts_of_equal_points(spark):
     assert sorted(map(tuple, got)) == [(i, 50, 5.0) for i in range(0, 80, 2)] and made < 200
 
 
+def test_nearest_of_equal_points(spark, monkeypatch):
+    pairs, whole = [], spatial.within
+
+    def counted(*args):
+        near = whole(*args)
+        pairs.append(near.count())
+        return near
+
+    monkeypatch.setattr(spatial, "within", counted)
+    got = sorted(map(tuple, spatial.nearest(*placed(spark), 10.0).collect()))
+    assert [(i, t) for i, t, _ in got] == [(i, 0) for i in range(80)]
+    assert [d for *_, d in got[:2]] == pytest.approx([5.0, math.hypot(297, 4)]) and 0 < sum(pairs) < 20
+
+
 def test_overlay_of_equal_plots(spark):
     box = "x0 double, y0 double, x1 double, y1 double"
     plots = spark.createDataFrame([(i, 0.0, 0.0, 10.0, 10.0) for i in range(40)], f"plot long, {box}")
