@@ -238,7 +238,7 @@ e as (select *, null as nv from first where id not in (select id from second) un
 select p_partkey as id, coalesce(nv, case when p_partkey % 13 = 0 then 'Nowhere' else p_brand end) as village, coalesce(status, 'no_village') as status, uid, score, coalesce(n_links, 0) as n_links from part left join e on id = p_partkey""")
 def q23_match_tiers(spark, sf_dir):
     found = match.link(*link_tables(spark, sf_dir))
-    return found.select("id", "village", "status", "uid", "score", F.coalesce(F.size("links"), F.lit(0)).cast("long").alias("n_links"))
+    return found.select("id", "village", "status", "uid", "score", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 @query("""select event_id, regexp_extract(t, '^([0-9]+)', 1) as survey, nullif(regexp_extract(t, '^[0-9]+ *(?:[/-] *([0-9A-Z]+))?', 1), '') as subdivision from (select event_id, case event_id % 3 when 0 then event_id || '/' || user_id || 'A' when 1 then event_id || ' - ' || user_id else cast(event_id as varchar) end as t from events)""")

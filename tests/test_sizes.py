@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from evidra.operators import inventory, spatial, timeseries
+from evidra.operators import inventory, match, spatial, timeseries
 from evidra.plans.registry import ORACLES, QUERIES
 from oracle import rows_of
 
@@ -125,3 +125,27 @@ def test_median_of_a_group_without_its_pairs(spark):
     got, made = joined(timeseries.group_median(features, groups, "unit", "nation", ["y"], "v", "ok"))
     want = timeseries.neighbour_median(features, pairs, "unit", ["y"], "v", "ok").select(got[0].__fields__).collect()
     assert sorted(map(repr, got)) == sorted(map(repr, want)) and made < 3 * len(rows)
+
+
+def test_a_survey_of_many_units_is_one_link_until_the_end(spark, monkeypatch):
+    """Thirty records of a whole survey of 200 units, and thirty of one code that 20 of them share: every link is there, few candidates are made for it."""
+    made, plain = [], match.candidates
+
+    def counted(*args):
+        found = plain(*args)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(match, "candidates", counted)
+    units = spark.createDataFrame([(1000 + i, "A", f"7/{i % 10}B", None, None, 0.5) for i in range(200)], "uid long, village string, code string, block int, unit int, area double")
+    asked = [(i, "A", "7", "3B" if i % 2 else None) for i in range(60)]
+    records = spark.createDataFrame(asked, "id long, village string, survey_no string, sub_div string")
+    records = records.withColumns({**{c: F.lit(None).cast("int") for c in ("block", "unit")}, "extent": F.lit(None).cast("double"), **{c: F.lit(False) for c in ("from_header", "header_conflict", "scheme_header")}})
+    got = {r["id"]: r for r in match.link(records, units).collect()}
+    for i in range(60):
+        r = got[i]
+        if i % 2:
+            assert (r["status"], r["links"], [c["uid"] for c in r["candidates"][0]]) == ("ambiguous", [], [1003, 1013, 1023])
+        else:
+            assert r["status"] == "survey_level" and [tuple(x) for x in r["links"]] == [(1000 + u, "survey_level", 0.85) for u in range(200)]
+    assert len(got) == 60 and 0 < sum(made) <= 60 * 3
